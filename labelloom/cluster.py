@@ -39,8 +39,18 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def session_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/labelloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/labelloom/{label}-{uuid.uuid4().hex}"
+    return f"{session_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that read them end with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(session_scratch(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

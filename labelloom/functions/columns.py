@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.model import LETTERS, PlanError, VerdictSchema
@@ -68,33 +68,50 @@ def in_labels(qa: Column, valid: Sequence[str]) -> Column:
     return true(qa.isin(list(valid)))
 
 
-def long_enough(reason: Column, min_chars: int) -> Column:
-    return true(F.length(reason) >= min_chars)
+def with_chars(verdicts: DataFrame, schema: VerdictSchema) -> DataFrame:
+    """Make sure the reason's length is a column.
+
+    A table that carries it already is checked without reading any text;
+    otherwise it is computed where the text is scanned, before any shuffle.
+    """
+    if schema.chars_field in verdicts.columns:
+        return verdicts
+    return verdicts.withColumn(schema.chars_field, F.length(schema.reason_field))
+
+
+def long_enough(schema: VerdictSchema) -> Column:
+    return true(F.col(schema.chars_field) >= schema.min_reason_chars)
+
+
+def present(name: str, schema: VerdictSchema) -> Column:
+    """Presence of a field; that of the reason shows in its length."""
+    return F.col(schema.chars_field if name == schema.reason_field else name).isNotNull()
 
 
-def has_fields(names: Iterable[str]) -> Column:
-    present = F.lit(True)
+def has_fields(names: Iterable[str], schema: VerdictSchema) -> Column:
+    found = F.lit(True)
     for name in names:
-        present = present & F.col(name).isNotNull()
-    return present
+        found = found & present(name, schema)
+    return found
 
 
 def row_errors(schema: VerdictSchema, version: str) -> Column:
     """Problems of one verdict row as an ordered list of texts.
 
     A row with missing fields reports only those, as nothing else can be
-    trusted. A missing key and a NULL value are the same thing here.
+    trusted. A missing key and a NULL value are the same thing here. The rows
+    need the length column of :func:`with_chars`.
     """
     absent = F.filter(
-        F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in schema.checked_fields]),
+        F.array(*[F.when(~present(n, schema), F.lit(n)) for n in schema.checked_fields]),
         lambda x: x.isNotNull(),
     )
-    qa, reason = F.col(schema.qa_field), F.col(schema.reason_field)
+    qa = F.col(schema.qa_field)
     rules = F.filter(
         F.array(
             F.when(F.col("schema_version") != version, F.lit("schema_version")),
             F.when(~in_labels(qa, schema.valid_qa), F.lit(schema.qa_field)),
-            F.when(~long_enough(reason, schema.min_reason_chars), F.lit(f"{schema.reason_field} length")),
+            F.when(~long_enough(schema), F.lit(f"{schema.reason_field} length")),
         ),
         lambda x: x.isNotNull(),
     )

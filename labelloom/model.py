@@ -50,6 +50,8 @@ class VerdictSchema:
     distinct_qa_min: int = 2
     distinct_qa_min_small: int = 1
     small_batch_threshold: int = 33
+    # Length of the reason, kept beside it so that checks need not move the text.
+    chars_field: str = "reason_chars"
 
     @classmethod
     def from_dict(cls, config: Mapping) -> "VerdictSchema":
@@ -114,6 +116,7 @@ STORIES_DOC_SCHEMA = T.StructType([
     T.StructField("description", T.StringType()),
     T.StructField("designDocs", T.ArrayType(T.StringType())),
     T.StructField("userStories", T.ArrayType(STORY_SCHEMA)),
+    T.StructField("acceptance", T.StringType()),
 ])
 
 MANIFEST_SCHEMA = T.StructType([

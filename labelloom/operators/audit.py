@@ -29,7 +29,11 @@ def two_sided(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
 
 def audit_counts(members: DataFrame, declared: DataFrame) -> DataFrame:
     """Distinct ids per shard against the declared ``total_tasks`` (A1)."""
-    actual = members.groupBy("shard_id").agg(F.count_distinct("task_id").alias("actual"))
+    return against_declared(members.groupBy("shard_id").agg(F.count_distinct("task_id").alias("actual")), declared)
+
+
+def against_declared(actual: DataFrame, declared: DataFrame) -> DataFrame:
+    """``shard_id, actual`` beside the declared ``total_tasks``; shards of either side are kept."""
     both = actual.join(declared.select("shard_id", F.col("total_tasks").alias("declared")), "shard_id", "full")
     return both.select(
         "shard_id",
@@ -64,47 +68,62 @@ def audit_internal_dups(members: DataFrame, n_examples: int = EXAMPLES) -> DataF
 def audit_disjoint(members: DataFrame, shards: DataFrame | None = None) -> DataFrame:
     """Overlap size and smallest shared id of every shard pair, empty overlaps included (A3).
 
-    Ids fall together by the set of shards that hold them, and pairs expand
-    from the few distinct sets, not per id. ``shards`` lists the shards to
-    report; by default those that occur.
+    ``shards`` lists the shards to report; by default those that occur.
     """
     listed = as_lookup((members if shards is None else shards).select("shard_id").distinct())
-    sets = shard_sets(members, listed)
-    first = sets.select("n", "example", "s", F.posexplode("s").alias("i", "shard_a"))
-    pairs = first.select("n", "example", "shard_a",
-                         F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("shard_b"))
-    overlap = pairs.groupBy("shard_a", "shard_b").agg(
-        F.sum("n").alias("n_shared"), F.min("example").cast("string").alias("example"))
-    return shard_pairs(listed).join(overlap, ["shard_a", "shard_b"], "left").select(
-        "shard_a", "shard_b", F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"), "example",
-        F.col("n_shared").isNull().alias("passed"))
+    names = shard_names(listed)
+    if names is None:
+        sets = (members.select("shard_id", "task_id").distinct().groupBy("task_id")
+                .agg(F.sort_array(F.collect_list("shard_id")).alias("s"))
+                .groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("example")))
+    else:
+        sets = membership_signatures(members, None, names)
+    return pair_overlaps(sets, listed)
+
 
+def shard_names(listed: DataFrame) -> list[str] | None:
+    """Sorted shard names, or None when there are too many to keep as bits."""
+    names = [r.shard_id for r in listed.orderBy("shard_id").limit(MAX_SHARD_BITS + 1).collect()]
+    return names if len(names) <= MAX_SHARD_BITS else None
 
-def shard_sets(members: DataFrame, shards: DataFrame) -> DataFrame:
-    """Distinct sets of two or more shards that share ids: ``s, n, example``.
 
-    Per id the set is kept as bits of a few longs, which hash aggregation holds
-    in place. With very many shards it is an array of names instead.
+def membership_signatures(members: DataFrame, baseline: DataFrame | None, names: Sequence[str]) -> DataFrame:
+    """Count ids by where they occur: ``s, in_base, repeated, n, n_surplus, example``.
+
+    One shuffle by id. Per id the set of shards is kept as bits of a few longs,
+    which hash aggregation updates in place and combines before the shuffle;
+    ids with equal sets then fall together, so the result has as many rows as
+    there are different sets ``s``.
     """
-    names = [r.shard_id for r in shards.orderBy("shard_id").limit(MAX_SHARD_BITS + 1).collect()]
-    if len(names) > MAX_SHARD_BITS:
-        per_id = (members.select("shard_id", "task_id").distinct().groupBy("task_id")
-                  .agg(F.sort_array(F.collect_list("shard_id")).alias("s")).where(F.size("s") > 1))
-        return per_id.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("example"))
     words = [f"w{i}" for i in range(0, len(names), 63)] or ["w0"]
-    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("shard_id")) - 1
-    bits = members.withColumn("_o", order).where("_o >= 0")
+    ordinal = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("shard_id")) - 1
+    rows = members.select("task_id", ordinal.alias("_o"), F.lit(False).alias("_base")).where("_o >= 0")
+    if baseline is not None:
+        rows = rows.unionByName(baseline.select("task_id", F.lit(None).cast("bigint").alias("_o"), F.lit(True).alias("_base")))
     masks = [
         F.bit_or(F.expr(f"CASE WHEN _o DIV 63 = {i} THEN shiftleft(1L, CAST(_o % 63 AS INT)) ELSE 0L END")).alias(w)
         for i, w in enumerate(words)
     ]
-    shared = sum((F.bit_count(w) for w in words), F.lit(0)) > 1
-    sets = (bits.groupBy("task_id").agg(*masks).where(shared)
-            .groupBy(*words).agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("example")))
-    kept = [
-        F.when(F.getbit(F.col(words[i // 63]), F.lit(i % 63)) == 1, F.lit(name)) for i, name in enumerate(names)
-    ]
-    return sets.select(F.filter(F.array(*kept), lambda x: x.isNotNull()).alias("s"), "n", "example")
+    held = sum((F.bit_count(w) for w in words), F.lit(0))
+    per_id = rows.groupBy("task_id").agg(*masks, F.bool_or("_base").alias("in_base"), F.count("_o").alias("_rows"))
+    groups = per_id.withColumn("_surplus", F.col("_rows") - held).withColumn("repeated", F.col("_surplus") > 0)
+    counted = groups.groupBy(*words, "in_base", "repeated").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_surplus").alias("n_surplus"), F.min("task_id").alias("example"))
+    kept = [F.when(F.getbit(F.col(words[i // 63]), F.lit(i % 63)) == 1, F.lit(name)) for i, name in enumerate(names)]
+    return counted.select(F.filter(F.array(*kept), lambda x: x.isNotNull()).alias("s"),
+                          "in_base", "repeated", "n", "n_surplus", "example")
+
+
+def pair_overlaps(sets: DataFrame, listed: DataFrame) -> DataFrame:
+    """Expand pairs from the few distinct shard sets ``s, n, example``, not per id."""
+    first = sets.where(F.size("s") > 1).select("n", "example", "s", F.posexplode("s").alias("i", "shard_a"))
+    pairs = first.select("n", "example", "shard_a",
+                         F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("shard_b"))
+    overlap = pairs.groupBy("shard_a", "shard_b").agg(
+        F.sum("n").alias("n_shared"), F.min("example").cast("string").alias("example"))
+    return shard_pairs(listed).join(overlap, ["shard_a", "shard_b"], "left").select(
+        "shard_a", "shard_b", F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"), "example",
+        F.col("n_shared").isNull().alias("passed"))
 
 
 def shard_pairs(shards: DataFrame) -> DataFrame:
@@ -174,33 +193,55 @@ def audit_story_manifest(stories: DataFrame, batches: DataFrame) -> DataFrame:
 
 def audit_baseline(baseline: DataFrame, total: int | None) -> DataFrame:
     """Distinct input ids against the declared total (A7); no total, no failure."""
-    counted = baseline.agg(F.count_distinct("task_id").alias("actual"))
+    return _against_total(baseline.agg(F.count_distinct("task_id").alias("actual")), total)
+
+
+def _against_total(counted: DataFrame, total: int | None) -> DataFrame:
     declared = F.lit(total).cast("bigint")
     return counted.select("actual", declared.alias("declared"),
                           F.coalesce(F.col("actual") == declared, F.lit(True)).alias("passed"))
 
 
+def _membership_layers(members: DataFrame, baseline: DataFrame, declared: DataFrame, total: int | None) -> list[DataFrame]:
+    """A1, A2, A3, A4 and A7 from one shuffle over members and baseline."""
+    listed = as_lookup(declared.select("shard_id").union(members.select("shard_id")).distinct())
+    names = shard_names(listed)
+    if names is None:
+        return [audit_baseline(baseline, total), audit_counts(members, declared), audit_internal_dups(members),
+                audit_disjoint(members, listed), audit_coverage(members, baseline)]
+    sets = as_lookup(membership_signatures(members, baseline, names))
+    base = sets.agg(F.coalesce(F.sum(F.when(F.col("in_base"), F.col("n"))), F.lit(0)).alias("actual"))
+    per_shard = sets.select(F.explode("s").alias("shard_id"), "n").groupBy("shard_id").agg(F.sum("n").alias("actual"))
+    missing, extra = F.size("s") == 0, ~F.col("in_base")
+    cover = sets.agg(
+        F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.coalesce(F.sum(F.when(extra, F.col("n"))), F.lit(0)).alias("n_extra"),
+        F.min(F.when(missing, F.col("example"))).cast("string").alias("missing_example"),
+        F.min(F.when(extra, F.col("example"))).cast("string").alias("extra_example"),
+    ).withColumn("passed", (F.col("n_missing") == 0) & (F.col("n_extra") == 0))
+    # Which shard repeats an id costs another shuffle and is asked only when one does.
+    clean = sets.where("repeated").isEmpty()
+    dups = audit_internal_dups(members.limit(0) if clean else members)
+    return [_against_total(base, total), against_declared(per_shard, declared), dups, pair_overlaps(sets, listed), cover]
+
+
 def audit_all(members: DataFrame, baseline: DataFrame, declared: DataFrame, stories: DataFrame,
               batches: DataFrame, shard_rows: DataFrame | None = None, baseline_rows: DataFrame | None = None,
               content_columns: Sequence[str] = ("task_id",), total: int | None = None) -> DataFrame:
     """All plan audits as one report (A8); stop a pipeline with ``assert_clean``."""
     text = F.format_string
-    base = check_rows(audit_baseline(baseline, total), "0 baseline", F.lit("baseline"),
-                      n_bad=F.when(F.col("passed"), 0).otherwise(1),
-                      detail=text("%d ids, declared %d", F.col("actual"), F.col("declared")))
-    dups = audit_internal_dups(members)
-    counts = audit_counts(members, declared)
-    count_rows = check_rows(counts, "1 count", F.col("shard_id"),
-                            n_bad=F.abs(F.col("actual") - F.coalesce("declared", F.lit(0))),
-                            detail=text("%d ids, declared %d", F.col("actual"), F.col("declared")))
-    dup_rows = check_rows(dups, "1 repeats", F.col("shard_id"), F.lit(False), F.col("n_dups"), F.col("examples"))
-    pair_rows = check_rows(audit_disjoint(members, declared), "2 disjoint",
-                           F.concat_ws("/", "shard_a", "shard_b"), n_bad=F.col("n_shared"))
-    cover_rows = check_rows(audit_coverage(members, baseline), "3 coverage", F.lit("union"),
-                            n_bad=F.col("n_missing") + F.col("n_extra"),
-                            example=F.coalesce("missing_example", "extra_example"),
-                            detail=text("missing %d, extra %d", F.col("n_missing"), F.col("n_extra")))
-    reports = [base, count_rows, dup_rows, pair_rows, cover_rows]
+    base, counts, dups, pairs, cover = _membership_layers(members, baseline, declared, total)
+    reports = [
+        check_rows(base, "0 baseline", F.lit("baseline"), n_bad=F.when(F.col("passed"), 0).otherwise(1),
+                   detail=text("%d ids, declared %d", F.col("actual"), F.col("declared"))),
+        check_rows(counts, "1 count", F.col("shard_id"), n_bad=F.abs(F.col("actual") - F.coalesce("declared", F.lit(0))),
+                   detail=text("%d ids, declared %d", F.col("actual"), F.col("declared"))),
+        check_rows(dups, "1 repeats", F.col("shard_id"), F.lit(False), F.col("n_dups"), F.col("examples")),
+        check_rows(pairs, "2 disjoint", F.concat_ws("/", "shard_a", "shard_b"), n_bad=F.col("n_shared")),
+        check_rows(cover, "3 coverage", F.lit("union"), n_bad=F.col("n_missing") + F.col("n_extra"),
+                   example=F.coalesce("missing_example", "extra_example"),
+                   detail=text("missing %d, extra %d", F.col("n_missing"), F.col("n_extra"))),
+    ]
     if shard_rows is not None and baseline_rows is not None:
         content = audit_batch_content(shard_rows, baseline_rows, content_columns).agg(
             F.count_if(~F.col("passed")).alias("n_bad"),

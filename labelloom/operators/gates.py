@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.cluster import as_lookup
-from labelloom.functions.columns import has_fields, in_labels, long_enough, true
+from labelloom.functions.columns import has_fields, in_labels, long_enough, true, with_chars
 from labelloom.model import MAX_ATTEMPTS, PlanError, VerdictSchema
 
 MAX_GATE_CONFIGS = 1_000
@@ -29,15 +29,16 @@ def batch_measures(verdicts: DataFrame, batch_tasks: DataFrame, schema: VerdictS
     """All facts the schema gates need, one row per batch.
 
     Verdicts first collapse to one row per (id, label), so an id repeated
-    millions of times reaches the join as a few rows.
+    millions of times reaches the join as a few rows. Reasons travel as their
+    length only.
     """
     qa = F.col(schema.qa_field)
-    per_label = verdicts.groupBy(F.col(schema.id_field).alias("task_id"), qa.alias("_qa")).agg(
+    per_label = with_chars(verdicts, schema).groupBy(F.col(schema.id_field).alias("task_id"), qa.alias("_qa")).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.count_if(~has_fields(schema.checked_fields)).alias("_incomplete"),
+        F.count_if(~has_fields(schema.checked_fields, schema)).alias("_incomplete"),
         F.count_if(~F.col("schema_version").eqNullSafe(version)).alias("_other_version"),
         F.count_if(~in_labels(qa, schema.valid_qa)).alias("_bad_label"),
-        F.count_if(long_enough(F.col(schema.reason_field), schema.min_reason_chars)).alias("_long"),
+        F.count_if(long_enough(schema)).alias("_long"),
     )
     joined = batch_tasks.select("batch_idx", "task_id").join(per_label, "task_id", "left")
 

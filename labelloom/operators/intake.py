@@ -7,13 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.columns import row_errors, true
+from labelloom.functions.columns import row_errors, true, with_chars
 from labelloom.model import VerdictSchema
 
 
 def mark_errors(verdicts: DataFrame, schema: VerdictSchema, version: str) -> DataFrame:
-    """Add ``errors ARRAY<STRING>``, empty for an acceptable row."""
-    return verdicts.withColumn("errors", row_errors(schema, version))
+    """Add the reason's length and ``errors ARRAY<STRING>``, empty for an acceptable row.
+
+    A row with its raw text in ``malformed`` has that one error.
+    """
+    errors = row_errors(schema, version)
+    if "malformed" in verdicts.columns:
+        errors = F.when(F.col("malformed").isNotNull(), F.array(F.lit("malformed"))).otherwise(errors)
+    return with_chars(verdicts, schema).withColumn("errors", errors)
 
 
 def validate_rows(verdicts: DataFrame, schema: VerdictSchema, version: str) -> tuple[DataFrame, DataFrame]:

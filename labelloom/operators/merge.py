@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.columns import row_errors, true
+from labelloom.cluster import as_lookup
+from labelloom.functions.columns import row_errors, with_chars
 from labelloom.model import EXAMPLES, SAMPLE_SEED, SAMPLE_SIZE, VerdictSchema
-from labelloom.operators.audit import coverage, repeats
-from labelloom.operators.intake import first_by
+from labelloom.operators.audit import against_declared, coverage, repeats
 from labelloom.operators.report import assert_clean, check_rows, union_reports
 from labelloom.sources.sinks import publish, write_ordered
 
@@ -24,12 +24,7 @@ def union_shards(parts: Sequence[DataFrame]) -> DataFrame:
 
 def merge_counts(verdicts: DataFrame, declared: DataFrame) -> DataFrame:
     """Raw verdict rows per shard against the shard's ``total_tasks`` (M1)."""
-    actual = verdicts.groupBy("shard_id").agg(F.count(F.lit(1)).alias("actual"))
-    both = actual.join(declared.select("shard_id", F.col("total_tasks").alias("declared")), "shard_id", "full")
-    return both.select(
-        "shard_id", F.coalesce("actual", F.lit(0)).cast("bigint").alias("actual"),
-        F.col("declared").cast("bigint").alias("declared"),
-        true(F.coalesce("actual", F.lit(0)) == F.col("declared")).alias("passed"))
+    return against_declared(verdicts.groupBy("shard_id").agg(F.count(F.lit(1)).alias("actual")), declared)
 
 
 def dup_report(df: DataFrame, key_cols: Sequence[str], n_examples: int = EXAMPLES) -> DataFrame:
@@ -66,22 +61,29 @@ def sample_audit(verdicts: DataFrame, schema: VerdictSchema, version: str, n: in
                  seed: int = SAMPLE_SEED, tie_cols: Sequence[str] = ()) -> DataFrame:
     """Schema violations of a repeatable sample, one row each; ``n=None`` scans everything (M4)."""
     rows = verdicts if n is None else sample_rows(verdicts, schema.id_field, n, seed, tie_cols)
+    rows = with_chars(rows, schema)
     return rows.select(F.col(schema.id_field).alias("task_id"), F.explode(row_errors(schema, version)).alias("error"))
 
 
 def ordered_merge(verdicts: DataFrame, baseline_order: DataFrame, seq_cols: Sequence[str] | None = None) -> DataFrame:
     """One verdict per baseline id with its ``batch_idx, pos`` (M5).
 
-    With ``seq_cols`` the last verdict by those columns wins; without, ids must
-    already be unique, as the merge audit has shown. Write with ``write_ordered``.
+    With ``seq_cols`` (unique per id) the last verdict by those columns wins;
+    without, ids must already be unique, as the merge audit has shown. The
+    winners are found on ids and order columns alone; the wide rows are
+    shuffled once, by id and order, which also spreads an id repeated very
+    often. Write with ``write_ordered``.
     """
-    if seq_cols:
-        # Reverse order columns make "last wins" a "first by" aggregate.
-        reverse = [f"_rev{i}" for i in range(len(seq_cols))]
-        turned = verdicts.withColumns({r: -F.col(c) for r, c in zip(reverse, seq_cols)})
-        verdicts = first_by(turned, ["task_id"], reverse).drop(*reverse)
     order = baseline_order.select("task_id", "batch_idx", "pos")
-    return order.join(verdicts.drop("batch_idx", "pos"), "task_id")
+    rows = verdicts.drop("batch_idx", "pos")
+    if not seq_cols:
+        return order.join(rows, "task_id")
+    if len(seq_cols) == 1:
+        last = verdicts.groupBy("task_id").agg(F.max(seq_cols[0]).alias(seq_cols[0]))
+    else:
+        last = verdicts.groupBy("task_id").agg(F.max(F.struct(*seq_cols)).alias("_last")).select("task_id", "_last.*")
+    return order.join(last, "task_id").join(rows, ["task_id", *seq_cols]).select(
+        "task_id", "batch_idx", "pos", *[c for c in rows.columns if c != "task_id"])
 
 
 ORDER = ["src_rank", "batch_idx", "pos"]
@@ -99,19 +101,38 @@ def combine(prefix: DataFrame, merged: DataFrame, prefix_order: str) -> DataFram
     return first.unionByName(second, allowMissingColumns=True)
 
 
+def id_facts(verdicts: DataFrame, baseline: DataFrame) -> DataFrame:
+    """One row: verdict rows, surplus rows, ids missing and extra, with examples."""
+    tagged = verdicts.select("task_id", F.lit(False).alias("_base")).unionByName(
+        baseline.select("task_id", F.lit(True).alias("_base")))
+    per_id = tagged.groupBy("task_id").agg(F.count_if(~F.col("_base")).alias("_n"), F.bool_or("_base").alias("_in_base"))
+    missing, extra = F.col("_n") == 0, ~F.col("_in_base")
+    return per_id.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.greatest(F.col("_n") - 1, F.lit(0))), F.lit(0)).alias("n_surplus"),
+        F.count_if(missing).alias("n_missing"),
+        F.count_if(extra).alias("n_extra"),
+        F.min(F.when(missing, F.col("task_id"))).cast("string").alias("missing_example"),
+        F.min(F.when(extra, F.col("task_id"))).cast("string").alias("extra_example"),
+    )
+
+
 def merge_report(verdicts: DataFrame, baseline_order: DataFrame, declared: DataFrame, schema: VerdictSchema,
                  version: str, total: int | None = None, n: int | None = SAMPLE_SIZE) -> DataFrame:
-    """The five merge layers as audit rows."""
+    """The five merge layers as audit rows; totals, repeats and alignment share one shuffle by id."""
     text = F.format_string
+    facts = as_lookup(id_facts(verdicts, baseline_order))
+    examples = F.lit("")
+    if facts.first().n_surplus:
+        examples = F.lit(dup_report(verdicts, ["task_id"]).first().examples)
     counts = check_rows(merge_counts(verdicts, declared), "2 shard count", F.col("shard_id"),
                         n_bad=F.abs(F.col("actual") - F.coalesce("declared", F.lit(0))),
                         detail=text("%d rows, declared %d", F.col("actual"), F.col("declared")))
-    dups = dup_report(verdicts, ["task_id"])
     want = F.lit(total).cast("bigint")
-    totals = check_rows(dups, "3a total", F.lit("rows"), F.coalesce(F.col("n_rows") == want, F.lit(True)),
+    totals = check_rows(facts, "3a total", F.lit("rows"), F.coalesce(F.col("n_rows") == want, F.lit(True)),
                         F.abs(F.col("n_rows") - want), detail=text("%d rows, declared %d", F.col("n_rows"), want))
-    unique = check_rows(dups, "3b unique", F.lit("ids"), F.col("n_surplus") == 0, F.col("n_surplus"), F.col("examples"))
-    align = check_rows(alignment(verdicts, baseline_order), "4 alignment", F.lit("ids"),
+    unique = check_rows(facts, "3b unique", F.lit("ids"), F.col("n_surplus") == 0, F.col("n_surplus"), examples)
+    align = check_rows(facts, "4 alignment", F.lit("ids"), (F.col("n_missing") == 0) & (F.col("n_extra") == 0),
                        n_bad=F.col("n_missing") + F.col("n_extra"),
                        example=F.coalesce("missing_example", "extra_example"),
                        detail=text("missing %d, extra %d", F.col("n_missing"), F.col("n_extra")))
@@ -137,7 +158,7 @@ def merge_publish(verdicts: DataFrame, baseline_order: DataFrame, declared: Data
     assert_clean(merge_report(verdicts, baseline_order, declared, schema, version, total))
     if dry_run:
         return []
-    merged = ordered_merge(verdicts, baseline_order)
+    merged = ordered_merge(verdicts.drop(schema.chars_field), baseline_order)
     outputs = [(output_name(stem, "merged", day), merged, ["batch_idx", "pos"])]
     if prefix is not None:
         outputs.append((output_name(stem, "combined", day), combine(prefix, merged, prefix_order), ORDER))

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.functions.columns import true
-from labelloom.model import SAMPLE_SIZE, TAIL_LINES
+from labelloom.functions.columns import true, with_chars
+from labelloom.model import SAMPLE_SIZE, TAIL_LINES, VerdictSchema
 from labelloom.operators.index import dense_index
 
 # Patterns that decide results.
@@ -60,11 +60,12 @@ def tail_n(df: DataFrame, group_cols: Sequence[str], order_col: str, n: int = TA
 
 
 def recent_mean_len(verdicts: DataFrame, order_col: str = "seq", n: int = SAMPLE_SIZE,
-                    reason: str = "reason") -> DataFrame:
+                    schema: VerdictSchema = VerdictSchema()) -> DataFrame:
     """Mean length of the last ``n`` text reasons per shard, cut to a whole number."""
-    texts = verdicts.where(F.col(reason).isNotNull()).select("shard_id", order_col, F.length(reason).alias("_len"))
-    recent = tail_n(texts, ["shard_id"], order_col, n)
-    return recent.groupBy("shard_id").agg(F.floor(F.avg("_len")).cast("bigint").alias("mean_len"))
+    chars = schema.chars_field
+    lengths = with_chars(verdicts, schema).select("shard_id", order_col, chars).where(F.col(chars).isNotNull())
+    recent = tail_n(lengths, ["shard_id"], order_col, n)
+    return recent.groupBy("shard_id").agg(F.floor(F.avg(chars)).cast("bigint").alias("mean_len"))
 
 
 def bar(done: Column, total: Column, width: int = BAR_WIDTH) -> Column:

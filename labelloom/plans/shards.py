@@ -54,9 +54,13 @@ def parse_splits(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def auto_split(batches: DataFrame, n_shards: int, wide: bool = False) -> DataFrame:
-    """Add ``shard_id`` to contiguous batches 1..N in closed form: no join, no shuffle."""
-    total = batches.agg(F.count(F.lit(1))).first()[0]
+def auto_split(batches: DataFrame, n_shards: int, wide: bool = False, total: int | None = None) -> DataFrame:
+    """Add ``shard_id`` to rows with a ``batch_idx`` of 1..N in closed form: no join, no shuffle.
+
+    Works on batches and, with the same ``total``, on their tasks.
+    """
+    if total is None:
+        total = batches.agg(F.max("batch_idx")).first()[0] or 0
     base = even_ranges(total, n_shards, wide)[0].hi
     ordinal = F.least(
         F.call_function("div", F.col("batch_idx") - 1, F.lit(base)), F.lit(n_shards - 1).cast("bigint")

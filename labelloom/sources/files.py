@@ -6,6 +6,7 @@ huge file spreads over many tasks and still has an order (see ``line_order``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,26 @@ def _truthy(text: Column) -> Column:
     return F.coalesce(~F.lower(text).isin("", "false", "0", "0.0", "null", "{}", "[]"), F.lit(False))
 
 
+def parse_lines(lines: DataFrame, schema: VerdictSchema, extra: Sequence[T.StructField] = ()) -> DataFrame:
+    """Parse ``line`` into ``rec``; ``malformed`` keeps the text of unreadable lines, meta rows are dropped."""
+    parsed_type = T.StructType([*schema.read_schema(extra), T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = lines.withColumn("rec", F.from_json("line", parsed_type, options))
+    is_bad = F.col(f"rec.{CORRUPT}").isNotNull() | F.col("rec").isNull()
+    return parsed.withColumn("malformed", F.when(is_bad, F.col("line"))).where(is_bad | ~_truthy(F.col("rec.__meta__")))
+
+
+def verdict_stream(spark: SparkSession, path: str, schema: VerdictSchema, extra: Sequence[T.StructField] = (),
+                   max_files: int = 1_000) -> DataFrame:
+    """JSON-lines verdict files as a stream with ``malformed`` and the line's ``_file, _block``."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block")).where(strip(F.col("line")) != "")
+    names = [f.name for f in schema.read_schema(extra) if f.name != "__meta__"]
+    return parse_lines(lines, schema, extra).select(
+        *[F.col(f"rec.{n}").alias(n) for n in names], "malformed", "_file", "_block")
+
+
 def read_verdicts(spark: SparkSession, path: str, schema: VerdictSchema, extra: Sequence[T.StructField] = (),
                   on_bad: str = "fail", strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verdict rows and malformed lines ``(line, src)``.
@@ -76,19 +97,15 @@ def read_verdicts(spark: SparkSession, path: str, schema: VerdictSchema, extra:
     returns it in the second table. Meta rows are dropped. ``strict`` adds
     ``present_keys`` and takes only JSON text as a reason.
     """
-    fields = schema.read_schema(extra)
-    parsed_type = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = read_lines(spark, path).withColumn(
-        "rec", F.from_json("line", parsed_type, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-    is_bad = F.col(f"rec.{CORRUPT}").isNotNull() | F.col("rec").isNull()
+    parsed = parse_lines(read_lines(spark, path), schema, extra)
+    is_bad = F.col("malformed").isNotNull()
     bad = parsed.where(is_bad).select("line", "src")
-    names = [f.name for f in fields if f.name != "__meta__"]
+    names = [f.name for f in schema.read_schema(extra) if f.name != "__meta__"]
     if on_bad == "fail":
         note = F.concat(F.lit("malformed verdict in "), F.col("src.file"), F.lit(": "), F.col("line"))
         good = parsed.where(F.when(is_bad, F.raise_error(note).cast("boolean")).otherwise(F.lit(True)))
     else:
         good = parsed.where(~is_bad)
-    good = good.where(~_truthy(F.col("rec.__meta__")))
     columns = [F.col(f"rec.{n}").alias(n) for n in names]
     if strict:
         reason = schema.reason_field
@@ -134,6 +151,26 @@ def read_stories(spark: SparkSession, path: str, multi_line: bool = True,
         "s.priority", "s.passes", "s.attempts", F.col("s.timeoutSeconds").alias("timeout_text"), "s.notes")
 
 
+def read_acceptance(spark: SparkSession, path: str) -> dict:
+    """Acceptance configuration of one story document: ``max_attempts``, ``default_gate``."""
+    row = _documents(spark, path, STORIES_DOC_SCHEMA, True).select("acceptance").first()
+    return json.loads(row.acceptance) if row and row.acceptance else {}
+
+
+# Raw write events: the tool and its input appear under either of two names.
+_INPUT = "struct<file_path: string, path: string, notebook_path: string>"
+EVENT_TYPE = f"struct<tool_name: string, name: string, tool_input: {_INPUT}, input: {_INPUT}, shard_root: string>"
+
+
+def read_write_events(spark: SparkSession, path: str) -> DataFrame:
+    """Tool-call lines as rows for the write audit."""
+    events = read_lines(spark, path).select(F.from_json("line", EVENT_TYPE).alias("e"), "src")
+    target = F.coalesce("e.tool_input", "e.input")
+    return events.select(
+        "e.shard_root", F.coalesce("e.tool_name", "e.name").alias("tool_name"), target["file_path"].alias("file_path"),
+        target["path"].alias("path"), target["notebook_path"].alias("notebook_path"), "src")
+
+
 def read_logs(spark: SparkSession, path: str, glob: str = "*.log", shard_pattern: str = SHARD_IN_PATH,
               source_pattern: str = r"/(?:source=)?([A-Za-z]+)(?:\.log|/[^/]*)$") -> DataFrame:
     """Log lines as ``shard_id, source, seq, line``.

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from labelloom.functions.columns import true
 from labelloom.model import VerdictSchema
 from labelloom.operators.intake import first_by, mark_errors
 from labelloom.sources.sinks import exists
@@ -22,33 +22,32 @@ def quarantine_path(sink: str) -> str:
     return f"{sink.rstrip('/')}/quarantine"
 
 
-def verdict_stream(spark: SparkSession, path: str, schema: VerdictSchema, max_files: int = 1_000) -> DataFrame:
-    """JSON-lines verdict files as a stream, meta rows dropped; unreadable lines keep NULL fields."""
-    rows = (spark.readStream.schema(schema.read_schema()).option("maxFilesPerTrigger", max_files).json(path))
-    return rows.where(~true(rows["__meta__"] == "true")).drop("__meta__")
-
-
 def absorb_batch(batch: DataFrame, batch_id: int, sink: str, stream_id: str, schema: VerdictSchema,
                  version: str, order_cols: Sequence[str] = ()) -> None:
     """Add one micro-batch to the accepted and quarantine tables, each id once.
 
     Bad rows leave before ids are compared, so rows without id cannot swallow
     each other. The part of ``(stream_id, batch_id)`` is overwritten and not
-    compared with itself: a replay ends in the same tables.
+    compared with itself: a replay ends in the same tables. Of equal ids in one
+    micro-batch the first by ``order_cols`` stays, by default the first line.
     """
     spark = batch.sparkSession
     part = f"stream_id={stream_id}/batch_id={batch_id}"
+    if not order_cols and {"_file", "_block"} <= set(batch.columns):
+        batch, order_cols = batch.withColumn("_row", F.monotonically_increasing_id()), ["_file", "_block", "_row"]
     marked = mark_errors(batch, schema, version).persist()
     try:
         key = schema.id_field
         marked.where(F.size("errors") > 0).write.mode("overwrite").parquet(f"{quarantine_path(sink)}/{part}")
-        good = first_by(marked.where(F.size("errors") == 0).drop("errors"), [key], order_cols).persist()
+        clean = marked.where(F.size("errors") == 0).drop("errors", "malformed")
+        good = first_by(clean, [key], order_cols).drop("_file", "_block", "_row").persist()
         try:
             # Counting fills the cache, whose exact size then decides how the ids are joined.
             good.count()
             fresh = good
             if exists(spark, accepted_path(sink)):
-                earlier = spark.read.parquet(accepted_path(sink)).where(
+                table = T.StructType(good.schema.fields).add("stream_id", "string").add("batch_id", "long")
+                earlier = spark.read.schema(table).parquet(accepted_path(sink)).where(
                     ~((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)))
                 # The semi join keeps only ids of this micro-batch from the large table.
                 known = earlier.join(good.select(key), key, "left_semi").select(key)

@@ -46,11 +46,9 @@ class Inputs:
     def _plan(self) -> tuple[DataFrame, DataFrame]:
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _PLANS:
-            tasks = batchify(self.task_ids, ["task_id"])
-            batches = auto_split(batch_table(tasks), N_SHARDS)
-            kept = materialize(batches, "batches")
-            members = tasks.join(kept.select("batch_idx", "shard_id"), "batch_idx")
-            _PLANS[key] = (kept, materialize(members.select("shard_id", "batch_idx", "task_id", "pos"), "members"))
+            tasks = auto_split(batchify(self.task_ids, ["task_id"]), N_SHARDS)
+            members = materialize(tasks.select("shard_id", "batch_idx", "task_id", "pos"), "members")
+            _PLANS[key] = (materialize(auto_split(batch_table(members), N_SHARDS), "batches"), members)
         return _PLANS[key]
 
     @property
@@ -72,18 +70,19 @@ class Inputs:
     @cached_property
     def verdicts(self) -> DataFrame:
         labels = self.table("labels").select(F.col("doc_id").alias("task_id"), "quality", "toxic")
-        texts = self.tasks.select("task_id", F.col("text").alias("reason"))
+        # The length is taken at the scan, so that checks need no text behind the join.
+        texts = self.tasks.select("task_id", F.col("text").alias("reason"), F.length("text").alias("reason_chars"))
         place = self.members.select("task_id", "shard_id", F.col("pos").alias("seq"))
         return labels.join(place, "task_id").join(texts, "task_id").select(
             "shard_id", "task_id", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("qa"), "reason",
-            F.when(F.col("toxic") == 1, "v0").otherwise("v1").alias("schema_version"), "seq")
+            F.when(F.col("toxic") == 1, "v0").otherwise("v1").alias("schema_version"), "seq", "reason_chars")
 
     @property
     def relabels(self) -> DataFrame:
         """Second verdicts for every row of the old version."""
         return self.verdicts.where("schema_version = 'v0'").select(
             "shard_id", "task_id", F.lit("no").alias("qa"), "reason", F.lit("v1").alias("schema_version"),
-            (F.col("seq") + 1_000_000_000).alias("seq"))
+            (F.col("seq") + 1_000_000_000).alias("seq"), "reason_chars")
 
     @property
     def verdicts_dirty(self) -> DataFrame:
@@ -191,6 +190,7 @@ class Inputs:
 def submitted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Join texts with labels into submission rows (also for a stream of texts)."""
     qa = F.when(F.col("quality") == 1, "yes").when(F.col("lang") == "en", "no").when(F.col("lang") == "fr", "maybe")
-    return docs.join(labels, "doc_id").select(
-        F.col("source").alias("shard_id"), F.md5("text").alias("task_id"), qa.alias("qa"), F.col("text").alias("reason"),
-        F.when(F.col("toxic") == 1, "v0").otherwise("v1").alias("schema_version"), F.col("doc_id").alias("seq"))
+    facts = docs.withColumns({"task_id": F.md5("text"), "reason_chars": F.length("text")})
+    return facts.join(labels, "doc_id").select(
+        F.col("source").alias("shard_id"), "task_id", qa.alias("qa"), F.col("text").alias("reason"),
+        F.when(F.col("toxic") == 1, "v0").otherwise("v1").alias("schema_version"), F.col("doc_id").alias("seq"), "reason_chars")
