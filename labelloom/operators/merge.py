@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from labelloom.cluster import as_lookup
 from labelloom.functions.columns import row_errors, with_chars
 from labelloom.model import EXAMPLES, SAMPLE_SEED, SAMPLE_SIZE, VerdictSchema
-from labelloom.operators.audit import against_declared, coverage, repeats
+from labelloom.operators.audit import against_declared, coverage
 from labelloom.operators.report import assert_clean, check_rows, union_reports
 from labelloom.sources.sinks import publish, write_ordered
 
@@ -36,13 +36,17 @@ def dup_report(df: DataFrame, key_cols: Sequence[str], n_examples: int = EXAMPLE
         F.coalesce(c, F.lit("")).alias(c) if df.schema[c].dataType.typeName() == "string" else F.col(c)
         for c in key_cols
     ])
-    total = keyed.agg(F.lit(1).alias("_k"), F.count(F.lit(1)).alias("n_rows"))
-    # No group: one constant group column keeps the shared code simple.
-    found = repeats(keyed.withColumn("_k", F.lit(1)), ["_k"], key_cols, n_examples)
-    return total.join(found, "_k", "left").select(
-        "n_rows", F.coalesce("n_surplus", F.lit(0)).cast("bigint").alias("n_surplus"),
-        F.coalesce("n_keys", F.lit(0)).cast("bigint").alias("n_keys"),
-        F.coalesce("examples", F.lit("")).alias("examples"))
+    per_key = keyed.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n"))
+    facts = per_key.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_surplus"),
+        F.count_if(F.col("_n") > 1).alias("n_keys"))
+    text = F.concat_ws("/", *[F.col(k).cast("string") for k in key_cols])
+    shown = per_key.where("_n > 1").orderBy(*key_cols).limit(n_examples).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*key_cols, text.alias("_t")))), lambda x: x["_t"]), ",")
+        .alias("examples"))
+    both = facts.unionByName(shown, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("n_rows", "n_surplus", "n_keys", "examples")])
 
 
 def alignment(verdicts: DataFrame, baseline: DataFrame, key: str = "task_id") -> DataFrame:

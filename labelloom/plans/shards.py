@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.cluster import as_lookup
 from labelloom.functions.columns import batch_label, range_label, shard_name, shard_name_of
 from labelloom.model import PlanError, ShardRange
 from labelloom.operators.index import dense_index, earlier_max
@@ -168,12 +168,14 @@ def check_plan(header: DataFrame, batches: DataFrame, heads: DataFrame, allow_em
     ``header`` is the one-row baseline header with ``n_batches, total_tasks``.
     """
     floor = 0 if allow_empty else 1
-    facts = as_lookup(header.select(
-        F.lit(1).alias("k"), F.col("n_batches").cast("bigint").alias("n_batches"),
-        F.col("total_tasks").cast("bigint").alias("total_tasks")))
-    counted = batches.agg(F.lit(1).alias("k"), F.count(F.lit(1)).alias("n_rows"))
-    planned = heads.agg(F.lit(1).alias("k"), F.sum("total_tasks").cast("bigint").alias("n_planned"))
-    one = facts.join(counted, "k", "left").join(planned, "k", "left")
+    number = "bigint"
+    facts = [
+        header.select(F.col("n_batches").cast(number), F.col("total_tasks").cast(number)),
+        batches.agg(F.count(F.lit(1)).cast(number).alias("n_rows")),
+        heads.agg(F.sum("total_tasks").cast(number).alias("n_planned")),
+    ]
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), facts)
+    one = stacked.agg(*[F.max(c).alias(c) for c in ("n_batches", "total_tasks", "n_rows", "n_planned")])
 
     def check(subject: str, ok, detail):
         return F.struct(F.lit(subject).alias("subject"), F.coalesce(ok, F.lit(False)).alias("passed"),

@@ -175,7 +175,8 @@ def read_logs(spark: SparkSession, path: str, glob: str = "*.log", shard_pattern
               source_pattern: str = r"/(?:source=)?([A-Za-z]+)(?:\.log|/[^/]*)$") -> DataFrame:
     """Log lines as ``shard_id, source, seq, line``.
 
-    ``seq`` is the line order; a missing log simply has no rows.
+    ``seq`` is the line order; a missing log simply has no rows. Folders with a
+    leading dot are only read when ``path`` names them, for instance by ``/data/.shard-*``.
     """
     lines = read_lines(spark, path, glob)
     return lines.select(
