@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.cluster import as_lookup
-from labelloom.functions.columns import row_errors, with_chars
-from labelloom.model import EXAMPLES, SAMPLE_SEED, SAMPLE_SIZE, VerdictSchema
+from labelloom.functions.columns import long_enough, row_errors, with_chars
+from labelloom.model import EXAMPLES, SAMPLE_SEED, SAMPLE_SIZE, PlanError, VerdictSchema
 from labelloom.operators.audit import against_declared, coverage
 from labelloom.operators.report import assert_clean, check_rows, union_reports
 from labelloom.sources.sinks import publish, write_ordered
@@ -62,11 +62,22 @@ def sample_rows(verdicts: DataFrame, id_field: str, n: int = SAMPLE_SIZE, seed:
 
 
 def sample_audit(verdicts: DataFrame, schema: VerdictSchema, version: str, n: int | None = SAMPLE_SIZE,
-                 seed: int = SAMPLE_SEED, tie_cols: Sequence[str] = ()) -> DataFrame:
-    """Schema violations of a repeatable sample, one row each; ``n=None`` scans everything (M4)."""
+                 seed: int = SAMPLE_SEED, tie_cols: Sequence[str] = (), reason_policy: str = "all") -> DataFrame:
+    """Schema violations of a repeatable sample, one row each; ``n=None`` scans everything (M4).
+
+    ``reason_policy="all"`` reports every short reason; ``"ratio"`` allows them
+    as the batch gate does, while the share of long ones reaches the minimum.
+    """
+    if reason_policy not in ("all", "ratio"):
+        raise PlanError(f"reason_policy is 'all' or 'ratio', got {reason_policy!r}")
     rows = verdicts if n is None else sample_rows(verdicts, schema.id_field, n, seed, tie_cols)
     rows = with_chars(rows, schema)
-    return rows.select(F.col(schema.id_field).alias("task_id"), F.explode(row_errors(schema, version)).alias("error"))
+    found = rows.select(F.col(schema.id_field).alias("task_id"), F.explode(row_errors(schema, version)).alias("error"))
+    if reason_policy == "ratio":
+        share = rows.agg(F.avg(long_enough(schema).cast("int"))).first()[0]
+        if share is not None and share >= schema.reason_long_ratio_min:
+            found = found.where(F.col("error") != f"{schema.reason_field} length")
+    return found
 
 
 def ordered_merge(verdicts: DataFrame, baseline_order: DataFrame, seq_cols: Sequence[str] | None = None) -> DataFrame:
@@ -122,7 +133,8 @@ def id_facts(verdicts: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def merge_report(verdicts: DataFrame, baseline_order: DataFrame, declared: DataFrame, schema: VerdictSchema,
-                 version: str, total: int | None = None, n: int | None = SAMPLE_SIZE) -> DataFrame:
+                 version: str, total: int | None = None, n: int | None = SAMPLE_SIZE,
+                 reason_policy: str = "all") -> DataFrame:
     """The five merge layers as audit rows; totals, repeats and alignment share one shuffle by id."""
     text = F.format_string
     facts = as_lookup(id_facts(verdicts, baseline_order))
@@ -140,7 +152,7 @@ def merge_report(verdicts: DataFrame, baseline_order: DataFrame, declared: DataF
                        n_bad=F.col("n_missing") + F.col("n_extra"),
                        example=F.coalesce("missing_example", "extra_example"),
                        detail=text("missing %d, extra %d", F.col("n_missing"), F.col("n_extra")))
-    sample = sample_audit(verdicts, schema, version, n).agg(
+    sample = sample_audit(verdicts, schema, version, n, reason_policy=reason_policy).agg(
         F.count(F.lit(1)).alias("n_bad"), F.min(F.concat_ws(": ", "task_id", "error")).alias("example"))
     sampled = check_rows(sample, "5 sample", F.lit("schema"), F.col("n_bad") == 0)
     return union_reports([counts, totals, unique, align, sampled])
@@ -153,13 +165,13 @@ def output_name(stem: str, kind: str = "merged", day: date | None = None) -> str
 def merge_publish(verdicts: DataFrame, baseline_order: DataFrame, declared: DataFrame, schema: VerdictSchema,
                   version: str, out_dir: str, stem: str = "merged", total: int | None = None,
                   prefix: DataFrame | None = None, prefix_order: str = "seq", dry_run: bool = False,
-                  day: date | None = None, fmt: str = "json") -> list[str]:
+                  day: date | None = None, fmt: str = "json", reason_policy: str = "all") -> list[str]:
     """Audit, then write; any failed layer raises and leaves no output (M7).
 
     Returns the written paths: the merged set, and the combined one if a
     ``prefix`` was given.
     """
-    assert_clean(merge_report(verdicts, baseline_order, declared, schema, version, total))
+    assert_clean(merge_report(verdicts, baseline_order, declared, schema, version, total, reason_policy=reason_policy))
     if dry_run:
         return []
     merged = ordered_merge(verdicts.drop(schema.chars_field), baseline_order)

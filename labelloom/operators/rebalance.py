@@ -70,15 +70,16 @@ def next_ids(plan: DataFrame, existing: DataFrame, scope: str = "global") -> Dat
 
 
 def new_batches(plan: DataFrame) -> DataFrame:
-    """One row per new batch: ``shard_id, batch_idx, story_id, n_tasks``."""
+    """One row per new batch: ``shard_id, batch_idx, story_id, n_tasks, ordinal``."""
     return plan.groupBy(F.col("target").alias("shard_id"), F.col("new_batch_idx").alias("batch_idx")).agg(
-        F.count(F.lit(1)).alias("n_tasks")).withColumn("story_id", batch_label(F.col("batch_idx")))
+        F.count(F.lit(1)).alias("n_tasks"), F.min("ordinal").alias("ordinal"),
+    ).withColumn("story_id", batch_label(F.col("batch_idx")))
 
 
 def new_stories(added: DataFrame, stories: DataFrame, root_prefix: str = ".shard-") -> DataFrame:
     """Stories for new batches: priority after the shard's largest, in batch order."""
     tops = as_lookup(stories.groupBy("shard_id").agg(F.max("priority").alias("_top"), F.max("pos").alias("_last")))
-    numbered = dense_index(added, ["batch_idx"], ["shard_id"], "_n").join(tops, "shard_id", "left")
+    numbered = added.withColumn("_n", F.col("ordinal") + 1).join(tops, "shard_id", "left")
     root = F.concat(F.lit(root_prefix), F.col("shard_id"), F.lit("/"))
     touched = ["state/verdicts.jsonl", "state/seen_task_ids.json", "stories.json", "progress.txt"]
     return numbered.select(
@@ -112,6 +113,32 @@ def append_plan(batches: DataFrame, stories: DataFrame, plan: DataFrame,
     return {"batches": grown, "stories": all_stories, "totals": totals, "log": log}
 
 
+def first_assignments(members: DataFrame) -> DataFrame:
+    """Assignments ``task_id, shard_id, batch_idx, pos, generation, active`` of a fresh plan."""
+    return members.select("task_id", "shard_id", "batch_idx", "pos", F.lit(0).cast("bigint").alias("generation"),
+                          F.lit(True).alias("active"))
+
+
+def reassign(assignments: DataFrame, drained: DataFrame, plan: DataFrame, generation: int) -> DataFrame:
+    """Close the drained rows and add the planned ones as a new generation.
+
+    Finished tasks stay with their shard. Audits use :func:`active_members`, so
+    a moved task counts once; a merge takes the verdicts of all generations.
+    """
+    keys = ["shard_id", "task_id"]
+    moved = drained.select(*keys).distinct().withColumn("_moved", F.lit(True))
+    kept = assignments.join(moved, keys, "left").select(
+        "task_id", "shard_id", "batch_idx", "pos", "generation", (F.col("active") & F.col("_moved").isNull()).alias("active"))
+    added = plan.select(
+        "task_id", F.col("target").alias("shard_id"), F.col("new_batch_idx").alias("batch_idx"),
+        F.col("pool_pos").alias("pos"), F.lit(generation).cast("bigint").alias("generation"), F.lit(True).alias("active"))
+    return kept.unionByName(added)
+
+
+def active_members(assignments: DataFrame) -> DataFrame:
+    return assignments.where("active").select("shard_id", "batch_idx", "task_id", "pos")
+
+
 def check_rebalance(from_shards: Sequence[str], keep_shards: Sequence[str], target: str = "keep") -> None:
     """Refuse shard lists that clash or a keep target without shards."""
     both = sorted(set(from_shards) & set(keep_shards))

@@ -97,3 +97,13 @@ def test_failed_audit_leaves_no_output(world, make, tmp_path):
 def test_union_shards_allows_other_columns(make):
     both = M.union_shards([make("shard_id string, task_id string", ("a", "t1")), make("shard_id string, task_id string, note string", ("b", "t2", "n"))])
     assert rows(both, "task_id", "note") == [("t1", None), ("t2", "n")]
+
+
+def test_reason_policy(world, make):
+    data = make(ROW, *[(*d[:3], "short" if i == 0 else LONG, "v1", i) for i, d in enumerate(world[2])])
+    assert rows(M.sample_audit(data, RULES, "v1"), "task_id", "error") == [("t00", "reason length")]
+    assert M.sample_audit(data, RULES, "v1", reason_policy="ratio").count() == 0
+    half = make(ROW, *[(*d[:3], "short" if i % 2 else LONG, "v1", i) for i, d in enumerate(world[2])])
+    assert M.sample_audit(half, RULES, "v1", reason_policy="ratio").count() == 10
+    with pytest.raises(Exception):
+        M.sample_audit(data, RULES, "v1", reason_policy="x")

@@ -89,3 +89,16 @@ def test_checks():
     for args in ((["a", "b"], ["b"]), (["a"], []), (["a"], ["b"], "elsewhere")):
         with pytest.raises(PlanError):
             R.check_rebalance(*args)
+
+
+def test_reassigned_tasks_count_once(members, verdicts, make):
+    drained = R.drain(members, verdicts, ["c", "d"])
+    plan = R.next_ids(R.rebatch(R.pool(drained, ["c", "d"]), ["a", "b"], 10), members)
+    moved = R.reassign(R.first_assignments(members), drained, plan, 1)
+    active = R.active_members(moved)
+    assert rows(active.groupBy("shard_id").count()) == [("a", 56), ("b", 50), ("c", 15)]
+    everything = members.select("task_id").distinct()
+    assert rows(coverage(active, everything), "n_missing", "n_extra") == [(0, 0)]
+    # t060 was seen in shard c and pending in d, so it stays with c and is planned anew for d.
+    assert rows(active.where("task_id = 't060'"), "shard_id") == [("b",), ("c",)]
+    assert moved.where("NOT active").count() == 46

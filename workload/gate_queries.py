@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.cluster import scratch_path
+from labelloom.cluster import materialize, scratch_path
 from labelloom.operators import gates as G
 from labelloom.operators import intake as V
 from labelloom.streaming import ingest as N
@@ -149,6 +149,8 @@ def run_gates(i: Inputs) -> DataFrame:
 def finalize(i: Inputs) -> DataFrame:
     results = G.ExprGate(LONG_MEAN).evaluate(i.verdicts_dirty, i.members).join(
         i.batches.select("batch_idx", "shard_id", "story_id"), "batch_idx")
+    # Results are a table of their own between judging and finalizing.
+    results = materialize(results, "gate_results")
     return G.finalize(i.stories, results).select("shard_id", "story_id", "passes", "attempts", "token")
 
 

@@ -1,11 +1,12 @@
 """The same input views as DataFrames, built with the library's own operators.
 
-Plan tables (batches and members) are computed once per session and folder and
+Plan tables (batches, members and text-keyed members) are computed once per session and folder and
 kept as tables, as a real run plans once and then reads its plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ SCHEMA = VerdictSchema(valid_qa=("yes", "no"))
 VERSION = "v1"
 N_SHARDS = 4
 
-_PLANS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_PLANS: dict[tuple[str, str, str], tuple[DataFrame, ...]] = {}
 
 
 def letter(ordinal: Column) -> Column:
@@ -43,13 +44,19 @@ class Inputs:
     def task_ids(self) -> DataFrame:
         return self.tasks.select("task_id")
 
-    def _plan(self) -> tuple[DataFrame, DataFrame]:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+    def _once(self, name: str, build: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _PLANS:
+            _PLANS[key] = build()
+        return _PLANS[key]
+
+    def _plan(self) -> tuple[DataFrame, ...]:
+        def build():
             tasks = auto_split(batchify(self.task_ids, ["task_id"]), N_SHARDS)
             members = materialize(tasks.select("shard_id", "batch_idx", "task_id", "pos"), "members")
-            _PLANS[key] = (materialize(auto_split(batch_table(members), N_SHARDS), "batches"), members)
-        return _PLANS[key]
+            return materialize(auto_split(batch_table(members), N_SHARDS), "batches"), members
+
+        return self._once("plan", build)
 
     @property
     def batches(self) -> DataFrame:
@@ -62,10 +69,13 @@ class Inputs:
     @property
     def members_dirty(self) -> DataFrame:
         """Ids from text, so that copies share an id; the shard is the source."""
-        docs = self.table("documents").select(
-            F.col("doc_id").alias("d"), F.col("source").alias("shard_id"), F.md5("text").alias("task_id"))
-        place = self.members.select(F.col("task_id").alias("d"), "batch_idx", "pos")
-        return docs.join(place, "d").drop("d")
+        def build():
+            docs = self.table("documents").select(
+                F.col("doc_id").alias("d"), F.col("source").alias("shard_id"), F.md5("text").alias("task_id"))
+            place = self.members.select(F.col("task_id").alias("d"), "batch_idx", "pos")
+            return (materialize(docs.join(place, "d").drop("d"), "members_dirty"),)
+
+        return self._once("members_dirty", build)[0]
 
     @cached_property
     def verdicts(self) -> DataFrame:

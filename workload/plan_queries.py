@@ -124,8 +124,8 @@ def refresh_stories(i: Inputs) -> DataFrame:
                      printf('baseline %d, shards %d', d.total_tasks, h.total_tasks) FROM h, d""")
 def check_plan(i: Inputs) -> DataFrame:
     """The baseline header counts distinct texts, so copies break conservation."""
-    texts = i.tasks.agg(F.lit(1).alias("k"), F.count_distinct(F.md5("text")).alias("total_tasks"))
-    header = i.batches.agg(F.lit(1).alias("k"), F.count(F.lit(1)).alias("n_batches")).join(texts, "k")
+    n_texts = i.tasks.agg(F.count_distinct(F.md5("text"))).first()[0]
+    header = i.batches.agg(F.count(F.lit(1)).alias("n_batches")).withColumn("total_tasks", F.lit(n_texts))
     return S.check_plan(header, i.batches, S.shard_headers(i.batches)).drop("example")
 
 
@@ -272,6 +272,18 @@ def append_plan_log(i: Inputs) -> DataFrame:
     return _appended(i)["log"].drop("ts")
 
 
+@query("reassign", f"""
+    WITH {PLAN_SQL}
+    SELECT m.task_id, m.shard_id, m.batch_idx, m.pos, CAST(0 AS BIGINT) AS generation, NOT EXISTS (
+        SELECT 1 FROM drained d WHERE d.shard_id = m.shard_id AND d.task_id = m.task_id) AS active FROM v_members_dirty m
+    UNION ALL
+    SELECT task_id, target, CAST(slice + 1 + (SELECT max(batch_idx) FROM existing) AS BIGINT), pool_pos, 1, true FROM plan""")
+def reassign(i: Inputs) -> DataFrame:
+    """Drained memberships close, planned ones open as generation 1."""
+    plan = R.next_ids(_plan(i), _existing(i))
+    return R.reassign(R.first_assignments(i.members_dirty), _drained(i), plan, 1)
+
+
 @query("check_rebalance", """
     WITH left_over AS (
         SELECT m.task_id, row_number() OVER (ORDER BY m.batch_idx, m.pos) AS n FROM v_members m
