@@ -25,22 +25,28 @@ MAX_GATE_CONFIGS = 1_000
 # ---- G1-G6: one pass of measures, one check each -------------------------
 
 
-def batch_measures(verdicts: DataFrame, batch_tasks: DataFrame, schema: VerdictSchema, version: str) -> DataFrame:
+def batch_measures(verdicts: DataFrame, batch_tasks: DataFrame, schema: VerdictSchema, version: str,
+                   within: Sequence[str] = ()) -> DataFrame:
     """All facts the schema gates need, one row per batch.
 
+    ``within`` names further columns that must agree, such as ``shard_id`` when
+    one id has verdicts in several shards.
+
     Verdicts first collapse to one row per (id, label), so an id repeated
     millions of times reaches the join as a few rows. Reasons travel as their
     length only.
     """
     qa = F.col(schema.qa_field)
-    per_label = with_chars(verdicts, schema).groupBy(F.col(schema.id_field).alias("task_id"), qa.alias("_qa")).agg(
+    per_label = with_chars(verdicts, schema).groupBy(
+        F.col(schema.id_field).alias("task_id"), *within, qa.alias("_qa"),
+    ).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count_if(~has_fields(schema.checked_fields, schema)).alias("_incomplete"),
         F.count_if(~F.col("schema_version").eqNullSafe(version)).alias("_other_version"),
         F.count_if(~in_labels(qa, schema.valid_qa)).alias("_bad_label"),
         F.count_if(long_enough(schema)).alias("_long"),
     )
-    joined = batch_tasks.select("batch_idx", "task_id").join(per_label, "task_id", "left")
+    joined = batch_tasks.select("batch_idx", "task_id", *within).join(per_label, ["task_id", *within], "left")
 
     def total(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0)).cast("bigint")
@@ -116,8 +122,9 @@ def judge(measures: DataFrame, schema: VerdictSchema, checks: Sequence[str] = tu
 
 
 def _single(check: str):
-    def gate(verdicts: DataFrame, batch_tasks: DataFrame, schema: VerdictSchema, version: str) -> DataFrame:
-        return judge(batch_measures(verdicts, batch_tasks, schema, version), schema, [check], check)
+    def gate(verdicts: DataFrame, batch_tasks: DataFrame, schema: VerdictSchema, version: str,
+             within: Sequence[str] = ()) -> DataFrame:
+        return judge(batch_measures(verdicts, batch_tasks, schema, version, within), schema, [check], check)
 
     gate.__name__ = f"gate_{check}"
     gate.__doc__ = f"Only the ``{check}`` check; unused measures are pruned from the plan."
@@ -132,9 +139,10 @@ gate_reason_ratio = _single("reason_ratio")
 gate_distinct_qa = _single("distinct_qa")
 
 
-def gate_batches(verdicts: DataFrame, batch_tasks: DataFrame, schema: VerdictSchema, version: str) -> DataFrame:
+def gate_batches(verdicts: DataFrame, batch_tasks: DataFrame, schema: VerdictSchema, version: str,
+                 within: Sequence[str] = ()) -> DataFrame:
     """All six schema checks in one join and one aggregate."""
-    return judge(batch_measures(verdicts, batch_tasks, schema, version), schema)
+    return judge(batch_measures(verdicts, batch_tasks, schema, version, within), schema)
 
 
 # ---- Gate objects ---------------------------------------------------------
@@ -154,14 +162,21 @@ class SchemaGate:
 
 @dataclass(frozen=True)
 class ExprGate:
-    """Passes where a boolean SQL aggregate over the batch's verdict rows is true."""
+    """Passes where a boolean SQL aggregate over the batch's verdict rows is true.
+
+    The condition may use ``reason_chars``, the length of the reason; then no
+    text is shuffled.
+    """
 
     condition: str
     name: str = "expr"
     type: str = "expr"
+    schema: VerdictSchema = VerdictSchema()
 
     def evaluate(self, verdicts: DataFrame, batch_tasks: DataFrame) -> DataFrame:
         # An inner join lets adaptive execution split the rows of a hot id.
+        if self.schema.reason_field in verdicts.columns:
+            verdicts = with_chars(verdicts, self.schema)
         rows = verdicts.drop("batch_idx").join(batch_tasks.select("batch_idx", "task_id"), "task_id")
         held = rows.groupBy("batch_idx").agg(F.expr(self.condition).alias("_ok"))
         return _all_batches(batch_tasks, held, self.name, self.condition)

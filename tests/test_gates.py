@@ -176,3 +176,17 @@ def test_hot_id_reaches_the_join_combined(spark, make):
                                    F.lit(LONG).alias("reason"), F.lit("v1").alias("schema_version"))
     row = G.gate_batches(hot, make(TASK, (1, "t1"), (1, "t2")), RULES, "v1").collect()[0]
     assert (row.n_rows, row.n_tasks, row.n_missing, row.n_labels) == (5000, 2, 0, 1)
+
+
+def test_same_id_in_two_shards_is_judged_per_shard(make):
+    batch = make("shard_id string, batch_idx bigint, task_id string", ("a", 1, "t1"), ("b", 2, "t1"))
+    data = make("shard_id string, " + ROW, ("a", "t1", "yes", LONG, "v1"))
+    rules = VerdictSchema()
+    assert rows(G.gate_batches(data, batch, rules, "v1"), "batch_idx", "passed") == [(1, True), (2, True)]
+    assert rows(G.gate_batches(data, batch, rules, "v1", ["shard_id"]), "batch_idx", "passed") == [(1, True), (2, False)]
+
+
+def test_expression_may_use_the_reason_length(make):
+    gate = G.ExprGate("min(reason_chars) >= 200")
+    got = gate.evaluate(make(ROW, ("t1", "yes", LONG, "v1"), ("t2", "yes", "x", "v1")), make(TASK, (1, "t1"), (2, "t2")))
+    assert rows(got, "batch_idx", "passed") == [(1, True), (2, False)]

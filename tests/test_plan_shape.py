@@ -42,9 +42,10 @@ def test_no_nested_loops_even_without_broadcast(spark, no_broadcast, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_gates_shuffle_no_text(spark, no_broadcast):
+@pytest.mark.parametrize("gate", [G.SchemaGate(SCHEMA, VERSION), G.ExprGate("avg(reason_chars) > 9")])
+def test_gates_shuffle_no_text(spark, no_broadcast, gate):
     i = Inputs(spark, SF)
-    text = plan_of(G.gate_batches(i.verdicts_dirty, i.members, SCHEMA, VERSION))
+    text = plan_of(gate.evaluate(i.verdicts_dirty, i.members))
     for block in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", text):
         assert not re.search(r"\b(text|reason)#", block), block
 

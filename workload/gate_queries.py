@@ -17,7 +17,7 @@ DEFAULT_GATE = {
     "schema_version": VERSION,
     "verdict_schema": {"required_fields": ["task_id", "qa", "reason"], "valid_qa": ["yes", "no"]},
 }
-LONG_MEAN = "avg(length(reason)) > 1500 AND count_if(qa = 'no') >= 1"
+LONG_MEAN = "avg(reason_chars) > 1500 AND count_if(qa = 'no') >= 1"
 
 
 def _shown(results: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ EXPR_SQL = """
     exprs AS (
         SELECT m.batch_idx, coalesce(avg(length(v.reason)) > 1500 AND count(*) FILTER (WHERE v.qa = 'no') >= 1, false) AS ok
         FROM v_members m LEFT JOIN v_verdicts_dirty v ON v.task_id = m.task_id GROUP BY m.batch_idx)"""
-EXPR_TEXT = "(expr) avg(length(reason)) > 1500 AND count_if(qa = ''no'') >= 1"
+EXPR_TEXT = "(expr) avg(reason_chars) > 1500 AND count_if(qa = ''no'') >= 1"
 
 
 @query("expr_gate", f"""
