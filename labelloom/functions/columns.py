@@ -73,10 +73,14 @@ def with_chars(verdicts: DataFrame, schema: VerdictSchema) -> DataFrame:
 
     A table that carries it already is checked without reading any text;
     otherwise it is computed where the text is scanned, before any shuffle.
+    Fields the table does not have at all become NULL, that is, missing.
     """
+    wanted = [*schema.checked_fields, schema.id_field, schema.qa_field, schema.reason_field]
+    absent = {n: F.lit(None).cast("string") for n in wanted if n not in verdicts.columns}
+    full = verdicts.withColumns(absent) if absent else verdicts
     if schema.chars_field in verdicts.columns:
-        return verdicts
-    return verdicts.withColumn(schema.chars_field, F.length(schema.reason_field))
+        return full
+    return full.withColumn(schema.chars_field, F.length(schema.reason_field))
 
 
 def long_enough(schema: VerdictSchema) -> Column:

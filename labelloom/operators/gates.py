@@ -175,9 +175,8 @@ class ExprGate:
 
     def evaluate(self, verdicts: DataFrame, batch_tasks: DataFrame) -> DataFrame:
         # An inner join lets adaptive execution split the rows of a hot id.
-        if self.schema.reason_field in verdicts.columns:
-            verdicts = with_chars(verdicts, self.schema)
-        rows = verdicts.drop("batch_idx").join(batch_tasks.select("batch_idx", "task_id"), "task_id")
+        ready = with_chars(verdicts, self.schema).withColumnRenamed(self.schema.id_field, "task_id")
+        rows = ready.drop("batch_idx").join(batch_tasks.select("batch_idx", "task_id"), "task_id")
         held = rows.groupBy("batch_idx").agg(F.expr(self.condition).alias("_ok"))
         return _all_batches(batch_tasks, held, self.name, self.condition)
 
@@ -195,10 +194,11 @@ class RowGate:
     min_share: float = 1.0
     name: str = "rows"
     type: str = "rows"
+    schema: VerdictSchema = VerdictSchema()
 
     def evaluate(self, verdicts: DataFrame, batch_tasks: DataFrame) -> DataFrame:
         fits = F.pandas_udf(self.check, "boolean")
-        marked = verdicts.select("task_id", fits(*[F.col(c) for c in self.columns]).alias("_fits"))
+        marked = verdicts.select(F.col(self.schema.id_field).alias("task_id"), fits(*[F.col(c) for c in self.columns]).alias("_fits"))
         rows = marked.join(batch_tasks.select("batch_idx", "task_id"), "task_id")
         share = F.avg(true(F.col("_fits")).cast("int")) >= self.min_share
         held = rows.groupBy("batch_idx").agg(share.alias("_ok"))

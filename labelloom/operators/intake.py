@@ -19,7 +19,8 @@ def mark_errors(verdicts: DataFrame, schema: VerdictSchema, version: str) -> Dat
     errors = row_errors(schema, version)
     if "malformed" in verdicts.columns:
         errors = F.when(F.col("malformed").isNotNull(), F.array(F.lit("malformed"))).otherwise(errors)
-    return with_chars(verdicts, schema).withColumn("errors", errors)
+    added = [c for c in with_chars(verdicts, schema).columns if c not in (*verdicts.columns, schema.chars_field)]
+    return with_chars(verdicts, schema).withColumn("errors", errors).drop(*added)
 
 
 def validate_rows(verdicts: DataFrame, schema: VerdictSchema, version: str) -> tuple[DataFrame, DataFrame]:

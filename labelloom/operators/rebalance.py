@@ -88,6 +88,10 @@ def new_stories(added: DataFrame, stories: DataFrame, root_prefix: str = ".shard
         F.lit("data-fill").alias("story_type"),
         F.col("n_tasks").alias("entry_count"),
         F.array(*[F.concat(root, F.lit(t)) for t in touched]).alias("modifies"),
+        F.array().cast("array<string>").alias("creates"),
+        F.array(F.format_string("exactly %d verdicts for this batch", F.col("n_tasks")), F.lit("verdict ids equal the batch's ids"),
+                F.lit("schema version as configured"), F.lit("share of long reasons as configured")).alias("acceptance_criteria"),
+        F.lit("added by a rebalance").alias("notes"),
         (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("bigint").alias("pos"),
         (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("bigint").alias("priority"),
         F.lit(False).alias("passes"),

@@ -28,18 +28,24 @@ def counter(text: Column) -> Column:
     return F.when(text.rlike("^[0-9]+$"), F.coalesce(text.try_cast("bigint"), F.lit(0))).otherwise(0)
 
 
-def circuit_break(stories: DataFrame, attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """Count one more attempt per story and push stories over the limit to the end (L2).
+def circuit_break(stories: DataFrame, attempts: DataFrame, max_retries: int = MAX_RETRIES,
+                  picked: DataFrame | None = None) -> DataFrame:
+    """Count one more attempt and push stories over the limit to the end (L2).
 
     ``attempts`` holds ``shard_id, story_id, counter_text``. Adds ``attempt``
-    and ``tripped``.
+    and ``tripped``. With ``picked`` (``shard_id, story_id``) only those stories
+    are attempted now; the others keep their count and priority.
     """
-    counted = stories.join(attempts, ["shard_id", "story_id"], "left")
-    attempt = F.coalesce(counter(F.col("counter_text")), F.lit(0)) + 1
-    tripped = attempt > max_retries
+    keys = ["shard_id", "story_id"]
+    counted = stories.join(attempts, keys, "left").withColumn("_now", F.lit(True))
+    if picked is not None:
+        now = picked.select(*keys).distinct().withColumn("_now", F.lit(True))
+        counted = counted.drop("_now").join(now, keys, "left").withColumn("_now", true(F.col("_now")))
+    attempt = F.coalesce(counter(F.col("counter_text")), F.lit(0)) + F.col("_now").cast("int")
+    tripped = F.col("_now") & (F.col("attempt") > max_retries)
     return (counted.withColumn("attempt", attempt.cast("bigint")).withColumn("tripped", tripped)
-            .withColumn("priority", F.when(tripped, TRIPPED_PRIORITY).otherwise(F.col("priority")).cast("bigint"))
-            .drop("counter_text"))
+            .withColumn("priority", F.when(F.col("tripped"), TRIPPED_PRIORITY).otherwise(F.col("priority")).cast("bigint"))
+            .drop("counter_text", "_now"))
 
 
 def reset_pending(stories: DataFrame, retries: DataFrame, alive: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -83,6 +83,14 @@ def assign_ranges(batches: DataFrame, ranges: DataFrame) -> DataFrame:
     return batches.join(points, "batch_idx").select(*batches.columns, "shard_id")
 
 
+def check_assignment(assigned: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Batches found per shard against the size of its range; a shortfall means absent batches."""
+    found = assigned.groupBy("shard_id").agg(F.count(F.lit(1)).alias("actual"))
+    rows = ranges.select("shard_id", (F.col("hi") - F.col("lo") + 1).alias("expected")).join(found, "shard_id", "left")
+    actual = F.coalesce("actual", F.lit(0)).cast("bigint")
+    return rows.select("shard_id", "expected", actual.alias("actual"), (actual == F.col("expected")).alias("passed"))
+
+
 def check_ranges(ranges: DataFrame, total: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Problems of split sets, one row each: ``kind, ordinal, lo, hi, missing_lo, missing_hi``.
 

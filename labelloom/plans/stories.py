@@ -27,6 +27,14 @@ def rebase_stories(stories: DataFrame, assignments: DataFrame, old_prefix: str =
             .drop("old_priority"))
 
 
+def story_headers(heads: DataFrame, project: str, branch: str, description: str = "") -> DataFrame:
+    """Document fields of every shard's story list, over :func:`shard_headers` rows."""
+    span = F.concat(F.lit("shard "), F.col("shard_id"), F.lit(" ("), F.col("batch_range"), F.lit(")"))
+    return heads.select(
+        "shard_id", F.concat(F.lit(f"{project}-shard-"), F.col("shard_id")).alias("project"), F.lit(branch).alias("branch"),
+        (F.concat(F.lit(f"{description} · "), span) if description else span).alias("description"))
+
+
 def refresh_stories(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Re-planned stories keep ``passes`` and ``attempts`` of those already known."""
     known = existing.select("shard_id", "story_id", F.col("passes").alias("_passes"),

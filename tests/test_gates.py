@@ -190,3 +190,14 @@ def test_expression_may_use_the_reason_length(make):
     gate = G.ExprGate("min(reason_chars) >= 200")
     got = gate.evaluate(make(ROW, ("t1", "yes", LONG, "v1"), ("t2", "yes", "x", "v1")), make(TASK, (1, "t1"), (2, "t2")))
     assert rows(got, "batch_idx", "passed") == [(1, True), (2, False)]
+
+
+def test_other_field_names_and_absent_columns(make):
+    rules = VerdictSchema(required_fields=("id", "label", "why"), id_field="id", qa_field="label", reason_field="why", min_reason_chars=2)
+    data = make("id string, label string, why string, schema_version string", ("t1", "yes", "abc", "v1"))
+    batch = make(TASK, (1, "t1"))
+    assert G.gate_batches(data, batch, rules, "v1").collect()[0].passed
+    assert G.ExprGate("min(reason_chars) = 3", schema=rules).evaluate(data, batch).collect()[0].passed
+    assert G.RowGate(lambda why: why == "abc", ("why",), schema=rules).evaluate(data, batch).collect()[0].passed
+    row = G.gate_batches(data.drop("schema_version", "why"), batch, rules, "v1").collect()[0]
+    assert [f.split(" ")[0] for f in row.failures] == ["(schema)", "(c)"]

@@ -23,6 +23,13 @@ def test_validate_rows_reasons_and_edges(make):
         (None, ["missing task_id"])]
 
 
+def test_a_required_field_without_column_is_missing(make):
+    rules = VerdictSchema(required_fields=("task_id", "qa", "reason", "text"))
+    ok, bad = validate_rows(make(ROW, ("t1", "yes", LONG, "v1")), rules, "v1")
+    assert ok.count() == 0 and "text" not in bad.columns
+    assert rows(bad, "errors") == [(["missing text"],)]
+
+
 def test_first_by_keeps_the_first_row(make):
     data = make("k string, o int, v string", ("a", 2, "x"), ("a", 1, "y"), ("b", 5, None))
     assert rows(first_by(data, ["k"], ["o"])) == [("a", 1, "y"), ("b", 5, None)]

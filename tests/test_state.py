@@ -23,6 +23,13 @@ def test_circuit_break_counts_and_trips(stories, make):
     assert rows(L.circuit_break(stories, counters.limit(0)), "attempt") == [(1,)] * 5
 
 
+def test_circuit_break_of_picked_stories_only(stories, make):
+    counters = make("shard_id string, story_id string, counter_text string", ("a", "S1", "9"), ("a", "S2", "3"))
+    picked = make("shard_id string, story_id string", ("a", "S2"), ("b", "ALL_DONE"))
+    assert rows(L.circuit_break(stories, counters, picked=picked), "story_id", "attempt", "tripped", "priority") == [
+        ("S1", 9, False, 1), ("S2", 4, True, 99999), ("S3", 0, False, 2), ("S4", 0, False, 2), ("S5", 0, False, 1)]
+
+
 def test_reset_touches_only_pending_of_dead_shards(stories, make):
     retries = make("shard_id string, story_id string, n bigint", ("a", "S1", 1), ("a", "S2", 2), ("b", "S5", 3))
     out, left = L.reset_pending(stories, retries, make("shard_id string, alive boolean", ("b", True)))

@@ -136,6 +136,20 @@ def circuit_break(i: Inputs) -> DataFrame:
     return L.circuit_break(i.stories, counters).select("shard_id", "story_id", "attempt", "tripped", "priority")
 
 
+@query("circuit_break_picked", """
+    WITH n AS (SELECT shard_id, story_id FROM (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY priority, pos) AS rn
+               FROM v_stories WHERE NOT passes) WHERE rn = 1),
+    c AS (SELECT s.*, n.story_id IS NOT NULL AS picked, s.attempts + CASE WHEN n.story_id IS NOT NULL THEN 1 ELSE 0 END AS attempt
+          FROM v_stories s LEFT JOIN n ON n.shard_id = s.shard_id AND n.story_id = s.story_id)
+    SELECT shard_id, story_id, attempt, picked AND attempt > 3 AS tripped,
+           CASE WHEN picked AND attempt > 3 THEN 99999 ELSE priority END AS priority FROM c""")
+def circuit_break_picked(i: Inputs) -> DataFrame:
+    """Only the next story of each shard is attempted."""
+    counters = i.stories.select("shard_id", "story_id", F.col("attempts").cast("string").alias("counter_text"))
+    picked = L.next_story(i.stories).withColumnRenamed("next_story", "story_id")
+    return L.circuit_break(i.stories, counters, picked=picked).select("shard_id", "story_id", "attempt", "tripped", "priority")
+
+
 ALIVE_SQL = "al AS (SELECT DISTINCT shard_id, shard_id IN ('b', 'd') AS alive FROM v_stories)"
 
 

@@ -47,6 +47,17 @@ def assign_ranges(i: Inputs) -> DataFrame:
     return S.assign_ranges(i.batches.select("batch_idx", "story_id"), S.range_table(i.spark, ranges))
 
 
+@query("check_assignment", """
+    WITH t AS (SELECT count(*) AS n FROM v_batches)
+    SELECT 'a' AS shard_id, n // 4 AS expected, n // 4 AS actual, true AS passed FROM t
+    UNION ALL SELECT 'b', n - n // 4 + 2, n - n // 4, false FROM t""")
+def check_assignment(i: Inputs) -> DataFrame:
+    """The second range asks for two batches more than there are."""
+    n = i.batches.count()
+    ranges = S.range_table(i.spark, S.named_ranges([(1, n // 4), (n // 4 + 1, n + 2)]))
+    return S.check_assignment(S.assign_ranges(i.batches.select("batch_idx"), ranges), ranges)
+
+
 @query("check_ranges", """
     WITH c AS (
         SELECT *, coalesce(max(hi) OVER (PARTITION BY split_set ORDER BY ordinal
@@ -101,6 +112,14 @@ def rebase_stories(i: Inputs) -> DataFrame:
                               F.array_join("modifies", " | ").alias("modifies"))
 
 
+@query("story_headers", """
+    SELECT shard_id, concat('demo-shard-', shard_id) AS project, 'main' AS branch,
+           concat('docs · shard ', shard_id, ' (', printf('BATCH-%03d', min(batch_idx)), '..', printf('BATCH-%03d', max(batch_idx)), ')') AS description
+    FROM v_batches GROUP BY shard_id""")
+def story_headers(i: Inputs) -> DataFrame:
+    return T.story_headers(S.shard_headers(i.batches), "demo", "main", "docs")
+
+
 @query("refresh_stories", f"""
     WITH {REBASED_SQL}
     SELECT r.shard_id, r.story_id, r.priority, coalesce(s.passes, false) AS passes, coalesce(s.attempts, 0) AS attempts
