@@ -66,13 +66,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def as_lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Give the planner an exact size for a side that should be small.
+    """Compute a side that should be small once and give the planner its exact size.
 
-    Up to ``max_rows`` rows the result is a local relation, so that the planner
-    broadcasts it by its true size. A larger side is returned as it was and
-    joins by shuffle.
+    Up to ``max_rows`` rows the result is a local relation, which the planner
+    broadcasts. A larger side becomes a scratch table, which joins by shuffle
+    unless its files turn out to be small enough.
     """
     table = df.limit(max_rows + 1).toArrow()
     if table.num_rows > max_rows:
-        return df
+        return materialize(df, "lookup")
     return df.sparkSession.createDataFrame(table, schema=df.schema)

@@ -13,11 +13,12 @@ TEMP_PREFIXES = ("/tmp/", "/var/folders/")
 
 
 def plain_path(path: Column) -> Column:
-    """Drop repeated slashes, ``.`` steps and a closing slash."""
+    """Drop repeated slashes, ``.`` steps and a closing slash; most paths have none and stay untouched."""
+    untidy = F.contains(path, F.lit("//")) | F.contains(path, F.lit("./")) | F.endswith(path, F.lit("/")) | F.endswith(path, F.lit("/."))
     text = F.regexp_replace(path, "/(\\./)+", "/")
     text = F.regexp_replace(F.regexp_replace(text, "/{2,}", "/"), "/(\\./)+", "/")
     text = F.regexp_replace(text, "^(\\./)+", "")
-    return F.regexp_replace(text, "(?<=.)/\\.?$", "")
+    return F.when(untidy, F.regexp_replace(text, "(?<=.)/\\.?$", "")).otherwise(path)
 
 
 def resolved_path(path: Column) -> Column:
@@ -77,8 +78,12 @@ def write_audit(events: DataFrame, repo_root: str, deny_prefixes: Sequence[str]
         (F.endswith(rel, F.lit(".py")) & ~F.contains(rel, F.lit("__pycache__")), False, "code deny"),
         (under(own), True, "inside current shard"),
     ]
-    allowed, reason = F.lit(False), F.lit("default deny")
-    for condition, ok, text in reversed(rules):
-        allowed = F.when(condition, ok).otherwise(allowed)
-        reason = F.when(condition, text).otherwise(reason)
-    return df.withColumn("allowed", allowed).withColumn("reason", reason).drop("_raw", "_p", "_rel", "_own")
+    rule = F.lit(len(rules))
+    for number, (condition, _, _) in reversed(list(enumerate(rules))):
+        rule = F.when(condition, number).otherwise(rule)
+    reasons = F.array(*[F.lit(text) for _, _, text in rules], F.lit("default deny"))
+    letting = [number for number, (_, ok, _) in enumerate(rules) if ok]
+    return (df.withColumn("_rule", rule)
+            .withColumn("allowed", F.col("_rule").isin(letting))
+            .withColumn("reason", F.element_at(reasons, F.col("_rule") + 1))
+            .drop("_raw", "_p", "_rel", "_own", "_rule"))
