@@ -34,18 +34,19 @@ def line_order() -> Column:
     )
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """Non-blank lines with their ``src`` order."""
+def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None,
+               blank: bool = False) -> DataFrame:
+    """Lines with their ``src`` order; blank ones only on request."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     paths = [path] if isinstance(path, str) else list(path)
-    return reader.text(paths).select(F.col("value").alias("line"), line_order().alias("src")).where(
-        strip(F.col("line")) != "")
+    lines = reader.text(paths).select(F.col("value").alias("line"), line_order().alias("src"))
+    return lines if blank else lines.where(strip(F.col("line")) != "")
 
 
 def number_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
-    """Dense line numbers per file for rows with ``src`` (blank lines not counted)."""
+    """Dense line numbers per file for rows with ``src``; lines left out before are not counted."""
     flat = lines.withColumns({"_file": F.col("src.file"), "_block": F.col("src.block"), "_at": F.col("src.row")})
     return dense_index(flat, ["_block", "_at"], ["_file"], name).drop("_file", "_block", "_at")
 
@@ -69,13 +70,18 @@ def _truthy(text: Column) -> Column:
     return F.coalesce(~F.lower(text).isin("", "false", "0", "0.0", "null", "{}", "[]"), F.lit(False))
 
 
-def parse_lines(lines: DataFrame, schema: VerdictSchema, extra: Sequence[T.StructField] = ()) -> DataFrame:
-    """Parse ``line`` into ``rec``; ``malformed`` keeps the text of unreadable lines, meta rows are dropped."""
+def parse_lines(lines: DataFrame, schema: VerdictSchema, extra: Sequence[T.StructField] = (),
+                keep_all: bool = False) -> DataFrame:
+    """Parse ``line`` into ``rec``; ``malformed`` keeps the text of unreadable lines, meta rows are dropped.
+
+    ``keep_all`` keeps meta rows and blank lines, which are not malformed.
+    """
     parsed_type = T.StructType([*schema.read_schema(extra), T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = lines.withColumn("rec", F.from_json("line", parsed_type, options))
     is_bad = F.col(f"rec.{CORRUPT}").isNotNull() | F.col("rec").isNull()
-    return parsed.withColumn("malformed", F.when(is_bad, F.col("line"))).where(is_bad | ~_truthy(F.col("rec.__meta__")))
+    marked = parsed.withColumn("malformed", F.when(is_bad & (strip(F.col("line")) != ""), F.col("line")))
+    return marked if keep_all else marked.where(is_bad | ~_truthy(F.col("rec.__meta__")))
 
 
 def verdict_stream(spark: SparkSession, path: str, schema: VerdictSchema, extra: Sequence[T.StructField] = (),
@@ -115,6 +121,17 @@ def read_verdicts(spark: SparkSession, path: str, schema: VerdictSchema, extra:
     return good.select(*columns, "src"), bad
 
 
+def bad_line_numbers(spark: SparkSession, path: str, schema: VerdictSchema,
+                     extra: Sequence[T.StructField] = ()) -> DataFrame:
+    """Malformed verdict lines as ``file, line_no, line``, numbered over all lines of the file.
+
+    Only the text of malformed lines travels with the numbering.
+    """
+    lines = read_lines(spark, path, blank=True)
+    kept = parse_lines(lines, schema, extra, keep_all=True).select("src", F.col("malformed").alias("line"))
+    return number_lines(kept).where(F.col("line").isNotNull()).select(F.col("src.file").alias("file"), "line_no", "line")
+
+
 def _documents(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
     reader = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", str(multi_line).lower())
     return reader.json(path).select("*", F.col("_metadata.file_path").alias("file"))

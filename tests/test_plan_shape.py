@@ -9,10 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from helpers import rows
 from labelloom.operators import audit as A
 from labelloom.operators import gates as G
 from labelloom.operators import monitor as D
 from labelloom.operators.intake import pending
+from labelloom.operators.merge import ordered_merge
+from labelloom.sources.sinks import save_bucketed
 from workload.inputs import SCHEMA, VERSION, Inputs
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -82,3 +85,21 @@ def test_disjoint_is_one_shuffle_by_id(spark, no_broadcast):
     names = A.shard_names(i.members.select("shard_id").distinct())
     text = plan_of(A.membership_signatures(i.members, i.task_ids, names))
     assert len(re.findall(r"^\(\d+\) Exchange$", text, re.M)) == 2  # by id, then the few distinct sets
+
+
+def exchanges(df):
+    return re.findall(r"Arguments: hashpartitioning\((.*?), \d+\)", plan_of(df))
+
+
+def test_bucketed_tables_meet_without_a_shuffle_by_id(spark, no_broadcast, tmp_path):
+    i = Inputs(spark, SF)
+    members = save_bucketed(i.members, "members_b", str(tmp_path / "m"), 4)
+    verdicts = save_bucketed(i.verdicts, "verdicts_b", str(tmp_path / "v"), 4)
+    try:
+        for df in (G.gate_batches(verdicts, members, SCHEMA, VERSION), pending(members, verdicts), ordered_merge(verdicts, members)):
+            assert not [x for x in exchanges(df) if x.startswith("task_id")]
+        want = G.gate_batches(i.verdicts, i.members, SCHEMA, VERSION).select("batch_idx", "failures")
+        assert rows(G.gate_batches(verdicts, members, SCHEMA, VERSION), "batch_idx", "failures") == rows(want)
+    finally:
+        spark.sql("DROP TABLE members_b")
+        spark.sql("DROP TABLE verdicts_b")

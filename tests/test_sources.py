@@ -174,3 +174,11 @@ def test_plan_publish_guards_the_state(spark, make, tmp_path):
     assert spark.read.parquet(f"{root}/state/verdicts").count() == 1
     K.publish_plan(spark, root, {"batches": plan}, state, "force")
     assert spark.read.parquet(f"{root}/state/verdicts").count() == 0
+
+
+def test_bad_lines_carry_their_line_number(spark, tmp_path):
+    write(tmp_path / "in" / "a.jsonl", verdict("t1"), "", "{bad one", {"__meta__": True}, "{bad two")
+    write(tmp_path / "in" / "b.jsonl", verdict("t2"), "[1, 2", verdict("t3"))
+    got = S.bad_line_numbers(spark, str(tmp_path / "in"), RULES)
+    assert rows(got.select(F.regexp_extract("file", "([a-z]).jsonl", 1).alias("f"), "line_no", "line")) == [
+        ("a", 3, "{bad one"), ("a", 5, "{bad two"), ("b", 2, "[1, 2")]
