@@ -45,10 +45,18 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None
     return lines if blank else lines.where(strip(F.col("line")) != "")
 
 
+def _flat(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"_file": F.col("src.file"), "_block": F.col("src.block"), "_at": F.col("src.row")})
+
+
 def number_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
     """Dense line numbers per file for rows with ``src``; lines left out before are not counted."""
-    flat = lines.withColumns({"_file": F.col("src.file"), "_block": F.col("src.block"), "_at": F.col("src.row")})
-    return dense_index(flat, ["_block", "_at"], ["_file"], name).drop("_file", "_block", "_at")
+    return dense_index(_flat(lines), ["_block", "_at"], ["_file"], name).drop("_file", "_block", "_at")
+
+
+def number_all(lines: DataFrame, name: str = "line_no") -> DataFrame:
+    """Dense numbers over all files, by file name and then line."""
+    return dense_index(_flat(lines), ["_file", "_block", "_at"], name=name).drop("_file", "_block", "_at")
 
 
 def _must(value: Column, text: str | Column) -> Column:

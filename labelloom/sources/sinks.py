@@ -56,6 +56,11 @@ def has_rows(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
     return not spark.read.format(fmt).load(path).limit(1).isEmpty()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
 def swap_in(spark: SparkSession, staging: str, path: str) -> None:
     """Put a finished folder in place of ``path``; the staged copy stays if this is cut short."""
     fs, source = _fs(spark, staging)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from labelloom.model import VerdictSchema
+from labelloom.model import PlanError, VerdictSchema
 from labelloom.operators.intake import first_by, mark_errors
 from labelloom.sources.sinks import exists
 
@@ -66,6 +67,8 @@ def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, stream_id: str,
     ``stream_id`` names the checkpoint: a new checkpoint needs a new name, as
     its batch numbers start again. One writer per sink at a time.
     """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", stream_id):
+        raise PlanError(f"stream_id is a plain folder name, got {stream_id!r}")
     writer = (stream.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda df, n: absorb_batch(df, n, sink, stream_id, schema, version, order_cols)))
     return (writer.trigger(availableNow=True) if once else writer).start()

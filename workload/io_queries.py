@@ -122,9 +122,7 @@ def write_ordered(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "ordered")
     placed = i.verdicts.join(i.members.select("task_id", "batch_idx", "pos"), "task_id")
     K.write_ordered(placed, path, ["batch_idx", "pos"], n_files=8, drop=["batch_idx", "pos", "reason"])
-    lines = S.read_lines(i.spark, path).withColumn("src", F.col("src").withField("file", F.lit("all"))
-                                                   .withField("block", F.struct(F.col("src.file"), F.col("src.block"))))
-    numbered = S.number_lines(lines)
+    numbered = S.number_all(S.read_lines(i.spark, path))
     return numbered.select("line_no", F.from_json("line", "task_id bigint, qa string").alias("r")).select("line_no", "r.*")
 
 
