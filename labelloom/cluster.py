@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 # A lookup side is turned into a local relation only up to this many rows.
 LOOKUP_ROWS = 50_000
 
+# Scratch folders of local sessions without a configured one, by application.
+_OWN_ROOTS: dict[str, str] = {}
+
 
 def local_session(app: str = "labelloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
@@ -35,8 +38,9 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="labelloom-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    if context.applicationId not in _OWN_ROOTS:
+        _OWN_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="labelloom-")
+    return _OWN_ROOTS[context.applicationId]
 
 
 def session_scratch(spark: SparkSession) -> str:

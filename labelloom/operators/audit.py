@@ -19,6 +19,9 @@ from labelloom.operators.report import check_rows, union_reports
 # Shard sets are kept as bits up to this many shards.
 MAX_SHARD_BITS = 504
 
+# Different shard sets (each up to all shard names long) kept as a local relation.
+MAX_LOCAL_SETS = 2_000
+
 
 def two_sided(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Which keys occur on which side: ``keys, in_left, in_right`` in one shuffle."""
@@ -209,7 +212,7 @@ def _membership_layers(members: DataFrame, baseline: DataFrame, declared: DataFr
     if names is None:
         return [audit_baseline(baseline, total), audit_counts(members, declared), audit_internal_dups(members),
                 audit_disjoint(members, listed), audit_coverage(members, baseline)]
-    sets = as_lookup(membership_signatures(members, baseline, names))
+    sets = as_lookup(membership_signatures(members, baseline, names), MAX_LOCAL_SETS)
     base = sets.agg(F.coalesce(F.sum(F.when(F.col("in_base"), F.col("n"))), F.lit(0)).alias("actual"))
     per_shard = sets.select(F.explode("s").alias("shard_id"), "n").groupBy("shard_id").agg(F.sum("n").alias("actual"))
     missing, extra = F.size("s") == 0, ~F.col("in_base")

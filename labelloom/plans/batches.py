@@ -49,6 +49,7 @@ def render_template(df: DataFrame, template: str, mapping: Mapping[str, str | Co
 
 def shard_prompt_columns(shard_root: Column) -> dict[str, Column]:
     """The placeholder set of a shard prompt, over :func:`shard_headers` rows."""
+    # Placeholder names.
     return {
         "SHARD_ID": F.col("shard_id"),
         "SHARD_ROOT": shard_root,

@@ -32,11 +32,27 @@ def test_planner_broadcasts_by_true_size_only(spark):
 
 def test_scratch_lies_in_the_configured_folder(spark, make):
     root = scratch_root(spark)
-    assert root == spark.conf.get("spark.checkpoint.dir")
+    assert root == spark.conf.get("spark.checkpoint.dir", root)
     table = materialize(make("a int", (1,)), "t")
     assert root.split(":")[-1] in table.inputFiles()[0]
 
 
+class Session:
+    """Stands in for a session with the given master and settings."""
+
+    def __init__(self, master, **conf):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"test-{master}"})()
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: conf.get(key.replace(".", "_"), default))})()
+
+
+def test_only_a_local_master_gets_a_folder_of_its_own():
+    assert scratch_root(Session("yarn", spark_checkpoint_dir="hdfs:///check")) == "hdfs:///check"
+    own = scratch_root(Session("local[2]"))
+    assert own and scratch_root(Session("local[2]")) == own
+    with pytest.raises(RuntimeError):
+        scratch_root(Session("yarn"))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 26), st.integers(1, 10_000))
 def test_even_ranges_cut_exactly(n, total):
