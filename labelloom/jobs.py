@@ -51,7 +51,7 @@ class Project:
     def accepted(self) -> DataFrame:
         if sinks.exists(self.spark, ingest.accepted_path(self.sink)):
             return ingest.read_accepted(self.spark, self.sink).drop("stream_id", "batch_id")
-        empty = T.StructType([T.StructField(n, T.StringType()) for n in ("task_id", "qa", "reason", "schema_version", "shard_id")])
+        empty = T.StructType([T.StructField(n, T.StringType()) for n in ("task_id", "qa", "reason", "schema_version", "shard_id", "line")])
         return self.spark.createDataFrame([], empty)
 
     @property
@@ -119,7 +119,7 @@ def run_audit(p: Project, args) -> None:
 
 def run_ingest(p: Project, args) -> None:
     version, schema, _ = load_contract(args.config, p.spark)
-    stream = files.verdict_stream(p.spark, args.source, schema, [T.StructField("shard_id", T.StringType())])
+    stream = files.verdict_stream(p.spark, args.source, schema, [T.StructField("shard_id", T.StringType())], keep_line=True)
     ingest.ingest_stream(stream, p.sink, f"{p.sink}/checkpoint", args.stream_id, schema, version, once=not args.follow).awaitTermination()
 
 
@@ -159,10 +159,10 @@ def run_merge(p: Project, args) -> None:
     declared = p.members.groupBy("shard_id").agg(F.count(F.lit(1)).alias("total_tasks"))
     prefix = None
     if args.partial:
-        first, _ = files.read_verdicts(p.spark, args.partial, schema)
+        first, _ = files.read_verdicts(p.spark, args.partial, schema, keep_line=True)
         prefix = files.number_all(first, "seq").drop("src")
     paths = merge.merge_publish(p.accepted, p.baseline, declared, schema, version, args.out, args.name,
-                                p.plan("header").first().total_tasks, prefix, "seq", args.dry_run)
+                                p.plan("header").first().total_tasks, prefix, "seq", args.dry_run, line_field="line")
     print(json.dumps({"written": paths}))
 
 

@@ -165,22 +165,31 @@ def output_name(stem: str, kind: str = "merged", day: date | None = None) -> str
 def merge_publish(verdicts: DataFrame, baseline_order: DataFrame, declared: DataFrame, schema: VerdictSchema,
                   version: str, out_dir: str, stem: str = "merged", total: int | None = None,
                   prefix: DataFrame | None = None, prefix_order: str = "seq", dry_run: bool = False,
-                  day: date | None = None, fmt: str = "json", reason_policy: str = "all") -> list[str]:
+                  day: date | None = None, fmt: str = "json", reason_policy: str = "all",
+                  line_field: str | None = None, keep_order: bool = False) -> list[str]:
     """Audit, then write; any failed layer raises and leaves no output (M7).
 
     Returns the written paths: the merged set, and the combined one if a
-    ``prefix`` was given.
+    ``prefix`` was given. ``line_field`` names a column with the raw lines, which
+    are then written as they came. ``keep_order`` leaves the order columns in.
     """
     assert_clean(merge_report(verdicts, baseline_order, declared, schema, version, total, reason_policy=reason_policy))
     if dry_run:
         return []
-    merged = ordered_merge(verdicts.drop(schema.chars_field), baseline_order)
+    fields = [line_field] if line_field else [c for c in verdicts.columns if c not in (schema.chars_field, "task_id")]
+    merged = ordered_merge(verdicts.select("task_id", *fields), baseline_order)
     outputs = [(output_name(stem, "merged", day), merged, ["batch_idx", "pos"])]
     if prefix is not None:
         outputs.append((output_name(stem, "combined", day), combine(prefix, merged, prefix_order), ORDER))
     paths = []
     for name, df, order in outputs:
         path = f"{out_dir.rstrip('/')}/{name}"
-        publish(df.sparkSession, path, lambda staging, d=df, o=order: write_ordered(d, staging, o, fmt), mode="force")
+        rows = df.select(*order, F.col(line_field).alias("value")) if line_field else df
+        kind, drop = ("text" if line_field else fmt), ([] if keep_order and not line_field else order)
+
+        def write(staging: str, rows=rows, order=order, kind=kind, drop=drop) -> None:
+            write_ordered(rows, staging, order, kind, drop=drop)
+
+        publish(df.sparkSession, path, write, mode="force")
         paths.append(path)
     return paths

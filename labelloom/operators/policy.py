@@ -56,7 +56,7 @@ def write_audit(events: DataFrame, repo_root: str, deny_prefixes: Sequence[str]
     root = repo_root.rstrip("/")
 
     def inside(path: Column) -> Column:
-        return F.when(F.startswith(path, F.lit(root + "/")), F.substring(path, len(root) + 2, 1_000_000)).otherwise(path)
+        return F.when(F.startswith(path, F.lit(root + "/")), F.substring(path, F.lit(len(root) + 2), F.length(path))).otherwise(path)
 
     df = events.withColumn("_raw", raw).withColumn("_p", clean(F.col("_raw"))).withColumn(
         "_rel", inside(F.col("_p"))).withColumn("_own", inside(plain_path(F.col("shard_root"))))

@@ -93,23 +93,29 @@ def parse_lines(lines: DataFrame, schema: VerdictSchema, extra: Sequence[T.Struc
 
 
 def verdict_stream(spark: SparkSession, path: str, schema: VerdictSchema, extra: Sequence[T.StructField] = (),
-                   max_files: int = 1_000) -> DataFrame:
-    """JSON-lines verdict files as a stream with ``malformed`` and the line's ``_file, _block``."""
+                   max_files: int = 1_000, keep_line: bool = False) -> DataFrame:
+    """JSON-lines verdict files as a stream with ``malformed`` and the line's ``_file, _block``.
+
+    ``keep_line`` adds the raw ``line``, which holds fields no schema names.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block")).where(strip(F.col("line")) != "")
     names = [f.name for f in schema.read_schema(extra) if f.name != "__meta__"]
     return parse_lines(lines, schema, extra).select(
-        *[F.col(f"rec.{n}").alias(n) for n in names], "malformed", "_file", "_block")
+        *[F.col(f"rec.{n}").alias(n) for n in names], *(["line"] if keep_line else []), "malformed", "_file", "_block")
 
 
 def read_verdicts(spark: SparkSession, path: str, schema: VerdictSchema, extra: Sequence[T.StructField] = (),
-                  on_bad: str = "fail", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+                  on_bad: str = "fail", strict: bool = False, keep_line: bool = False,
+                  extras: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verdict rows and malformed lines ``(line, src)``.
 
     ``fail`` raises on a malformed line with its file and text, ``quarantine``
     returns it in the second table. Meta rows are dropped. ``strict`` adds
-    ``present_keys`` and takes only JSON text as a reason.
+    ``present_keys`` and takes only JSON text as a reason. Fields no schema
+    names are found in the raw ``line`` (``keep_line``) or as text values of the
+    map ``extras``.
     """
     parsed = parse_lines(read_lines(spark, path), schema, extra)
     is_bad = F.col("malformed").isNotNull()
@@ -126,6 +132,11 @@ def read_verdicts(spark: SparkSession, path: str, schema: VerdictSchema, extra:
         kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), f"$.{reason}", "variant"))
         columns = [F.when(kind == "STRING", c).alias(reason) if n == reason else c for n, c in zip(names, columns)]
         columns.append(F.map_keys(F.from_json("line", "map<string,string>")).alias("present_keys"))
+    if keep_line:
+        columns.append(F.col("line"))
+    if extras:
+        unnamed = F.map_filter(F.from_json("line", "map<string,string>"), lambda k, _: ~k.isin([*names, "__meta__"]))
+        columns.append(unnamed.alias("extras"))
     return good.select(*columns, "src"), bad
 
 

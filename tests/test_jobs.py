@@ -26,7 +26,7 @@ def project(spark, tmp_path):
         return run("plan", "--tasks", str(tmp_path / "tasks.jsonl"), "--batch-size", "5", "--shards", "2", *args)
 
     def arrive(name, ids):
-        (tmp_path / "in" / name).write_text("".join(json.dumps(verdict(t, shard_id=s)) + "\n" for t, s in ids))
+        (tmp_path / "in" / name).write_text("".join(json.dumps(verdict(t, shard_id=s, extra=[t])) + "\n" for t, s in ids))
         return run("ingest", "--source", str(tmp_path / "in"))
 
     return tmp_path, root, run, plan, arrive
@@ -72,6 +72,8 @@ def test_whole_project(spark, project):
     for name, want in (("demo_merged", IDS), ("demo_combined", ["old", *IDS])):
         path = next((tmp / "out").glob(f"{name}_*"))
         assert [json.loads(r.line)["task_id"] for r in read_lines(spark, str(path)).orderBy("src").collect()] == want
+    merged = read_lines(spark, str(next((tmp / "out").glob("demo_merged_*")))).first()
+    assert json.loads(merged.line) == verdict(IDS[0], shard_id="a", extra=[IDS[0]])
     assert plan("--mode", "force") == 0
     assert not (root / "state" / "accepted").exists()
 

@@ -82,6 +82,8 @@ def test_publish_writes_in_baseline_order(world, make, spark, tmp_path):
         return [json.loads(r.line)["task_id"] for r in read_lines(spark, path).orderBy("src").collect()]
 
     assert ids(paths[0]) == IDS
+    first = json.loads(read_lines(spark, paths[0]).orderBy("src").first().line)
+    assert set(first) == {"shard_id", "task_id", "qa", "reason", "schema_version", "seq"}
     assert ids(paths[1]) == ["old1", "old2", *IDS]
 
 

@@ -182,3 +182,10 @@ def test_bad_lines_carry_their_line_number(spark, tmp_path):
     got = S.bad_line_numbers(spark, str(tmp_path / "in"), RULES)
     assert rows(got.select(F.regexp_extract("file", "([a-z]).jsonl", 1).alias("f"), "line_no", "line")) == [
         ("a", 3, "{bad one"), ("a", 5, "{bad two"), ("b", 2, "[1, 2")]
+
+
+def test_fields_without_schema_are_kept(spark, tmp_path):
+    path = write(tmp_path / "v.jsonl", verdict("t1", score=3, tags=["a"], note=None))
+    row = S.read_verdicts(spark, path, RULES, keep_line=True, extras=True)[0].first()
+    assert row.extras == {"score": "3", "tags": '["a"]', "note": None}
+    assert json.loads(row.line)["tags"] == ["a"]

@@ -6,12 +6,14 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.cluster import scratch_path
 from labelloom.model import VerdictSchema
 from labelloom.operators import audit as A
 from labelloom.operators import merge as M
 from labelloom.plans.shards import auto_split
+from labelloom.sources import files as S
 from workload.inputs import SCHEMA, VERSION, Inputs
 from workload.registry import query
 
@@ -282,6 +284,28 @@ def merge_publish(i: Inputs) -> DataFrame:
     rules = VerdictSchema(valid_qa=("yes", "no"), min_reason_chars=1)
     out = scratch_path(i.spark, "published")
     path = M.merge_publish(clean, labelled, declared, rules, VERSION, out, total=i.table("labels").count(),
-                           day=date(2024, 1, 2), fmt="parquet")[0]
+                           day=date(2024, 1, 2), fmt="parquet", keep_order=True)[0]
     rows = i.spark.read.parquet(path)
     return rows.select("pos", "task_id", "qa", "schema_version", F.length("reason").cast("bigint").alias("n"))
+
+
+@query("merge_publish_lines", """
+    SELECT row_number() OVER (ORDER BY m.pos) AS line_no, CAST(v.task_id AS VARCHAR) AS task_id, concat('n', v.task_id) AS note,
+           length(v.reason) AS n
+    FROM v_verdicts_dirty v JOIN v_members m ON m.task_id = v.task_id WHERE v.schema_version = 'v1'""")
+def merge_publish_lines(i: Inputs) -> DataFrame:
+    """Verdict files with a field no schema names: the published lines still have it."""
+    source, out = scratch_path(i.spark, "lines"), scratch_path(i.spark, "published")
+    clean = i.verdicts_dirty.where("schema_version = 'v1'").select(
+        F.col("task_id").cast("string").alias("task_id"), "qa", "reason", "schema_version", "shard_id",
+        F.concat(F.lit("n"), F.col("task_id").cast("string")).alias("note"))
+    clean.write.json(source)
+    rules = VerdictSchema(valid_qa=("yes", "no"), min_reason_chars=1)
+    verdicts, _ = S.read_verdicts(i.spark, source, rules, [T.StructField("shard_id", T.StringType())], keep_line=True)
+    labelled = i.members.join(i.table("labels").select(F.col("doc_id").alias("task_id")), "task_id", "left_semi")
+    named = labelled.withColumn("task_id", F.col("task_id").cast("string"))
+    declared = labelled.groupBy("shard_id").agg(F.count(F.lit(1)).alias("total_tasks"))
+    path = M.merge_publish(verdicts, named, declared, rules, VERSION, out, line_field="line", day=date(2024, 1, 2))[0]
+    numbered = S.number_all(S.read_lines(i.spark, path))
+    return numbered.select("line_no", F.from_json("line", "task_id string, note string, reason string").alias("r")).select(
+        "line_no", "r.task_id", "r.note", F.length("r.reason").cast("bigint").alias("n"))
