@@ -169,9 +169,11 @@ def run_merge(p: Project, args) -> None:
 def dashboard(p: Project, args) -> None:
     logs = (files.read_logs(p.spark, args.logs) if args.logs
             else p.spark.createDataFrame([], "shard_id string, source string, seq bigint, line string"))
-    seen = p.accepted
-    ordered = seen.withColumn("seq", F.monotonically_increasing_id())
-    monitor.dashboard(p.plan("stories"), logs, ordered).orderBy("shard").show(1000, truncate=False)
+    if sinks.exists(p.spark, ingest.accepted_path(p.sink)):
+        seen = ingest.read_accepted(p.spark, p.sink).withColumn("seq", F.struct("batch_id", "src"))
+    else:
+        seen = p.accepted.withColumn("seq", F.lit(0))
+    monitor.dashboard(p.plan("stories"), logs, seen).orderBy("shard").show(1000, truncate=False)
 
 
 def parser() -> argparse.ArgumentParser:

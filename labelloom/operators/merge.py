@@ -176,7 +176,7 @@ def merge_publish(verdicts: DataFrame, baseline_order: DataFrame, declared: Data
     assert_clean(merge_report(verdicts, baseline_order, declared, schema, version, total, reason_policy=reason_policy))
     if dry_run:
         return []
-    fields = [line_field] if line_field else [c for c in verdicts.columns if c not in (schema.chars_field, "task_id")]
+    fields = [line_field] if line_field else [c for c in verdicts.columns if c not in (schema.chars_field, "task_id", "src")]
     merged = ordered_merge(verdicts.select("task_id", *fields), baseline_order)
     outputs = [(output_name(stem, "merged", day), merged, ["batch_idx", "pos"])]
     if prefix is not None:

@@ -31,17 +31,22 @@ def absorb_batch(batch: DataFrame, batch_id: int, sink: str, stream_id: str, sch
     each other. The part of ``(stream_id, batch_id)`` is overwritten and not
     compared with itself: a replay ends in the same tables. Of equal ids in one
     micro-batch the first by ``order_cols`` stays, by default the first line.
+    Rows of line files keep their place as ``src``: ``batch_id, src`` is the
+    order of arrival.
     """
     spark = batch.sparkSession
     part = f"stream_id={stream_id}/batch_id={batch_id}"
-    if not order_cols and {"_file", "_block"} <= set(batch.columns):
-        batch, order_cols = batch.withColumn("_row", F.monotonically_increasing_id()), ["_file", "_block", "_row"]
+    by_line = {"_file", "_block"} <= set(batch.columns)
+    if by_line:
+        place = F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row"))
+        batch = batch.withColumn("src", place).drop("_file", "_block")
+    order_cols = order_cols or (["src"] if by_line else [])
     marked = mark_errors(batch, schema, version).persist()
     try:
         key = schema.id_field
         marked.where(F.size("errors") > 0).write.mode("overwrite").parquet(f"{quarantine_path(sink)}/{part}")
         clean = marked.where(F.size("errors") == 0).drop("errors", "malformed")
-        good = first_by(clean, [key], order_cols).drop("_file", "_block", "_row").persist()
+        good = first_by(clean, [key], order_cols).persist()
         try:
             # Counting fills the cache, whose exact size then decides how the ids are joined.
             good.count()

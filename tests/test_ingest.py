@@ -90,6 +90,8 @@ def test_stream_takes_each_id_once_and_keeps_bad_rows(spark, place):
     assert rows(got, "task_id", "batch_id") == [("t1", 0), ("t2", 1), ("t6", 0), ("t7", 1)]
     assert got.where("task_id = 't1'").first().reason.startswith("first")
     assert "malformed" not in got.columns
+    arrived = got.orderBy("batch_id", "src").collect()
+    assert [r.task_id for r in arrived] == ["t1", "t6", "t7", "t2"]
     bad = read_quarantine(spark, sink)
     assert rows(bad, "task_id", "errors") == [
         ("t2", ["missing reason"]), ("t3", ["schema_version"]), ("t4", ["qa"]), ("t5", ["reason length"]),

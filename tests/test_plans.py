@@ -94,6 +94,16 @@ def test_split_agrees_between_closed_form_and_ranges(spark, plan):
     assert closed == joined == [(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "b")]
 
 
+def test_wide_splits_name_shards_beyond_the_alphabet(spark):
+    batches = spark.range(1, 61).select(F.col("id").alias("batch_idx"))
+    with pytest.raises(PlanError):
+        auto_split(batches, 30)
+    got = dict(rows(auto_split(batches, 30, wide=True), "batch_idx", "shard_id"))
+    assert (got[1], got[2], got[3], got[52], got[53], got[60]) == ("a", "a", "b", "z", "s00026", "s00029")
+    joined = assign_ranges(batches, range_table(spark, even_ranges(60, 30, wide=True)))
+    assert dict(rows(joined, "batch_idx", "shard_id")) == got
+
+
 def test_ranges_pick_a_subset(spark, make):
     batches = make("batch_idx bigint", *[(i,) for i in range(1, 11)])
     got = assign_ranges(batches, range_table(spark, named_ranges([(3, 6)])))
