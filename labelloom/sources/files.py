@@ -194,16 +194,20 @@ def read_acceptance(spark: SparkSession, path: str) -> dict:
 
 
 # Raw write events: the tool and its input appear under either of two names.
-_INPUT = "struct<file_path: string, path: string, notebook_path: string>"
-EVENT_TYPE = f"struct<tool_name: string, name: string, tool_input: {_INPUT}, input: {_INPUT}, shard_root: string>"
+_TARGET = T.StructType([T.StructField(n, T.StringType()) for n in ("file_path", "path", "notebook_path")])
+EVENT_SCHEMA = T.StructType([
+    T.StructField("tool_name", T.StringType()), T.StructField("name", T.StringType()),
+    T.StructField("tool_input", _TARGET), T.StructField("input", _TARGET), T.StructField("shard_root", T.StringType()),
+])
 
 
-def read_write_events(spark: SparkSession, path: str) -> DataFrame:
-    """Tool-call lines as rows for the write audit."""
-    events = read_lines(spark, path).select(F.from_json("line", EVENT_TYPE).alias("e"), "src")
+def read_write_events(spark: SparkSession, path: str, extra: Sequence[T.StructField] = ()) -> DataFrame:
+    """Tool-call lines as rows for the write audit, with ``extra`` fields such as an event id."""
+    schema = T.StructType([*EVENT_SCHEMA, *extra])
+    events = read_lines(spark, path).select(F.from_json("line", schema).alias("e"), "src")
     target = F.coalesce("e.tool_input", "e.input")
     return events.select(
-        "e.shard_root", F.coalesce("e.tool_name", "e.name").alias("tool_name"), target["file_path"].alias("file_path"),
+        *[f"e.{f.name}" for f in extra], "e.shard_root", F.coalesce("e.tool_name", "e.name").alias("tool_name"), target["file_path"].alias("file_path"),
         target["path"].alias("path"), target["notebook_path"].alias("notebook_path"), "src")
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from labelloom.cluster import scratch_path
 from labelloom.operators import monitor as D
 from labelloom.operators import policy as W
 from labelloom.operators import state as L
+from labelloom.sources.files import read_write_events
 from workload.inputs import Inputs
 from workload.registry import query
 
@@ -236,7 +239,7 @@ def run_outcomes(i: Inputs) -> DataFrame:
     return L.run_outcomes(i.runs, i.stories).select("run_id", "story_id", "limit_seconds", "outcome", "code")
 
 
-@query("write_audit", """
+WRITE_SQL = """
     WITH r AS (
         SELECT event_id, CASE WHEN tool_name <> 'Write' THEN 'not a write tool' WHEN path IS NULL THEN 'no path'
                WHEN starts_with(path, '/tmp/') THEN 'tmp path' WHEN starts_with(path, '.baseline/') THEN 'baseline deny'
@@ -244,6 +247,23 @@ def run_outcomes(i: Inputs) -> DataFrame:
                WHEN starts_with(path, '.shard-') AND NOT starts_with(path, concat(shard_root, '/')) THEN 'cross-shard deny'
                WHEN path LIKE '%.py' THEN 'code deny' WHEN starts_with(path, concat(shard_root, '/')) THEN 'inside current shard'
                ELSE 'default deny' END AS reason FROM v_write_events)
-    SELECT event_id, reason IN ('not a write tool', 'no path', 'tmp path', 'inside current shard') AS allowed, reason FROM r""")
+    SELECT event_id, reason IN ('not a write tool', 'no path', 'tmp path', 'inside current shard') AS allowed, reason FROM r"""
+
+
+@query("write_audit", WRITE_SQL)
 def write_audit(i: Inputs) -> DataFrame:
     return W.write_audit(i.write_events, "/data/project", ["docs/"]).select("event_id", "allowed", "reason")
+
+
+@query("write_audit_lines", WRITE_SQL)
+def write_audit_lines(i: Inputs) -> DataFrame:
+    """The same events as raw tool-call lines, half of them under the older field names."""
+    path = scratch_path(i.spark, "events")
+    target, older = F.struct(F.col("path").alias("file_path")), F.struct("path")
+    new, old = F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1
+    line = F.to_json(F.struct(
+        F.when(new, F.col("tool_name")).alias("tool_name"), F.when(old, F.col("tool_name")).alias("name"),
+        F.when(new, target).alias("tool_input"), F.when(old, older).alias("input"), "shard_root", "event_id"))
+    i.write_events.select(line.alias("value")).write.text(path)
+    events = read_write_events(i.spark, path, [T.StructField("event_id", T.LongType())])
+    return W.write_audit(events, "/data/project", ["docs/"]).select("event_id", "allowed", "reason")
