@@ -21,7 +21,7 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
 
 
 def test_entry_runs(spark):
@@ -29,7 +29,7 @@ def test_entry_runs(spark):
     assert df.count() > 0 and "failures" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_same_rows(spark, con, name):
     verdict, _, _ = compare(spark, con, name, SF)
     assert verdict == "ok"
