@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import licenses, quality
+from labelloom.llm import licenses, near, quality
 from labelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR word_chars < n_words * 2 OR word_chars > n_words * 15 OR n_capitals * 2 > word_chars) AS kept
 FROM b
 """
+
+
+@query
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ')
+         ELSE array_to_string(ws[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS key FROM s GROUP BY doc_id),
+c AS (SELECT key, min(doc_id) AS rep FROM k GROUP BY key),
+r AS (SELECT s.doc_id, g FROM s JOIN c ON s.doc_id = c.rep),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM r x JOIN r y ON x.g = y.g AND x.doc_id < y.doc_id
+  GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+  UNION SELECT doc_id, rep FROM k JOIN c USING (key)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+t AS (SELECT a AS node, a AS seen FROM u UNION SELECT t.node, u.b FROM t JOIN u ON t.seen = u.a),
+m AS (SELECT node, min(seen) AS component_id FROM t GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON node = doc_id
+"""
