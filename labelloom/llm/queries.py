@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import langid, licenses, near, quality, recompress, suffix_dedup, toxicity
+from labelloom.llm import langid, licenses, lines, near, quality, recompress, suffix_dedup, toxicity
 from labelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,11 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS c
        coalesce(component_id, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON node = doc_id
 """
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.count_copies(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_line_dedup"] = lines.oracle()
