@@ -164,8 +164,9 @@ def rejected_by(text: Column, ws: Column, rules: list[Rule]) -> Column:
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of ``docs`` that no rule rejects, with all their columns."""
     ordered = order_rules(estimate(docs, rules, sample_rows))
-    slim = docs.withColumn("_words", words(F.col("text")))
-    return slim.where(rejected_by(F.col("text"), F.col("_words"), ordered).isNull()).drop("_words")
+    # The words are bound inside the condition: a column of them would be split anew wherever it is used.
+    text = F.col("text")
+    return docs.where(bind(words(text), lambda ws: rejected_by(text, ws, ordered)).isNull())
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES[len(BASE_RULES):], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
