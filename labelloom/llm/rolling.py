@@ -30,7 +30,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(n, 1 << 18).bit_length())[:n]
+    return _powers(base, 1 << max(n - 1, 1 << 18).bit_length())[:n]
 
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))

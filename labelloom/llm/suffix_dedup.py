@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from labelloom.llm.repeats import ROWS, Kernel, batch_of, hot_keys, resolve, sampled, with_spans
 from labelloom.llm.rolling import PrefixHash, U, mix, sliding_argmin
 from labelloom.llm.suffix_sort import Suffixes
-from labelloom.llm.texts import Texts
+from labelloom.llm.texts import Texts, pieces
 
 DEPTH = 100
 SEED = 32
@@ -38,7 +38,7 @@ BLOCK = 1 << 18
 def bucket_rows(depth: int, seed: int) -> Kernel:
     """Rows of consecutive suffixes whose least ``seed``-byte hash is at the same place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             texts = Texts.of(batch)
             parts = [[] for _ in range(6)]
             for at in range(0, len(texts.data), BLOCK):
@@ -63,8 +63,18 @@ def bucket_rows(depth: int, seed: int) -> Kernel:
     return run
 
 
-def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+def _spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All spans of a batch, and the text of each."""
+    a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in "ab")
+    return a, b, np.repeat(np.arange(batch.num_rows), np.diff(batch.column("a").offsets.to_numpy()))
+
+
+def _blocks(places: np.ndarray) -> Iterator[slice]:
+    """Ranges of sorted places that lie in one block of the buffer."""
+    cuts = np.flatnonzero(np.diff(places // BLOCK)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(places)]):
+        if a < b:
+            yield slice(int(a), int(b))
 
 
 def neighbour_rows(depth: int) -> Kernel:
@@ -74,25 +84,25 @@ def neighbour_rows(depth: int) -> Kernel:
     matter of content; they are the key.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             texts = Texts.of(batch)
-            hashes = PrefixHash.of_bytes(texts.data)
-            text = np.repeat(np.arange(len(texts.ids)), np.diff(batch.column("a").offsets.to_numpy()))
-            packed, n = _flat(batch, "a"), _flat(batch, "b")
-            lo = packed // 256 + texts.starts[text]
-            anchor = packed % 256
-            low, high = (anchor - n + 1) // NEIGHBOURS, anchor // NEIGHBOURS
-            many = high - low + 1
-            row = np.repeat(np.arange(len(lo)), many)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]
-            point = lo[row] + anchor[row]
-            first = np.maximum(lo[row], point - NEIGHBOURS * piece - NEIGHBOURS + 1)
-            last = np.minimum(lo[row] + n[row] - 1, point - NEIGHBOURS * piece)
-            key = hashes.window(point - NEIGHBOURS * piece, depth - NEIGHBOURS + 1) + piece.astype(np.uint64)
-            count = last - first + 1
-            ctx = mix(hashes.window(first, count - 1 + depth) + count.astype(np.uint64) + (point - first).astype(np.uint64) * U(1 << 32))
-            owner = text[row]
-            yield batch_of(mix(key), ctx, texts.ids[owner], first - texts.starts[owner], count, point - first, by_place=True)
+            packed, n, text = _spans(batch)
+            lo, anchor = packed // 256 + texts.starts[text], packed % 256
+            for at in _blocks(lo):
+                base = lo[at][0]
+                hashes = PrefixHash.of_bytes(texts.data[base:lo[at][-1] + 256 + depth])
+                low, high = (anchor[at] - n[at] + 1) // NEIGHBOURS, anchor[at] // NEIGHBOURS
+                many = high - low + 1
+                row = at.start + np.repeat(np.arange(len(many)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many - low, many)
+                point = lo[row] + anchor[row]
+                first = np.maximum(lo[row], point - NEIGHBOURS * piece - NEIGHBOURS + 1)
+                last = np.minimum(lo[row] + n[row] - 1, point - NEIGHBOURS * piece)
+                key = hashes.window(point - NEIGHBOURS * piece - base, depth - NEIGHBOURS + 1) + piece.astype(np.uint64)
+                count = last - first + 1
+                ctx = hashes.window(first - base, count - 1 + depth) + count.astype(np.uint64) + (point - first).astype(np.uint64) * U(1 << 32)
+                owner = text[row]
+                yield batch_of(mix(key), mix(ctx), texts.ids[owner], first - texts.starts[owner], count, point - first, by_place=True)
     return run
 
 
@@ -102,19 +112,21 @@ def suffix_rows(depth: int, hot: frozenset[int]) -> Kernel:
     Pieces of a hot key are dealt out suffix by suffix, by the hash of the whole suffix.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             texts = Texts.of(batch)
-            hashes = PrefixHash.of_bytes(texts.data)
-            text = np.repeat(np.arange(len(texts.ids)), np.diff(batch.column("a").offsets.to_numpy()))
-            packed, key = _flat(batch, "a"), _flat(batch, "b")
+            packed, key, text = _spans(batch)
             lo, anchor, n = packed >> 16, (packed >> 8) & 255, packed & 255
             is_hot = np.isin(key, np.array(sorted(hot), dtype=np.int64))
             times = np.where(is_hot, n, 1)
             row = np.repeat(np.arange(len(lo)), times)
             step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            lo, anchor, n = lo[row] + step, anchor[row] - step, np.where(is_hot[row], 1, n[row])
-            begin = lo + texts.starts[text[row]]
-            bucket = np.where(is_hot[row], hashes.window(begin, depth).view(np.int64), key[row])
+            lo, anchor, n, is_hot = lo[row] + step, anchor[row] - step, np.where(is_hot[row], 1, n[row]), is_hot[row]
+            begin, bucket = lo + texts.starts[text[row]], key[row]
+            for at in _blocks(begin):
+                own = np.flatnonzero(is_hot[at]) + at.start
+                if len(own):
+                    hashes = PrefixHash.of_bytes(texts.data[begin[own[0]]:begin[own[-1]] + depth])
+                    bucket[own] = hashes.window(begin[own] - begin[own[0]], depth).view(np.int64)
             raw = texts.data.tobytes()
             yield pa.record_batch([
                 pa.array(bucket), pa.array(texts.ids[text[row]]), pa.array(lo), pa.array(n.astype(np.int32)),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 from labelloom.llm.rolling import PrefixHash, mix
 
@@ -14,6 +15,23 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+# Texts are handled in pieces of about so many bytes, words in segments of so many.
+PIECE = 1 << 22
+SEGMENT = 1 << 17
+
+
+def pieces(batch: pa.RecordBatch, size: int = PIECE, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of text, or of one longer text."""
+    lengths = pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
+    reach = np.cumsum(lengths)
+    at = 0
+    while at < len(reach):
+        before = reach[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(reach, before + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 @dataclass
 class Texts:
     ids: np.ndarray
@@ -35,15 +53,6 @@ class Texts:
     def text_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, side="right") - 1
 
-    def groups(self, size: int) -> Iterator[Texts]:
-        """Whole texts, together about ``size`` bytes or one longer text."""
-        at = 0
-        while at < len(self.ids):
-            end = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + size, side="right")) - 1)
-            a, b = self.starts[at], self.starts[end]
-            yield Texts(self.ids[at:end], self.starts[at:end + 1] - a, self.data[a:b])
-            at = end
-
 
 @dataclass
 class WordTexts:
@@ -63,5 +72,15 @@ class WordTexts:
         cuts = np.unique(cuts[(cuts > 0) & (cuts < len(texts.data))])
         cuts = cuts[inside[cuts] & inside[cuts - 1]]
         begin, end = np.sort(np.concatenate([begin, cuts])), np.sort(np.concatenate([end, cuts]))
-        hashes = PrefixHash.of_bytes(texts.data).window(begin, end - begin) + (end - begin).astype(np.uint64)
-        return cls(texts.ids, np.searchsorted(begin, texts.starts), mix(hashes))
+        hashes = np.zeros(len(begin), dtype=np.uint64)
+        for k in range(0, len(begin), SEGMENT):
+            first, last = begin[k:k + SEGMENT], end[k:k + SEGMENT]
+            part = PrefixHash.of_bytes(texts.data[first[0]:last[-1]])
+            hashes[k:k + SEGMENT] = mix(part.window(first - first[0], last - first) + (last - first).astype(np.uint64))
+        return cls(texts.ids, np.searchsorted(begin, texts.starts), hashes)
+
+    def segments(self, overlap: int) -> Iterator[tuple[int, WordTexts]]:
+        """Stretches of about ``SEGMENT`` words that share ``overlap`` words with the next, and where each begins."""
+        for at in range(0, len(self.hashes), SEGMENT):
+            end = min(at + SEGMENT + overlap, len(self.hashes))
+            yield at, WordTexts(self.ids, np.clip(self.starts, at, end) - at, self.hashes[at:end])
