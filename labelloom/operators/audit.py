@@ -16,12 +16,6 @@ from labelloom.functions.columns import fingerprint_aggs, true
 from labelloom.model import EXAMPLES
 from labelloom.operators.report import check_rows, union_reports
 
-# Shard sets are kept as bits up to this many shards.
-MAX_SHARD_BITS = 504
-
-# Different shard sets (each up to all shard names long) kept as a local relation.
-MAX_LOCAL_SETS = 2_000
-
 
 def two_sided(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Which keys occur on which side: ``keys, in_left, in_right`` in one shuffle."""
@@ -37,9 +31,10 @@ def audit_counts(members: DataFrame, declared: DataFrame) -> DataFrame:
 
 def against_declared(actual: DataFrame, declared: DataFrame) -> DataFrame:
     """``shard_id, actual`` beside the declared ``total_tasks``; shards of either side are kept."""
-    both = actual.join(declared.select("shard_id", F.col("total_tasks").alias("declared")), "shard_id", "full")
+    theirs = declared.select(F.col("shard_id").alias("_shard"), F.lit(True).alias("_listed"), F.col("total_tasks").alias("declared"))
+    both = actual.join(theirs, F.col("shard_id").eqNullSafe(F.col("_shard")), "full")
     return both.select(
-        "shard_id",
+        F.when(true(F.col("_listed")), F.col("_shard")).otherwise(F.col("shard_id")).alias("shard_id"),
         F.coalesce("actual", F.lit(0)).cast("bigint").alias("actual"),
         F.col("declared").cast("bigint").alias("declared"),
         true(F.coalesce("actual", F.lit(0)) == F.col("declared")).alias("passed"),
@@ -68,63 +63,47 @@ def audit_internal_dups(members: DataFrame, n_examples: int = EXAMPLES) -> DataF
         "shard_id", F.col("n_surplus").alias("n_dups"), "examples")
 
 
-def audit_disjoint(members: DataFrame, shards: DataFrame | None = None) -> DataFrame:
-    """Overlap size and smallest shared id of every shard pair, empty overlaps included (A3).
+def audit_disjoint(members: DataFrame, shards: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """Overlap size and smallest shared id of the shard pairs that overlap (A3).
 
-    ``shards`` lists the shards to report; by default those that occur.
+    ``every`` also reports the pairs without a shared id, of the ``shards`` given or those
+    that occur; that report is quadratic in the number of shards.
     """
-    listed = as_lookup((members if shards is None else shards).select("shard_id").distinct())
-    names = shard_names(listed)
-    if names is None:
-        sets = (members.select("shard_id", "task_id").distinct().groupBy("task_id")
-                .agg(F.sort_array(F.collect_list("shard_id")).alias("s"))
-                .groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("example")))
-    else:
-        sets = membership_signatures(members, None, names)
-    return pair_overlaps(sets, listed)
-
-
-def shard_names(listed: DataFrame) -> list[str] | None:
-    """Sorted shard names, or None when there are too many to keep as bits."""
-    names = [r.shard_id for r in listed.orderBy("shard_id").limit(MAX_SHARD_BITS + 1).collect()]
-    return names if len(names) <= MAX_SHARD_BITS else None
+    listed = (members if shards is None else shards).select("shard_id").distinct()
+    return pair_overlaps(membership_sets(members), listed if every else None)
 
 
-def membership_signatures(members: DataFrame, baseline: DataFrame | None, names: Sequence[str]) -> DataFrame:
+def membership_sets(members: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """Count ids by where they occur: ``s, in_base, repeated, n, n_surplus, example``.
 
-    One shuffle by id. Per id the set of shards is kept as bits of a few longs,
-    which hash aggregation updates in place and combines before the shuffle;
-    ids with equal sets then fall together, so the result has as many rows as
-    there are different sets ``s``.
+    One shuffle by id, for any number of shards. Per id the set of its shards combines before
+    the shuffle; ids with equal sets then fall together, so the result has as many rows as
+    there are different sets ``s``. A NULL shard is a shard.
     """
-    words = [f"w{i}" for i in range(0, len(names), 63)] or ["w0"]
-    ordinal = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("shard_id")) - 1
-    rows = members.select("task_id", ordinal.alias("_o"), F.lit(False).alias("_base")).where("_o >= 0")
+    rows = members.select("task_id", F.struct("shard_id").alias("_m"), F.lit(False).alias("_base"))
     if baseline is not None:
-        rows = rows.unionByName(baseline.select("task_id", F.lit(None).cast("bigint").alias("_o"), F.lit(True).alias("_base")))
-    masks = [
-        F.bit_or(F.expr(f"CASE WHEN _o DIV 63 = {i} THEN shiftleft(1L, CAST(_o % 63 AS INT)) ELSE 0L END")).alias(w)
-        for i, w in enumerate(words)
-    ]
-    held = sum((F.bit_count(w) for w in words), F.lit(0))
-    per_id = rows.groupBy("task_id").agg(*masks, F.bool_or("_base").alias("in_base"), F.count("_o").alias("_rows"))
-    groups = per_id.withColumn("_surplus", F.col("_rows") - held).withColumn("repeated", F.col("_surplus") > 0)
-    counted = groups.groupBy(*words, "in_base", "repeated").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_surplus").alias("n_surplus"), F.min("task_id").alias("example"))
-    kept = [F.when(F.getbit(F.col(words[i // 63]), F.lit(i % 63)) == 1, F.lit(name)) for i, name in enumerate(names)]
-    return counted.select(F.filter(F.array(*kept), lambda x: x.isNotNull()).alias("s"),
-                          "in_base", "repeated", "n", "n_surplus", "example")
-
-
-def pair_overlaps(sets: DataFrame, listed: DataFrame) -> DataFrame:
-    """Expand pairs from the few distinct shard sets ``s, n, example``, not per id."""
+        none = F.lit(None).cast(rows.schema["_m"].dataType)
+        rows = rows.unionByName(baseline.select("task_id", none.alias("_m"), F.lit(True).alias("_base")))
+    per_id = rows.groupBy("task_id").agg(
+        F.sort_array(F.collect_set("_m")).alias("_set"), F.bool_or("_base").alias("in_base"), F.count("_m").alias("_rows"))
+    surplus = F.col("_rows") - F.size("_set")
+    return per_id.groupBy("_set", "in_base", (surplus > 0).alias("repeated")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(surplus).alias("n_surplus"), F.min("task_id").alias("example")).select(
+        F.col("_set.shard_id").alias("s"), "in_base", "repeated", "n", "n_surplus", "example")
+
+
+def pair_overlaps(sets: DataFrame, listed: DataFrame | None) -> DataFrame:
+    """Expand pairs from the distinct shard sets ``s, n, example``, not per id; ``listed`` adds empty pairs."""
     first = sets.where(F.size("s") > 1).select("n", "example", "s", F.posexplode("s").alias("i", "shard_a"))
     pairs = first.select("n", "example", "shard_a",
                          F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("shard_b"))
     overlap = pairs.groupBy("shard_a", "shard_b").agg(
         F.sum("n").alias("n_shared"), F.min("example").cast("string").alias("example"))
-    return shard_pairs(listed).join(overlap, ["shard_a", "shard_b"], "left").select(
+    if listed is None:
+        return overlap.select("shard_a", "shard_b", "n_shared", "example", F.lit(False).alias("passed"))
+    o = overlap.withColumnsRenamed({"shard_a": "_a", "shard_b": "_b"})
+    return shard_pairs(listed).join(
+        o, F.col("shard_a").eqNullSafe(F.col("_a")) & F.col("shard_b").eqNullSafe(F.col("_b")), "left").select(
         "shard_a", "shard_b", F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"), "example",
         F.col("n_shared").isNull().alias("passed"))
 
@@ -205,14 +184,11 @@ def _against_total(counted: DataFrame, total: int | None) -> DataFrame:
                           F.coalesce(F.col("actual") == declared, F.lit(True)).alias("passed"))
 
 
-def _membership_layers(members: DataFrame, baseline: DataFrame, declared: DataFrame, total: int | None) -> list[DataFrame]:
+def _membership_layers(members: DataFrame, baseline: DataFrame, declared: DataFrame, total: int | None,
+                       every: bool) -> list[DataFrame]:
     """A1, A2, A3, A4 and A7 from one shuffle over members and baseline."""
-    listed = as_lookup(declared.select("shard_id").union(members.select("shard_id")).distinct())
-    names = shard_names(listed)
-    if names is None:
-        return [audit_baseline(baseline, total), audit_counts(members, declared), audit_internal_dups(members),
-                audit_disjoint(members, listed), audit_coverage(members, baseline)]
-    sets = as_lookup(membership_signatures(members, baseline, names), MAX_LOCAL_SETS)
+    listed = declared.select("shard_id").union(members.select("shard_id")).distinct() if every else None
+    sets = as_lookup(membership_sets(members, baseline))
     base = sets.agg(F.coalesce(F.sum(F.when(F.col("in_base"), F.col("n"))), F.lit(0)).alias("actual"))
     per_shard = sets.select(F.explode("s").alias("shard_id"), "n").groupBy("shard_id").agg(F.sum("n").alias("actual"))
     missing, extra = F.size("s") == 0, ~F.col("in_base")
@@ -230,17 +206,21 @@ def _membership_layers(members: DataFrame, baseline: DataFrame, declared: DataFr
 
 def audit_all(members: DataFrame, baseline: DataFrame, declared: DataFrame, stories: DataFrame,
               batches: DataFrame, shard_rows: DataFrame | None = None, baseline_rows: DataFrame | None = None,
-              content_columns: Sequence[str] = ("task_id",), total: int | None = None) -> DataFrame:
-    """All plan audits as one report (A8); stop a pipeline with ``assert_clean``."""
+              content_columns: Sequence[str] = ("task_id",), total: int | None = None,
+              every_pair: bool = False) -> DataFrame:
+    """All plan audits as one report (A8); stop a pipeline with ``assert_clean``.
+
+    ``every_pair`` also reports the pairs of shards that share nothing.
+    """
     text = F.format_string
-    base, counts, dups, pairs, cover = _membership_layers(members, baseline, declared, total)
+    base, counts, dups, pairs, cover = _membership_layers(members, baseline, declared, total, every_pair)
     reports = [
         check_rows(base, "0 baseline", F.lit("baseline"), n_bad=F.when(F.col("passed"), 0).otherwise(1),
                    detail=text("%d ids, declared %d", F.col("actual"), F.col("declared"))),
-        check_rows(counts, "1 count", F.col("shard_id"), n_bad=F.abs(F.col("actual") - F.coalesce("declared", F.lit(0))),
+        check_rows(counts, "1 count", F.coalesce("shard_id", F.lit("NULL")), n_bad=F.abs(F.col("actual") - F.coalesce("declared", F.lit(0))),
                    detail=text("%d ids, declared %d", F.col("actual"), F.col("declared"))),
         check_rows(dups, "1 repeats", F.col("shard_id"), F.lit(False), F.col("n_dups"), F.col("examples")),
-        check_rows(pairs, "2 disjoint", F.concat_ws("/", "shard_a", "shard_b"), n_bad=F.col("n_shared")),
+        check_rows(pairs, "2 disjoint", F.concat_ws("/", F.coalesce("shard_a", F.lit("NULL")), F.coalesce("shard_b", F.lit("NULL"))), n_bad=F.col("n_shared")),
         check_rows(cover, "3 coverage", F.lit("union"), n_bad=F.col("n_missing") + F.col("n_extra"),
                    example=F.coalesce("missing_example", "extra_example"),
                    detail=text("missing %d, extra %d", F.col("n_missing"), F.col("n_extra"))),

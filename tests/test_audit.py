@@ -84,10 +84,8 @@ def test_batch_content_sees_doubled_pairs(make):
                 "status") == [("different",)]
 
 
-@pytest.mark.parametrize("n_shards,bits", [(5, True), (5, False), (70, True)])
-def test_disjoint_matches_brute_force(spark, make, monkeypatch, n_shards, bits):
-    if not bits:
-        monkeypatch.setattr(A, "MAX_SHARD_BITS", 2)
+@pytest.mark.parametrize("n_shards", [5, 70])
+def test_disjoint_matches_brute_force(spark, make, n_shards):
     rng = random.Random(n_shards)
     names = [f"s{i:03d}" for i in range(n_shards)]
     data = [(rng.choice(names), rng.randrange(40)) for _ in range(300)] + [(n, 7) for n in names] * 2
@@ -96,14 +94,22 @@ def test_disjoint_matches_brute_force(spark, make, monkeypatch, n_shards, bits):
     for x, y in combinations(names, 2):
         shared = sets[x] & sets[y]
         want.append((x, y, len(shared), str(min(shared)) if shared else None, not shared))
-    got = A.audit_disjoint(make("shard_id string, task_id bigint", *data))
-    assert rows(got, "shard_a", "shard_b", "n_shared", "example", "passed") == sorted(want)
+    members = make("shard_id string, task_id bigint", *data)
+    columns = ["shard_a", "shard_b", "n_shared", "example", "passed"]
+    assert rows(A.audit_disjoint(members, every=True), *columns) == sorted(want)
+    assert rows(A.audit_disjoint(members), *columns) == sorted(w for w in want if w[2])
 
 
-def test_many_shards_take_the_same_report(make, monkeypatch):
-    monkeypatch.setattr(A, "MAX_SHARD_BITS", 1)
-    assert failed(audit(make)) == []
-    assert failed(audit(make, MEMBERS[1:])) == ["1", "3", "4"]
+@pytest.mark.parametrize("n_shards", [2, 600])
+def test_null_shard_is_a_shard_for_any_number_of_shards(make, n_shards):
+    names = [f"s{i:03d}" for i in range(n_shards)]
+    data = [(n, i) for i, n in enumerate(names)] + [(None, n_shards), (None, 0)]
+    m = make("shard_id string, task_id bigint", *data)
+    base = make("task_id bigint", *[(i,) for i in range(n_shards + 1)])
+    stories = make("shard_id string, story_id string", ("s000", "B1"))
+    report = A.audit_all(m, base, make("shard_id string, total_tasks bigint", *[(n, 1) for n in names]), stories, stories)
+    bad = {(r.layer[0], r.subject, r.n_bad) for r in report.where("NOT passed").collect()}
+    assert bad == {("1", "NULL", 2), ("2", "NULL/s000", 1)}
 
 
 def test_hot_id_counts_once(spark):

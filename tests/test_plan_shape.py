@@ -82,8 +82,7 @@ def test_drain_pushes_the_shard_filter_to_the_scan(spark):
 
 def test_disjoint_is_one_shuffle_by_id(spark, no_broadcast):
     i = Inputs(spark, SF)
-    names = A.shard_names(i.members.select("shard_id").distinct())
-    text = plan_of(A.membership_signatures(i.members, i.task_ids, names))
+    text = plan_of(A.membership_sets(i.members, i.task_ids))
     assert len(re.findall(r"^\(\d+\) Exchange$", text, re.M)) == 2  # by id, then the few distinct sets
 
 
