@@ -81,17 +81,17 @@ def new_stories(added: DataFrame, stories: DataFrame, root_prefix: str = ".shard
     tops = as_lookup(stories.groupBy("shard_id").agg(F.max("priority").alias("_top"), F.max("pos").alias("_last")))
     numbered = added.withColumn("_n", F.col("ordinal") + 1).join(tops, "shard_id", "left")
     root = F.concat(F.lit(root_prefix), F.col("shard_id"), F.lit("/"))
-    touched = ["state/verdicts.jsonl", "state/seen_task_ids.json", "stories.json", "progress.txt"]
+    # What this engine writes for a batch: its verdicts, those it refuses, and the story state.
+    touched = ["accepted", "quarantine", "stories"]
     return numbered.select(
         "shard_id", "story_id", "batch_idx",
-        F.format_string("%s · %d tasks (rebalance)", F.col("story_id"), F.col("n_tasks")).alias("title"),
+        F.format_string("%s: %d moved tasks", F.col("story_id"), F.col("n_tasks")).alias("title"),
         F.lit("data-fill").alias("story_type"),
         F.col("n_tasks").alias("entry_count"),
         F.array(*[F.concat(root, F.lit(t)) for t in touched]).alias("modifies"),
         F.array().cast("array<string>").alias("creates"),
-        F.array(F.format_string("exactly %d verdicts for this batch", F.col("n_tasks")), F.lit("verdict ids equal the batch's ids"),
-                F.lit("schema version as configured"), F.lit("share of long reasons as configured")).alias("acceptance_criteria"),
-        F.lit("added by a rebalance").alias("notes"),
+        F.array(F.format_string("n_rows = %d", F.col("n_tasks")), F.lit("default gate")).alias("acceptance_criteria"),
+        F.format_string("moved tasks, generation batch %d", F.col("batch_idx")).alias("notes"),
         (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("bigint").alias("pos"),
         (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("bigint").alias("priority"),
         F.lit(False).alias("passes"),

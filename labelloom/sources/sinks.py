@@ -84,7 +84,7 @@ def publish(spark: SparkSession, path: str, write: Callable[[str], None], mode:
     if mode not in MODES:
         raise PlanError(f"mode is one of {MODES}, got {mode!r}")
     if mode == "default" and has_rows(spark, path, fmt):
-        raise PlanError(f"{path} already has rows, refuse to wipe; use mode='force' to reset it")
+        raise PlanError(f"rows found in {path}: only mode='force' replaces them")
     if mode == "refresh" and not exists(spark, path):
         raise PlanError(f"{path} does not exist, nothing to refresh")
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
@@ -106,7 +106,7 @@ def publish_plan(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]
     if mode == "default":
         for place in places.values():
             if has_rows(spark, place):
-                raise PlanError(f"{place} already has rows, refuse to wipe; use mode='force' to reset it")
+                raise PlanError(f"rows found in {place}: only mode='force' replaces them")
     if mode == "refresh" and not all(exists(spark, p) for p in places.values()):
         raise PlanError(f"{base}/state does not exist, nothing to refresh")
     # Stage everything first, so that a failed table leaves the old plan untouched.

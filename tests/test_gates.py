@@ -27,9 +27,9 @@ def judged(make):
 
 def test_schema_defaults():
     assert (RULES.id_field, RULES.qa_field, RULES.reason_field, RULES.min_reason_chars) == ("task_id", "qa", "reason", 150)
-    assert [RULES.distinct_qa_threshold(n) for n in (50, 33, 20)] == [2, 1, 1]
-    custom = VerdictSchema.from_dict({"distinct_qa_min": 3, "distinct_qa_min_small": 2, "small_batch_threshold": 10, "x": 1})
-    assert (custom.distinct_qa_threshold(11), custom.distinct_qa_threshold(10)) == (3, 2)
+    assert [RULES.distinct_qa_threshold(n) for n in (90, 34, 33, 1)] == [2, 2, 1, 1]
+    custom = VerdictSchema.from_dict({"distinct_qa_min": 5, "distinct_qa_min_small": 4, "small_batch_threshold": 7, "x": 1})
+    assert (custom.distinct_qa_threshold(8), custom.distinct_qa_threshold(7)) == (5, 4)
     with pytest.raises(Exception):
         custom.min_reason_chars = 1
 

@@ -143,7 +143,7 @@ def test_publish_modes(spark, make, tmp_path):
         K.publish(spark, path, lambda p: one.write.parquet(p), "refresh")
     K.publish(spark, path, lambda p: one.limit(0).write.parquet(p))
     K.publish(spark, path, lambda p: one.write.parquet(p))
-    with pytest.raises(PlanError, match="refuse to wipe"):
+    with pytest.raises(PlanError, match="rows found"):
         K.publish(spark, path, lambda p: two.write.parquet(p))
     K.publish(spark, path, lambda p: two.write.parquet(p), "refresh")
     assert rows(spark.read.parquet(path)) == [(2,)]
@@ -167,7 +167,7 @@ def test_plan_publish_guards_the_state(spark, make, tmp_path):
         K.publish_plan(spark, root, {"batches": plan}, state, "refresh")
     K.publish_plan(spark, root, {"batches": plan}, state)
     make("task_id string", ("x",)).write.mode("append").parquet(f"{root}/state/verdicts")
-    with pytest.raises(PlanError, match="refuse to wipe"):
+    with pytest.raises(PlanError, match="rows found"):
         K.publish_plan(spark, root, {"batches": plan}, state)
     K.publish_plan(spark, root, {"batches": make("b int", (2,))}, state, "refresh")
     assert rows(spark.read.parquet(f"{root}/plan/batches")) == [(2,)]

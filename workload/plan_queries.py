@@ -275,7 +275,7 @@ def append_plan_totals(i: Inputs) -> DataFrame:
            true AS passes, CAST(1 AS BIGINT) AS attempts, NULL AS title, NULL AS timeout_text FROM existing
     UNION ALL
     SELECT a.shard_id, printf('BATCH-%03d', a.batch_idx), t.last + row_number() OVER w, t.top + row_number() OVER w,
-           false, 0, concat(printf('BATCH-%03d', a.batch_idx), ' · ', CAST(a.n_tasks AS VARCHAR), ' tasks (rebalance)'), '2400'
+           false, 0, concat(printf('BATCH-%03d', a.batch_idx), ': ', CAST(a.n_tasks AS VARCHAR), ' moved tasks'), '2400'
     FROM added a JOIN tops t ON t.shard_id = a.shard_id WINDOW w AS (PARTITION BY a.shard_id ORDER BY a.batch_idx)""")
 def append_plan_stories(i: Inputs) -> DataFrame:
     return _appended(i)["stories"].select(
