@@ -1,4 +1,4 @@
-"""Session defaults, the shared scratch folder, and size-checked small sides."""
+"""Session defaults, the shared scratch folder, and small sides."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A lookup side is turned into a local relation only up to this many rows.
-LOOKUP_ROWS = 50_000
-
 # Scratch folders of local sessions without a configured one, by application.
 _OWN_ROOTS: dict[str, str] = {}
 
@@ -69,14 +66,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def as_lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Compute a side that should be small once and give the planner its exact size.
+def as_lookup(df: DataFrame) -> DataFrame:
+    """Compute a side that should be small once, as a scratch table.
 
-    Up to ``max_rows`` rows the result is a local relation, which the planner
-    broadcasts. A larger side becomes a scratch table, which joins by shuffle
-    unless its files turn out to be small enough.
+    The size of its files tells the planner whether to broadcast it or to join by shuffle.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return materialize(df, "lookup")
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    return materialize(df, "lookup")

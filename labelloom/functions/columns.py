@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ def batch_label(idx: Column) -> Column:
 
 
 def batch_number(story_id: Column) -> Column:
-    return F.split_part(story_id, F.lit("-"), F.lit(2)).cast("bigint")
+    return F.split_part(story_id, F.lit("-"), F.lit(2)).try_cast("bigint")
 
 
 def range_label(lo: Column, hi: Column) -> Column:
@@ -54,11 +55,21 @@ def swap_prefix(value: Column, old: str | Column, new: str | Column) -> Column:
 
 
 def fill_placeholders(template: str | Column, mapping: Mapping[str, Column]) -> Column:
-    """Replace every ``{{NAME}}`` in ``template`` by its column, in mapping order."""
-    text = F.lit(template) if isinstance(template, str) else template
-    for name, value in mapping.items():
-        text = F.replace(text, F.lit("{{" + name + "}}"), value.cast("string"))
-    return text
+    """Replace every ``{{NAME}}`` in ``template`` by its column; NULL is empty text.
+
+    The template is cut once, so a value that holds a placeholder stays as it is.
+    """
+    marks = {"{{" + name + "}}": F.coalesce(value.cast("string"), F.lit("")) for name, value in mapping.items()}
+    if not marks:
+        return F.lit(template) if isinstance(template, str) else template
+    cut = "|".join(re.escape(m) for m in marks)
+    if isinstance(template, str):
+        parts = re.split(f"({cut})", template)
+        return F.concat(*(marks.get(part, F.lit(part)) for part in parts))
+    # Template parts and the placeholders between them, in turn.
+    plain, found = F.split(template, cut), F.regexp_extract_all(template, F.lit(f"({cut})"), F.lit(1))
+    filled = F.transform(found, lambda m: F.coalesce(*(F.when(m == F.lit(mark), value) for mark, value in marks.items())))
+    return F.array_join(F.flatten(F.zip_with(plain, filled, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
 def in_labels(qa: Column, valid: Sequence[str]) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelloom.cluster import drop_scratch
 from labelloom.functions.columns import batch_label
 from labelloom.model import BATCH_SIZE, AuditError, PlanError, VerdictSchema
 from labelloom.operators import audit, gates, merge, monitor, rebalance
@@ -81,7 +82,7 @@ def load_contract(path: str | None, spark: SparkSession) -> tuple[str, VerdictSc
 
 def plan(p: Project, args) -> None:
     if args.mode == "default" and sinks.has_rows(p.spark, ingest.accepted_path(p.sink)):
-        raise PlanError(f"{p.sink} already has verdicts, refuse to wipe; use --mode force to reset it")
+        raise PlanError(f"verdicts found in {p.sink}: only --mode force replaces them")
     if args.mode == "refresh" and not sinks.exists(p.spark, f"{p.root}/plan/stories"):
         raise PlanError("nothing planned yet, nothing to refresh")
     schema = T.StructType([T.StructField(args.id_field, T.StringType())])
@@ -226,6 +227,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except (AuditError, PlanError) as e:
         print(f"FAILED: {e}", file=sys.stderr)
         return 1
+    finally:
+        if spark is None:
+            drop_scratch(session)
     return 0
 
 

@@ -315,6 +315,8 @@ def run_gates(stories: DataFrame, verdicts: DataFrame, batch_tasks: DataFrame,
         raise PlanError("; ".join(sorted(set(errors))))
     if len(configs) > MAX_GATE_CONFIGS:
         raise PlanError(f"more than {MAX_GATE_CONFIGS} different gate configurations")
+    if not configs:
+        return build_gate({"type": "jsonl_schema", "schema_version": "v1"}).evaluate(verdicts.limit(0), batch_tasks.limit(0))
     results = []
     for row in configs:
         mine = batch_tasks.join(resolved.where(F.col("config") == row.config).select("batch_idx"), "batch_idx", "left_semi")

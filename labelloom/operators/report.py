@@ -35,9 +35,11 @@ def union_reports(reports: list[DataFrame]) -> DataFrame:
 
 
 def assert_clean(report: DataFrame, shown: int = 20) -> None:
-    """Raise :class:`AuditError` when any row failed; only a few rows reach the driver."""
+    """Raise :class:`AuditError` when any row failed; it names the first ``shown`` and tells how many there are."""
     failed = report.where(~F.col("passed")).orderBy("layer", "subject").limit(shown).collect()
     if failed:
+        total = report.where(~F.col("passed")).count()
+        more = [f"{total} failed rows in all"] if total > len(failed) else []
         raise AuditError([
             f"({r.layer}) {r.subject}: {r.detail or ''} n_bad={r.n_bad} example={r.example}" for r in failed
-        ])
+        ] + more)

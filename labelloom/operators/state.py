@@ -135,9 +135,11 @@ def run_outcomes(runs: DataFrame, stories: DataFrame, default: int = DEFAULT_TIM
     A limit that is not a positive whole number means ``default``. Adds
     ``limit_seconds, outcome, code`` (124 for a time-out).
     """
-    limits = stories.select("story_id", F.when(strip(F.col("timeout_text")).rlike("^[0-9]+$"),
+    # A story id may stand in several shards; runs that name their shard are matched on both.
+    keys = [c for c in ("shard_id", "story_id") if c in runs.columns and c in stories.columns]
+    limits = stories.select(*keys, F.when(strip(F.col("timeout_text")).rlike("^[0-9]+$"),
                                                strip(F.col("timeout_text")).try_cast("bigint")).alias("_limit"))
-    rows = runs.join(limits, "story_id", "left")
+    rows = runs.join(limits, keys, "left")
     limit = F.when(F.col("_limit") > 0, F.col("_limit")).otherwise(default)
     over, error = F.col("seconds") > limit, F.col("exit_code") != 0
     return (rows.withColumn("limit_seconds", limit.cast("bigint"))

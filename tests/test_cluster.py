@@ -11,12 +11,10 @@ def joined_plan(big, small):
     return big.join(small, "id")._jdf.queryExecution().executedPlan().toString()
 
 
-def test_lookup_is_local_when_small_and_a_table_when_not(spark):
+def test_lookup_is_a_table(spark):
     df = spark.range(100)
-    small, large = as_lookup(df, 100), as_lookup(df, 99)
-    assert rows(small) == rows(large) == rows(df)
-    assert "LocalTableScan" in small._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan parquet" in large._jdf.queryExecution().executedPlan().toString()
+    assert rows(as_lookup(df)) == rows(df)
+    assert "FileScan parquet" in as_lookup(df)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_planner_broadcasts_by_true_size_only(spark):
@@ -25,7 +23,7 @@ def test_planner_broadcasts_by_true_size_only(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
     try:
-        assert "SortMergeJoin" in joined_plan(big, as_lookup(spark.range(500), 10))
+        assert "SortMergeJoin" in joined_plan(big, as_lookup(spark.range(500)))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
