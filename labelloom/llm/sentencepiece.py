@@ -30,6 +30,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 HOT_CHUNKS = 2_000_000
 MASK_CHARS = 60
+# The lattice of so many chunks is one task.
+TASK_CHUNKS = 20_000
 
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
@@ -164,6 +167,11 @@ def lattice(chunks: DataFrame, model: Model) -> DataFrame:
         (-F.col("score")).alias("cost"), "at", "size", "id")).alias("edges"))
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times within one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.cast("int"))
 
@@ -186,7 +194,7 @@ def _merged(chunk: Column, edges: Column) -> Column:
             return borders - F.coalesce(borders.bitwiseAND(best), F.lit(0).cast("bigint"))
         return F.aggregate(F.sequence(F.lit(1), F.length(chunk)), _bit(F.length(chunk) + 1) - 1, step)
 
-    return F.get(F.transform(F.array(ranked), fold), F.lit(0))
+    return _bind(ranked, fold)
 
 
 def _viterbi(chunk: Column, edges: Column, unknown_cost: float) -> Column:
@@ -206,7 +214,7 @@ def _ids(chunk: Column, edges: Column, borders: Column, model: Model) -> Column:
     places = F.filter(F.sequence(F.lit(0), F.length(chunk)), lambda p: borders.bitwiseAND(_bit(p)) != 0)
 
     def symbol(at: Column, end: Column) -> Column:
-        mine = F.get(F.filter(edges, lambda e: (e["at"] == at) & (e["size"] == end - at)), F.lit(0))["id"]
+        found = F.get(F.filter(edges, lambda e: (e["at"] == at) & (e["size"] == end - at)), F.lit(0))["id"]
         if model.bytes_:
             table = F.array(*(F.lit(i) for i in model.bytes_))
             digits = F.hex(F.encode(F.substring(chunk, at + 1, end - at), "utf-8"))
@@ -214,11 +222,11 @@ def _ids(chunk: Column, edges: Column, borders: Column, model: Model) -> Column:
                 table, F.conv(F.substring(digits, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
         else:
             other = F.array(F.lit(model.unknown))
-        return F.when(mine.isNotNull(), F.array(mine)).otherwise(other)
+        return _bind(found, lambda mine: F.when(mine.isNotNull(), F.array(mine)).otherwise(other))
 
     def between(cuts: Column) -> Column:
         return F.flatten(F.transform(F.slice(cuts, 2, F.size(cuts)), lambda end, k: symbol(F.get(cuts, k), end)))
-    return F.get(F.transform(F.array(places), between), F.lit(0))
+    return _bind(places, between)
 
 
 def fold_long(chunk: str, edges: list[tuple[float, int, int, int]], model: Model) -> list[int]:
@@ -275,11 +283,11 @@ def unknown_cost(model: Model) -> float:
 
 def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
     """``chunks`` (chunk, n) -> (chunk, n, ids)."""
-    edges = lattice(chunks, model)
+    edges = lattice(chunks.where(F.length("chunk") <= MASK_CHARS), model)
     chunk, e = F.col("chunk"), F.col("edges")
     borders = _merged(chunk, e) if model.kind == BPE else _viterbi(chunk, e, unknown_cost(model))
-    short = edges.where(F.length("chunk") <= MASK_CHARS).withColumn("borders", borders).select(
-        "chunk", "n", _ids(chunk, e, F.col("borders"), model).alias("ids"))
+    # Bound inside the expression: a column of it would be folded anew for every character.
+    short = edges.select("chunk", "n", _bind(borders, lambda b: _ids(chunk, e, b, model)).alias("ids"))
     shared = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,12 +310,11 @@ class Table:
     ids: np.ndarray
 
     @classmethod
-    def of(cls, chunks: list[str], ids: list) -> Table:
+    def of(cls, chunks: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> Table:
+        """``flat`` has the ids of all ``chunks`` in turn, ``sizes`` how many each has."""
         hashes = np.zeros(len(chunks), dtype=np.uint64)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in ids]) if ids else np.zeros(0, dtype=np.int32)
         for k in range(0, len(chunks), 1 << 16):
-            part = chunks[k:k + (1 << 16)]
+            part = chunks.slice(k, 1 << 16).to_pylist()
             lengths = np.array([len(c) for c in part])
             points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             own = PrefixHash(mix(points.astype(np.uint64) + np.uint64(1)))
@@ -336,10 +343,8 @@ def hot_table(encoded: DataFrame, most: int) -> tuple[Table, int]:
             least = b + 1
             break
     rows = encoded.where(level >= least).select("chunk", "ids").toArrow()
-    lists = rows.column("ids").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return Table.of(rows.column("chunk").to_pylist(), [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]), least
+    chunks, lists = (pa.concat_arrays(rows.column(c).chunks or [pa.array([], rows.schema.field(c).type)]) for c in ("chunk", "ids"))
+    return Table.of(chunks, lists.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)), least
 
 
 class Encoder:
@@ -393,7 +398,10 @@ OUT = "doc_id bigint, ids array<int>, n_tokens bigint, exact boolean"
 def encode(docs: DataFrame, model: Model, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """(doc_id, ids, n_tokens, exact): ids of every text; ``exact`` tells that they decode to the text again."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    encoded = materialize(encode_chunks(chunk_counts(slim, model), model), "chunks")
+    counts = materialize(chunk_counts(slim, model), "chunk-counts")
+    # The rows are few and small here and grow a hundredfold in the lattice, so they are dealt out by number.
+    counts = counts.repartition(max(1, -(-counts.count() // TASK_CHUNKS)), "chunk")
+    encoded = materialize(encode_chunks(counts, model), "chunks")
     table, least = hot_table(encoded, hot_chunks)
     shared = docs.sparkSession.sparkContext.broadcast((model, table))
 
@@ -404,7 +412,8 @@ def encode(docs: DataFrame, model: Model, hot_chunks: int = HOT_CHUNKS) -> DataF
             if "rare" in batch.schema.names:
                 rare = {c: i for cs, ls in zip(batch.column("rare").to_pylist(), batch.column("rare_ids").to_pylist())
                         for c, i in zip(cs or (), ls or ())}
-                own = Table.of(list(rare), list(rare.values()))
+                own = Table.of(pa.array(list(rare), pa.string()), np.array([i for x in rare.values() for i in x], dtype=np.int32),
+                               np.array([len(x) for x in rare.values()], dtype=np.int64))
             ids, starts = encoder.encode(texts, own)
             same = [a == t.encode("utf-8", "surrogatepass") for a, t in zip(encoder.decode(ids, starts), texts)]
             yield pa.record_batch([

@@ -173,7 +173,7 @@ def test_licenses(spark, docs):
 def test_languages(spark, docs):
     texts = {"en": "the house and the garden of this old man", "fr": "la maison et le jardin de ce vieil homme"}
     rows = [(k, f"{texts[lang]} {k}", lang) for k in range(60) for lang in [("en", "fr")[k % 2]]]
-    rows += [(100, None, None), (101, "123 !?", "en"), (102, "jardins maisons", None), (103, "gardens houses", "fr")]
+    rows += [(100, None, None), (101, "123 !?", "en"), (102, "jardins maisons", None), (103, "gardens houses", None)]
     got = {r.doc_id: r for r in langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[k].lang_pred == ("en", "fr")[k % 2] for k in range(60))
     assert got[100].lang_pred == "und" and got[101].lang_pred == "und" and got[101].score == 0.0
