@@ -91,7 +91,7 @@ def plan(p: Project, args) -> None:
     total = placed.agg(F.max("batch_idx")).first()[0] or 0
     if args.splits or args.splits_file:
         text = args.splits or "\n".join(r.value for r in p.spark.read.text(args.splits_file, wholetext=True).collect())
-        ranges = S.named_ranges(S.parse_splits(text), args.shards)
+        ranges = S.named_ranges(S.parse_splits(text), args.shards, args.wide)
         S.assert_ranges(p.spark, ranges, total)
         members = S.assign_ranges(placed, S.range_table(p.spark, ranges))
     else:
@@ -130,9 +130,15 @@ def gate(p: Project, args) -> None:
     own = "acceptanceGate" in stories.columns
     judged = gates.run_gates(stories if own else stories.withColumn("acceptanceGate", F.lit(None).cast("map<string,string>")),
                              p.accepted, p.members, acceptance["default_gate"])
+    # An attempt counts for stories that somebody has worked on and that have not passed yet.
+    started = p.members.join(p.accepted.select("task_id").distinct(), "task_id", "left_semi").select("batch_idx").distinct()
+    waiting = stories.where(~F.coalesce("passes", F.lit(False))).select("shard_id", "story_id")
     results = judged.join(p.plan("batches").select("shard_id", "batch_idx", "story_id"), "batch_idx")
+    results = results.join(started, "batch_idx", "left_semi").join(waiting, ["shard_id", "story_id"], "left_semi")
     moved = gates.finalize(stories, results, acceptance.get("max_attempts", 3))
-    p.save_plan("refresh", stories=moved.drop("token"), gate_results=results.select("shard_id", "story_id", "passed", "failures"))
+    tokens = moved.where("token IS NOT NULL").select("shard_id", "story_id", "token")
+    p.save_plan("refresh", stories=moved.drop("token"), gate_results=results.join(tokens, ["shard_id", "story_id"], "left").select(
+        "shard_id", "story_id", "passed", "failures", "diagnostics", "token"))
     monitor.progress(p.plan("stories")).orderBy("shard_id").show(truncate=False)
 
 

@@ -257,7 +257,8 @@ def _nested(value):
 GATE_TYPES: dict[str, Callable[[Mapping], object]] = {
     "jsonl_schema": lambda c: SchemaGate(VerdictSchema.from_dict(_nested(c.get("verdict_schema", {}))),
                                          c["schema_version"]),
-    "expr": lambda c: ExprGate(c["condition"], c.get("name", "expr")),
+    "expr": lambda c: ExprGate(c["condition"], c.get("name", "expr"),
+                               schema=VerdictSchema.from_dict(_nested(c.get("verdict_schema", {})))),
     "composite": lambda c: CompositeGate(tuple(build_gate(g) for g in _nested(c["gates"]))),
 }
 
@@ -320,7 +321,10 @@ def run_gates(stories: DataFrame, verdicts: DataFrame, batch_tasks: DataFrame,
     results = []
     for row in configs:
         mine = batch_tasks.join(resolved.where(F.col("config") == row.config).select("batch_idx"), "batch_idx", "left_semi")
-        results.append(build_gate(json.loads(row.config)).evaluate(verdicts, mine))
+        config = json.loads(row.config)
+        if default and default.get("verdict_schema"):
+            config.setdefault("verdict_schema", default["verdict_schema"])  # the project's field names
+        results.append(build_gate(config).evaluate(verdicts, mine))
     return reduce(DataFrame.unionByName, results)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date
 from functools import reduce
@@ -14,7 +15,7 @@ from labelloom.functions.columns import long_enough, row_errors, with_chars
 from labelloom.model import EXAMPLES, SAMPLE_SEED, SAMPLE_SIZE, PlanError, VerdictSchema
 from labelloom.operators.audit import against_declared, coverage
 from labelloom.operators.report import assert_clean, check_rows, union_reports
-from labelloom.sources.sinks import publish, write_ordered
+from labelloom.sources.sinks import has_rows, remove, swap_in, write_ordered
 
 
 def union_shards(parts: Sequence[DataFrame]) -> DataFrame:
@@ -166,14 +167,19 @@ def merge_publish(verdicts: DataFrame, baseline_order: DataFrame, declared: Data
                   version: str, out_dir: str, stem: str = "merged", total: int | None = None,
                   prefix: DataFrame | None = None, prefix_order: str = "seq", dry_run: bool = False,
                   day: date | None = None, fmt: str = "json", reason_policy: str = "all",
-                  line_field: str | None = None, keep_order: bool = False) -> list[str]:
+                  line_field: str | None = None, keep_order: bool = False, mode: str = "default",
+                  n: int | None = SAMPLE_SIZE) -> list[str]:
     """Audit, then write; any failed layer raises and leaves no output (M7).
 
+    All outputs are written aside first and take their places only when each is complete.
+    An output that has rows is replaced with ``mode="force"`` only. ``n`` is the size of
+    the schema sample, None checks every row.
+
     Returns the written paths: the merged set, and the combined one if a
     ``prefix`` was given. ``line_field`` names a column with the raw lines, which
     are then written as they came. ``keep_order`` leaves the order columns in.
     """
-    assert_clean(merge_report(verdicts, baseline_order, declared, schema, version, total, reason_policy=reason_policy))
+    assert_clean(merge_report(verdicts, baseline_order, declared, schema, version, total, n, reason_policy=reason_policy))
     if dry_run:
         return []
     fields = [line_field] if line_field else [c for c in verdicts.columns if c not in (schema.chars_field, "task_id", "src")]
@@ -181,15 +187,21 @@ def merge_publish(verdicts: DataFrame, baseline_order: DataFrame, declared: Data
     outputs = [(output_name(stem, "merged", day), merged, ["batch_idx", "pos"])]
     if prefix is not None:
         outputs.append((output_name(stem, "combined", day), combine(prefix, merged, prefix_order), ORDER))
-    paths = []
-    for name, df, order in outputs:
-        path = f"{out_dir.rstrip('/')}/{name}"
-        rows = df.select(*order, F.col(line_field).alias("value")) if line_field else df
-        kind, drop = ("text" if line_field else fmt), ([] if keep_order and not line_field else order)
-
-        def write(staging: str, rows=rows, order=order, kind=kind, drop=drop) -> None:
-            write_ordered(rows, staging, order, kind, drop=drop)
-
-        publish(df.sparkSession, path, write, mode="force")
-        paths.append(path)
-    return paths
+    spark, staged = merged.sparkSession, {}
+    kind = "text" if line_field else fmt
+    places = {name: f"{out_dir.rstrip('/')}/{name}" for name, _, _ in outputs}
+    taken = [path for path in places.values() if mode != "force" and has_rows(spark, path, kind)]
+    if taken:
+        raise PlanError(f"rows found in {', '.join(taken)}: only mode='force' replaces them")
+    try:
+        for name, df, order in outputs:
+            staged[name] = f"{out_dir.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+            rows = df.select(*order, F.col(line_field).alias("value")) if line_field else df
+            write_ordered(rows, staged[name], order, kind, drop=[] if keep_order and not line_field else order)
+    except BaseException:
+        for folder in staged.values():
+            remove(spark, folder)
+        raise
+    for name, folder in staged.items():
+        swap_in(spark, folder, places[name])
+    return list(places.values())
