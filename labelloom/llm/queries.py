@@ -92,7 +92,7 @@ FROM b
 
 @query
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 ORACLES["op9_minhash_near_dedup"] = r"""
