@@ -8,9 +8,10 @@ except for at most a run and a pair at either end of each round, where the neigh
 decides. What of a window is sure to be named alike wherever the window stands follows from
 the window alone.
 
-A window's key is the least sure symbol of the highest round that has one. ``repeats`` then
-settles whole contexts that are equal, and where a symbol stands in different contexts the
-single windows of those contexts are verified by two hashes of all their words.
+A window's key is the least of its sequences of ``SYMBOLS`` sure symbols, in the highest round
+that has one. ``repeats`` then settles whole contexts that are equal, and where a sequence
+stands in different contexts the single windows of those contexts are verified by two hashes
+of all their words.
 
 Defined cases: a null or empty text has no words, and one with fewer words than the window
 loses none. Rows that repeat an id are one document. A null id is after all others and takes
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.repeats import ROWS, Kernel, batch_of, hot_keys, resolve, sampled, with_spans
 from labelloom.llm.rolling import PrefixHash, U, mix
-from labelloom.llm.texts import Texts, WordTexts
+from labelloom.llm.texts import Texts, WordTexts, pieces
 
 WINDOW = 50
-ROUNDS = 5
-GROUP_BYTES = 1 << 20
+ROUNDS = 3
+SYMBOLS = 4
 
 _RUN, _PAIR = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 
@@ -77,8 +78,8 @@ class Level:
         return Level(names, self.text[head], lo, hi)
 
 
-def least_symbols(words: WordTexts, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every window: its first word, its text, its key, and a number that tells its symbol apart."""
+def least_symbols(words: WordTexts, window: int, rounds: int, symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every window: its first word, its text, its key, and a number that tells its symbols' place apart."""
     counts = np.diff(words.starts)
     text = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(words.hashes))
@@ -93,9 +94,14 @@ def least_symbols(words: WordTexts, window: int, rounds: int) -> tuple[np.ndarra
     base = 0
     for k in range(rounds, -1, -1):
         level = levels[k]
-        todo = np.flatnonzero((symbol < 0) & (level.lo < level.hi))
-        lo, hi = level.lo[todo], level.hi[todo]
-        ranks = mix(level.names + U(k))
+        todo = np.flatnonzero((symbol < 0) & (level.lo < level.hi - (symbols - 1)))
+        lo, hi = level.lo[todo], level.hi[todo] - (symbols - 1)
+        ranks = level.names.copy()
+        for j in range(1, symbols):
+            after = np.zeros_like(ranks)
+            after[:-j] = level.names[j:]
+            ranks = mix(ranks * _PAIR + after)
+        ranks = mix(ranks + U(k))
         best, at = np.full(len(todo), np.iinfo(np.uint64).max, dtype=np.uint64), lo.copy()
         for step in range(int((hi - lo).max(initial=0))):
             here = lo + step
@@ -109,10 +115,9 @@ def least_symbols(words: WordTexts, window: int, rounds: int) -> tuple[np.ndarra
 
 def symbol_rows(window: int, rounds: int) -> Kernel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [[] for _ in range(5)]
-            for group in Texts.of(batch).groups(GROUP_BYTES):
-                words = WordTexts.of(group)
+        for piece in (p for batch in batches for p in pieces(batch)):
+            whole, parts = WordTexts.of(Texts.of(piece)), [[] for _ in range(5)]
+            for at, words in whole.segments(window - 1):
                 start, text, key, symbol = least_symbols(words, window, rounds)
                 if not len(start):
                     continue
@@ -122,7 +127,7 @@ def symbol_rows(window: int, rounds: int) -> Kernel:
                 n = np.diff(np.append(head, len(start)))
                 lo, owner = start[head], text[head]
                 ctx = mix(PrefixHash(words.hashes).window(lo, n - 1 + window) + n.astype(np.uint64))
-                for part, value in zip(parts, (key[head], ctx, words.ids[owner], lo - words.starts[owner], n)):
+                for part, value in zip(parts, (key[head], ctx, words.ids[owner], lo + at - whole.starts[owner], n)):
                     part.append(value)
             if parts[0]:
                 rows = [np.concatenate(p) for p in parts]
@@ -133,7 +138,7 @@ def symbol_rows(window: int, rounds: int) -> Kernel:
 def window_rows(window: int) -> Kernel:
     """The single windows of open rows (a = first word, b = windows), keyed by all their words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             texts = Texts.of(batch)
             words = WordTexts.of(texts)
             hashes = PrefixHash(words.hashes)
