@@ -131,11 +131,15 @@ def restore(token: str, model: CharModel) -> str:
 
 
 def set_apart(tokens: list[str]) -> list[str]:
-    """Words written as four or more single letters with spaces between."""
+    """Words written as four or more single letters with spaces between.
+
+    The outer letters may be words of their own (a, I, y), so each reading without one counts too.
+    """
     marks = "".join(["1" if len(t) == 1 else "0" for t in tokens])
     if "1111" not in marks:
         return []
-    return ["".join(tokens[m.start():m.end()]) for m in re.finditer("1{4,}", marks)]
+    runs = ["".join(tokens[m.start():m.end()]) for m in re.finditer("1{4,}", marks)]
+    return [part for run in runs for part in (run, run[1:], run[:-1]) if len(part) > 3]
 
 
 def words_of(token: str, model: CharModel) -> list[str]:
