@@ -1,10 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits. All n-grams of the items are looked up in
-all texts, which gives each one's document frequency; an item's seeds are the rarer half of
-its n-grams, however frequent they are, so that an item which a third of all texts quote is
-still found. A text and an item that share ``MIN_SEEDS`` seeds close together are aligned there
-word by word. The share of the best possible score tells a copy, also an edited one.
+all texts, and every n-gram of an item is a seed, however frequent or rare it is: an edited
+copy has lost the rarest ones first, and an item which a third of all texts quote is still
+found. A text and an item that share ``MIN_SEEDS`` seeds close together are aligned there
+word by word. The share of the best possible score tells a copy, also an edited one. Whether
+a text is aligned with an item follows from the two alone, not from other texts.
+
+Not aligned are copies whose edits leave fewer than ``MIN_SEEDS`` n-grams whole, such as one
+with every third word changed.
 
 Items are handled in blocks of ``BLOCK_WORDS`` words, which bounds what is sent to the
 executors; more items mean more blocks. Each item is compared with all texts.
@@ -145,14 +149,12 @@ def _hits(shared):
     return run
 
 
-def choose_seeds(items: Items, frequency: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(gram, item, how many are needed): the rarer half of each item's n-grams."""
+def choose_seeds(items: Items) -> list[tuple[int, int, int]]:
+    """(gram, item, how many are needed): all n-grams of each item."""
     out = []
     for k, words in enumerate(items.words):
         grams = np.unique(np.searchsorted(items.keys, gram_keys(words, items.base))).tolist()
-        grams.sort(key=lambda g: (frequency.get(g, 0), g))
-        seeds = grams[:max(MIN_SEEDS, (len(grams) + 1) // 2)]
-        out += [(g, k, min(MIN_SEEDS, len(seeds))) for g in seeds]
+        out += [(g, k, min(MIN_SEEDS, len(grams))) for g in grams]
     return out
 
 
@@ -187,9 +189,7 @@ def _aligned(shared, threshold: float):
 def _block(slim: DataFrame, items: Items, threshold: float) -> DataFrame:
     spark = slim.sparkSession
     hits = materialize(slim.mapInArrow(_hits(spark.sparkContext.broadcast(items)), "doc_id bigint, grams array<int>, places array<int>"), "hits")
-    counts = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    frequency = {r["gram"]: r["df"] for r in counts.collect()}  # at most one row per n-gram of the block
-    seeds = choose_seeds(items, frequency)
+    seeds = choose_seeds(items)
     needed = {k: need for _, k, need in seeds}
     table = spark.createDataFrame(seeds or [(0, 0, 0)], "gram int, item int, need int")
     single = hits.select("doc_id", F.explode(F.arrays_zip("grams", "places")).alias("h")).select(

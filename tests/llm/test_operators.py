@@ -249,6 +249,36 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(df, items.where("false")).isEmpty()
 
 
+def plain_alignment(text, item):
+    """Smith-Waterman cell by cell."""
+    above, best = [0] * (len(text) + 1), 0
+    for word in item:
+        row = [0]
+        for k, other in enumerate(text, 1):
+            row.append(max(0, above[k - 1] + (2 if word == other else -1), above[k] - 1, row[-1] - 1))
+        best, above = max(best, *row), row
+    return best / (2 * len(item))
+
+
+def test_edited_copies_like_brute_force(spark):
+    pick = random.Random(7)
+    items = [(k, prose(f"item{k}", 25)) for k in range(30)]
+    rows = []
+    for k, text in items:  # one copy each, every fifth word changed on average
+        copy = " ".join(f"new{pick.randrange(10 ** 6)}" if pick.random() < 0.2 else w for w in text.split())
+        rows.append((k, prose(f"head{k}", 30) + " " + copy + " " + prose(f"tail{k}", 30)))
+    want = set()
+    for doc, text in rows:
+        words = text.split()
+        grams = {tuple(words[i:i + 3]) for i in range(len(words) - 2)}
+        for k, item in items:
+            own = item.split()
+            if len(grams & {tuple(own[i:i + 3]) for i in range(len(own) - 2)}) >= 2 and plain_alignment(words, own) >= 0.5:
+                want.add((doc, k))
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 20
+
+
 def test_many_benchmark_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     items = spark.createDataFrame([(k, prose(f"i{k}", 20)) for k in range(9)], "item_id long, text string")
