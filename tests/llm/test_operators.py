@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from labelloom.llm import decontaminate, langid, licenses, lines, near, quality, recompress, sentencepiece, suffix_dedup, toxicity
 from labelloom.llm.suffix_sort import Suffixes
 
@@ -146,6 +147,28 @@ def test_line_copies(spark, docs):
     assert lines.dedup_lines(docs).columns == docs.columns
 
 
+def test_whole_line_runs_like_brute_force(spark):
+    pick = random.Random(11)
+    footer = ["ab", "first of a footer", "second of footer", "third of footer"]
+    texts = [["top"] + ["fifteen letters", "fifteen LETTERS", "FIFTEEN letters"], ["x y"] + ["fifteen letters", "fifteen LETTERS", "FIFTEEN letters"] + ["end"]]
+    for k in range(40):
+        own = [pick.choice(["a", "bb", "", "c" * 9, "d" * 14, f"line {pick.randrange(3)}", "e" * 45]) for _ in range(pick.randrange(1, 14))]
+        texts.append([f"doc {k}"] + own + (footer if k % 5 == 0 else []) + (["tail"] if k % 2 else []))
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(
+        spark, spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), "").collect()}
+    first, want = {}, {}
+    for k, t in enumerate(texts):
+        gone = set()
+        for p in range(len(t)):
+            for end in range(p + 1, len(t) + 1):
+                if sum(len(x) + 1 for x in t[p:end]) >= 40 and first.setdefault(tuple(t[p:end]), (k, p)) != (k, p):
+                    gone.update(range(p, end))
+        left = "\n".join(x for i, x in enumerate(t) if i not in gone)
+        if left.strip() or not gone:
+            want[k] = left
+    assert got == want and got[1] == "x y\nend"
+
+
 def test_quality(spark, docs):
     out = {r.doc_id: r for r in quality.measure(docs).collect() if r.doc_id is not None}
     assert out[6].n_words == 0 and out[6].base_failed and not out[6].kept
