@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import decontaminate, langid, licenses, lines, near, quality, recompress, sentencepiece, suffix_dedup, toxicity
+from labelloom.llm import decontaminate, langid, licenses, lines, near, packing, quality, recompress, sentencepiece, suffix_dedup, toxicity
 from labelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_line_dedup"] = lines.oracle()
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
