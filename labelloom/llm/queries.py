@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import decontaminate, langid, licenses, lines, near, packing, quality, recompress, sentencepiece, suffix_dedup, toxicity
+from labelloom.llm import collocations, decontaminate, langid, licenses, lines, near, packing, quality, ranked, recompress, sentencepiece, suffix_dedup, toxicity
 from labelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,19 @@ ORACLES["op10_line_dedup"] = lines.oracle()
 @query
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_ranked_search"] = ranked.oracle()
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = collocations.oracle()

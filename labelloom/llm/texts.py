@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,15 @@ def pieces(batch: pa.RecordBatch, size: int = PIECE, text: str = "text") -> Iter
         at = end
 
 
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+
+
+def small_letters(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _SMALL[data]
+
+
 @dataclass
 class Texts:
     ids: np.ndarray
@@ -84,3 +93,52 @@ class WordTexts:
         for at in range(0, len(self.hashes), SEGMENT):
             end = min(at + SEGMENT + overlap, len(self.hashes))
             yield at, WordTexts(self.ids, np.clip(self.starts, at, end) - at, self.hashes[at:end])
+
+
+@dataclass
+class Runs:
+    """Runs of bytes of many texts, as strings: where each begins in ``data``, and each text's first run."""
+
+    values: pa.Array
+    begin: np.ndarray
+    first: np.ndarray
+    data: np.ndarray
+
+
+def runs_of(texts: pa.Array, member: np.ndarray, value: Callable[[np.ndarray], np.ndarray] | None = None,
+            kind: Callable[[np.ndarray], np.ndarray] | None = None) -> Runs:
+    """The longest runs of bytes that ``member`` marks; what ``value`` makes of the bytes stands in them.
+
+    Runs are also cut between bytes to which ``kind`` gives 1 and 2. No cut may be inside a character.
+    """
+    texts = texts.cast(pa.large_string())
+    _, places, data = texts.buffers()
+    starts = np.frombuffer(places, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    first, last = int(starts[0]), int(starts[-1])
+    data = np.frombuffer(data, dtype=np.uint8)[first:last] if last > first else np.zeros(0, dtype=np.uint8)
+    starts = starts - first
+    inside = member[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    if kind is not None:
+        kinds = kind(data)
+        begin[1:] |= (kinds[1:] | kinds[:-1]) == 3
+    borders = starts[:-1][starts[:-1] < len(data)]
+    begin[borders] = inside[borders]
+    begin = np.flatnonzero(begin)
+    # Without the other bytes the runs stand side by side in one buffer.
+    reach = np.concatenate([[0], np.cumsum(inside)])
+    kept = data[inside] if value is None else value(data)[inside]
+    found = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(reach[begin], reach[-1]).astype(np.int64)), pa.py_buffer(kept))
+    return Runs(found, begin, np.searchsorted(begin, starts), data)
+
+
+def hash_strings(values: pa.Array) -> np.ndarray:
+    """Hash of each of the large strings ``values``, for uses where equal hashes only cost work."""
+    if not len(values):
+        return np.zeros(0, dtype=np.uint64)
+    _, places, data = values.buffers()
+    starts = np.frombuffer(places, dtype=np.int64)[values.offset:values.offset + len(values) + 1]
+    size = np.diff(starts)
+    data = np.frombuffer(data, dtype=np.uint8)[starts[0]:starts[-1]] if starts[-1] > starts[0] else np.zeros(0, dtype=np.uint8)
+    return mix(PrefixHash.of_bytes(data).window(starts[:-1] - starts[0], size) + size.astype(np.uint64))
