@@ -47,15 +47,21 @@ def pending(batch_tasks: DataFrame, verdicts: DataFrame, keys: Sequence[str] = (
     return batch_tasks.join(seen_ids(verdicts, keys), list(keys), "left_anti")
 
 
+def stuck_batches(stories: DataFrame, batch_tasks: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Batches (``batch_idx``) that were tried, did not pass, and are fully seen."""
+    stuck = stories.where((F.col("attempts") > 0) & ~true(F.col("passes"))).select("batch_idx")
+    tasks = batch_tasks.select("batch_idx", "task_id").join(stuck, "batch_idx", "left_semi")
+    state = tasks.join(seen_ids(verdicts).withColumn("_seen", F.lit(True)), "task_id", "left")
+    return state.groupBy("batch_idx").agg(F.bool_and(true(F.col("_seen"))).alias("_full")).where("_full").select("batch_idx")
+
+
 def auto_recover(stories: DataFrame, batch_tasks: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop verdicts of batches that were tried, did not pass, and are fully seen (V4).
 
     ``stories`` carries ``batch_idx``. Returns the kept verdicts and the reset
     batches (``batch_idx``); a reset batch is pending again as its ids are unseen.
+    :func:`labelloom.streaming.retract.recover` does the same to a sink.
     """
-    stuck = stories.where((F.col("attempts") > 0) & ~true(F.col("passes"))).select("batch_idx")
-    tasks = batch_tasks.select("batch_idx", "task_id").join(stuck, "batch_idx", "left_semi")
-    state = tasks.join(seen_ids(verdicts).withColumn("_seen", F.lit(True)), "task_id", "left")
-    reset = state.groupBy("batch_idx").agg(F.bool_and(true(F.col("_seen"))).alias("_full")).where("_full").select("batch_idx")
+    reset = stuck_batches(stories, batch_tasks, verdicts)
     dropped = batch_tasks.select("batch_idx", "task_id").join(reset, "batch_idx", "left_semi").select("task_id")
     return verdicts.join(dropped, "task_id", "left_anti"), reset

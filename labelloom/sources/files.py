@@ -92,18 +92,28 @@ def parse_lines(lines: DataFrame, schema: VerdictSchema, extra: Sequence[T.Struc
     return marked if keep_all else marked.where(is_bad | ~_truthy(F.col("rec.__meta__")))
 
 
+def _only_text(value: Column, name: str) -> Column:
+    """``value`` where the line's field is JSON text; only what looks like another kind is parsed again."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), f"$.{name}", "variant"))
+    looks_other = value.rlike(r"(?s)^(?:true|false|-?[0-9].*|[{\[].*)$")
+    return F.when(~F.coalesce(looks_other, F.lit(False)) | (kind == "STRING"), value)
+
+
 def verdict_stream(spark: SparkSession, path: str, schema: VerdictSchema, extra: Sequence[T.StructField] = (),
                    max_files: int = 1_000, keep_line: bool = False) -> DataFrame:
     """JSON-lines verdict files as a stream with ``malformed`` and the line's ``_file, _block``.
 
-    ``keep_line`` adds the raw ``line``, which holds fields no schema names.
+    A reason that is no JSON text counts as missing. ``keep_line`` adds the raw ``line``,
+    which holds fields no schema names.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block")).where(strip(F.col("line")) != "")
     names = [f.name for f in schema.read_schema(extra) if f.name != "__meta__"]
+    columns = {n: F.col(f"rec.{n}") for n in names}
+    columns[schema.reason_field] = _only_text(columns[schema.reason_field], schema.reason_field)
     return parse_lines(lines, schema, extra).select(
-        *[F.col(f"rec.{n}").alias(n) for n in names], *(["line"] if keep_line else []), "malformed", "_file", "_block")
+        *[c.alias(n) for n, c in columns.items()], *(["line"] if keep_line else []), "malformed", "_file", "_block")
 
 
 def read_verdicts(spark: SparkSession, path: str, schema: VerdictSchema, extra: Sequence[T.StructField] = (),
@@ -129,8 +139,7 @@ def read_verdicts(spark: SparkSession, path: str, schema: VerdictSchema, extra:
     columns = [F.col(f"rec.{n}").alias(n) for n in names]
     if strict:
         reason = schema.reason_field
-        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), f"$.{reason}", "variant"))
-        columns = [F.when(kind == "STRING", c).alias(reason) if n == reason else c for n, c in zip(names, columns)]
+        columns = [_only_text(F.col(f"rec.{n}"), n).alias(n) if n == reason else c for n, c in zip(names, columns)]
         columns.append(F.map_keys(F.from_json("line", "map<string,string>")).alias("present_keys"))
     if keep_line:
         columns.append(F.col("line"))

@@ -7,7 +7,8 @@ from helpers import LONG, rows, verdict
 from labelloom.model import VerdictSchema
 from labelloom.operators.intake import auto_recover, first_by, pending, validate_rows
 from labelloom.sources.files import verdict_stream
-from labelloom.streaming.ingest import absorb_batch, ingest_stream, read_accepted, read_quarantine
+from labelloom.streaming.ingest import absorb_batch, ingest_stream, read_accepted, read_quarantine, read_repeated
+from labelloom.streaming.retract import recover
 
 RULES = VerdictSchema(valid_qa=("yes", "no"))
 ROW = "task_id string, qa string, reason string, schema_version string"
@@ -143,3 +144,138 @@ def test_crash_between_the_two_writes_is_healed(spark, place, monkeypatch):
 def test_accepted_rows_carry_the_reason_length(spark, make, tmp_path):
     absorb_batch(make(ROW, ("t1", "yes", LONG, "v1")), 0, str(tmp_path / "s"), "s", RULES, "v1")
     assert rows(read_accepted(spark, str(tmp_path / "s")).withColumn("n", F.col("reason_chars")), "n") == [(200,)]
+
+
+# ---- index, repeats, types ------------------------------------------------------
+
+
+def take(make, sink, number, *ids, stream="s"):
+    absorb_batch(make(ROW, *[(i, "yes", f"{number} " + LONG, "v1") for i in ids]), number, sink, stream, RULES, "v1")
+
+
+def test_only_parts_that_may_hold_an_id_are_read(spark, make, tmp_path):
+    from labelloom.streaming import ids
+
+    sink = str(tmp_path / "sink")
+    for number in range(4):
+        take(make, sink, number, *[f"{number}-{k}" for k in range(60)])
+    asked = make("task_id string", ("2-7",), ("new",))
+    parts = ids.parts_that_may_hold(asked, sink, "task_id").collect()
+    assert len(parts) < 4 and any(p.batch_id == 2 for p in parts)
+    read = ids.ids_of_parts(spark, sink, parts, asked.schema["task_id"])
+    buckets = {p.bucket for p in ids._hashed(asked, "task_id").collect()}
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in read.inputFiles()} <= buckets
+    assert rows(ids.known_ids(asked, sink, "task_id", f"{sink}/accepted", "s", 9)) == [("2-7", "s", 2)]
+    assert ids.known_ids(asked, sink, "task_id", f"{sink}/accepted", "s", 2) is None  # a part is not compared with itself
+
+
+def test_no_indexed_id_is_ever_overlooked(spark, make, tmp_path):
+    from labelloom.streaming import ids
+
+    sink = str(tmp_path / "sink")
+    for number, n in enumerate((1, 3, 500, 64)):
+        take(make, sink, number, *[f"{number}-{k}" for k in range(n)])
+    every = read_accepted(spark, sink).select("task_id")
+    assert ids.known_ids(every, sink, "task_id", f"{sink}/accepted", "other", 0).count() == 568
+
+
+def test_repeats_are_kept_apart(spark, make, tmp_path):
+    sink = str(tmp_path / "sink")
+    for _ in range(2):
+        take(make, sink, 0, "a", "b", "a")
+        take(make, sink, 1, "b", "c", "c", "a")
+    assert rows(read_accepted(spark, sink), "task_id", "batch_id") == [("a", 0), ("b", 0), ("c", 1)]
+    again = read_repeated(spark, sink)
+    assert rows(again, "task_id", "batch_id", "errors") == [("a", 0, ["repeated"]), ("a", 1, ["repeated"]), ("b", 1, ["repeated"]), ("c", 1, ["repeated"])]
+    assert rows(again.where("batch_id = 1 AND task_id = 'a'"), "reason") == [("1 " + LONG,)]
+
+
+def test_ids_of_a_run_that_was_cut_short_do_not_count(spark, make, tmp_path, monkeypatch):
+    from labelloom.streaming import ids
+
+    sink = str(tmp_path / "sink")
+    take(make, sink, 0, "a")
+    whole = ids.add_part
+
+    def cut(*args):
+        whole(*args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ids, "add_part", cut)
+    with pytest.raises(RuntimeError):
+        take(make, sink, 1, "b")
+    monkeypatch.setattr(ids, "add_part", whole)
+    take(make, sink, 0, "b", "c", stream="other")
+    assert rows(read_accepted(spark, sink), "task_id", "stream_id") == [("a", "s"), ("b", "other"), ("c", "other")]
+
+
+def test_a_sink_without_index_gets_one(spark, make, tmp_path):
+    import shutil
+
+    sink = str(tmp_path / "sink")
+    take(make, sink, 0, "a", "b")
+    shutil.rmtree(f"{sink}/index")
+    take(make, sink, 1, "b", "c")
+    assert rows(read_accepted(spark, sink), "task_id", "batch_id") == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_a_reason_that_is_no_text_is_missing(spark, place):
+    source, sink, _ = place
+    number, nested = json.dumps({"text": LONG}), "[" + ", ".join(["1"] * 100) + "]"
+    row = '{"task_id": "%s", "qa": "yes", "schema_version": "v1", "reason": %s}'
+    (source / "f.jsonl").write_text("\n".join([
+        row % ("t1", json.dumps("5" * 200)), row % ("t2", "5" * 200), row % ("t3", number), row % ("t4", nested),
+        row % ("t5", json.dumps(nested)), row % ("t6", json.dumps("true " + LONG)), row % ("t7", "true"), row % ("t8", json.dumps(LONG))]) + "\n")
+    run(spark, place)
+    assert rows(read_accepted(spark, sink), "task_id") == [("t1",), ("t5",), ("t6",), ("t8",)]
+    assert rows(read_quarantine(spark, sink), "task_id", "errors") == [(t, ["missing reason"]) for t in ("t2", "t3", "t4", "t7")]
+
+
+def test_a_numeric_stream_name_stays_text(spark, make, tmp_path):
+    sink = str(tmp_path / "sink")
+    take(make, sink, 0, "a", stream="0042")
+    assert rows(read_accepted(spark, sink), "stream_id", "batch_id") == [("0042", 0)]
+
+
+# ---- retraction -----------------------------------------------------------------
+
+
+def test_recovered_batches_are_done_again(spark, make, tmp_path):
+    sink = str(tmp_path / "sink")
+    take(make, sink, 0, "a", "b", "c")
+    take(make, sink, 1, "d", "e")
+    stories = make("batch_idx bigint, attempts bigint, passes boolean", (1, 1, False), (2, 0, False), (3, 2, False))
+    tasks = make("batch_idx bigint, task_id string", (1, "a"), (1, "d"), (2, "b"), (3, "c"), (3, "zz"))
+
+    def again():
+        return rows(recover(read_accepted(spark, sink), sink, stories, tasks))
+
+    assert again() == [(1, 2)]  # batch 2 was not tried, batch 3 is not fully seen
+    assert rows(read_accepted(spark, sink), "task_id") == [("b",), ("c",), ("e",)]
+    assert rows(pending(tasks, read_accepted(spark, sink)), "task_id") == [("a",), ("d",), ("zz",)]
+    assert again() == []
+    take(make, sink, 2, "a", "b", "d")
+    assert rows(read_accepted(spark, sink), "task_id", "batch_id") == [("a", 2), ("b", 0), ("c", 0), ("d", 2), ("e", 1)]
+    take(make, sink, 2, "a", "b", "d")  # a replay after the retraction ends in the same rows
+    take(make, sink, 0, "a", stream="later")
+    assert rows(read_accepted(spark, sink), "task_id", "stream_id", "batch_id")[0] == ("a", "s", 2)
+    assert again() == [(1, 2)]  # taken back a second time, also from the later micro-batch
+    take(make, sink, 1, "a", stream="later")
+    assert rows(read_accepted(spark, sink).where("task_id = 'a'"), "stream_id", "batch_id") == [("later", 1)]
+
+
+def test_a_retraction_is_written_whole_or_not_at_all(spark, make, tmp_path, monkeypatch):
+    from labelloom.streaming import retract
+
+    sink = str(tmp_path / "sink")
+    take(make, sink, 0, "a")
+    stories = make("batch_idx bigint, attempts bigint, passes boolean", (1, 1, False))
+    tasks = make("batch_idx bigint, task_id string", (1, "a"))
+
+    def cut(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(retract, "swap_in", cut)
+    with pytest.raises(RuntimeError):
+        recover(read_accepted(spark, sink), sink, stories, tasks)
+    assert rows(read_accepted(spark, sink), "task_id") == [("a",)]
