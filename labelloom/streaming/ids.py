@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from labelloom.sources.sinks import exists
 
-BUCKETS = 64
+BUCKETS = 16
 IDS_PER_WORD = 4
 PROBES = 4
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from labelloom.cluster import materialize, scratch_path
 from labelloom.operators import gates as G
 from labelloom.operators import intake as V
+from labelloom.sources.files import verdict_stream
 from labelloom.streaming import ingest as N
+from labelloom.streaming import retract as R
 from workload.inputs import SCHEMA, VERSION, Inputs, submitted
 from workload.registry import query
 
@@ -229,3 +231,84 @@ def auto_recover(i: Inputs) -> DataFrame:
 @query("auto_recover_batches", f"WITH {RECOVER_SQL} SELECT batch_idx FROM reset")
 def auto_recover_batches(i: Inputs) -> DataFrame:
     return _recovered(i)[1]
+
+
+# Orders as verdicts on customers, taken in by years: most ids come again.
+ORDERS_SQL = """
+    arrivals AS (
+        SELECT CAST(o_custkey AS VARCHAR) AS task_id, CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'no' ELSE 'maybe' END AS qa,
+               o_orderkey AS seq, CAST((year(o_orderdate) - 1992) // 3 AS BIGINT) AS batch_id FROM orders),
+    valid AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY batch_id, seq) AS rn FROM arrivals WHERE qa <> 'maybe')"""
+
+
+def _orders_sink(i: Inputs) -> str:
+    """Micro-batches of some years each, all of them absorbed twice: a replay must change nothing."""
+    orders = i.table("orders")
+    status = F.col("o_orderstatus")
+    rows = orders.select(
+        F.col("o_custkey").cast("string").alias("task_id"), F.when(status == "F", "yes").when(status == "O", "no").otherwise("maybe").alias("qa"),
+        F.rpad("o_orderpriority", 160, ".").alias("reason"), F.lit(VERSION).alias("schema_version"), F.col("o_orderkey").alias("seq"),
+        F.call_function("div", F.year("o_orderdate") - 1992, F.lit(3)).alias("part"))
+    sink = scratch_path(i.spark, "orders-sink")
+    numbers = sorted(r.part for r in rows.select("part").distinct().collect())  # one per three years
+    for n in (*numbers, numbers[0]):
+        N.absorb_batch(rows.where(F.col("part") == n).drop("part"), n, sink, "1992", SCHEMA, VERSION, ["seq"])
+    return sink
+
+
+@query("ingest_indexed", f"WITH {ORDERS_SQL} SELECT task_id, qa, seq, batch_id, '1992' AS stream_id FROM valid WHERE rn = 1")
+def ingest_indexed(i: Inputs) -> DataFrame:
+    sink = i.place("orders-sink", _orders_sink)
+    return N.read_accepted(i.spark, sink).select("task_id", "qa", "seq", "batch_id", "stream_id")
+
+
+@query("ingest_repeats", f"WITH {ORDERS_SQL} SELECT task_id, seq, batch_id, 'repeated' AS error FROM valid WHERE rn > 1")
+def ingest_repeats(i: Inputs) -> DataFrame:
+    sink = i.place("orders-sink", _orders_sink)
+    return N.read_repeated(i.spark, sink).select("task_id", "seq", "batch_id", F.array_join("errors", ",").alias("error"))
+
+
+@query("ingest_types", """
+    SELECT CAST(doc_id AS VARCHAR) AS task_id, CASE WHEN n_chars % 4 = 0 AND length(text) >= 150 THEN '' WHEN n_chars % 4 = 0 THEN 'reason length'
+           ELSE 'missing reason' END AS errors FROM documents""")
+def ingest_types(i: Inputs) -> DataFrame:
+    """Reasons that are JSON text, numbers, objects and arrays: only text is taken in."""
+    source, sink = scratch_path(i.spark, "lines"), scratch_path(i.spark, "sink")
+    text = F.col("text")
+    kinds = F.col("n_chars") % 4
+    reason = (F.when(kinds == 0, F.get_json_object(F.to_json(F.struct(F.array(text).alias("a"))), "$.a"))
+              .when(kinds == 1, F.concat(F.lit("["), F.repeat(F.lit("7"), 200), F.lit("]")))
+              .when(kinds == 2, F.to_json(F.struct(text))).otherwise(F.concat(F.lit("[1, "), F.repeat(F.lit("2"), 150), F.lit("]"))))
+    # A text of one array is the JSON text without its brackets, a number of 200 digits the array without its own.
+    bare = F.when(kinds < 2, F.substring(reason, F.lit(2), F.length(reason) - 2)).otherwise(reason)
+    line = F.concat(F.lit('{"task_id": "'), F.col("doc_id").cast("string"), F.lit('", "qa": "yes", "schema_version": "v1", "reason": '), bare, F.lit("}"))
+    i.table("documents").select(line.alias("value")).write.text(source)
+    N.ingest_stream(verdict_stream(i.spark, source, SCHEMA), sink, scratch_path(i.spark, "stream"), "types", SCHEMA, VERSION).awaitTermination()
+    taken = N.read_accepted(i.spark, sink).select("task_id", F.lit("").alias("errors"))
+    return taken.unionByName(N.read_quarantine(i.spark, sink).select("task_id", F.array_join("errors", "; ").alias("errors")))
+
+
+REDO_SQL = f"""
+    {FIRST_SQL},
+    placed AS (SELECT task_id, CAST(min(seq) // 6 AS BIGINT) AS batch_idx FROM v_submissions GROUP BY task_id),
+    taken AS (SELECT task_id, qa, seq FROM firsts WHERE rn = 1),
+    redo AS (
+        SELECT p.batch_idx FROM placed p LEFT JOIN taken t ON t.task_id = p.task_id
+        WHERE p.batch_idx % 3 > 0 AND p.batch_idx % 5 > 0
+        GROUP BY p.batch_idx HAVING bool_and(t.task_id IS NOT NULL))"""
+
+
+@query("recover_redo", f"""
+    WITH {REDO_SQL}
+    SELECT t.task_id, p.batch_idx, t.qa, t.seq, CASE WHEN r.batch_idx IS NULL THEN 'first' ELSE 'second' END AS stream_id
+    FROM taken t JOIN placed p ON p.task_id = t.task_id LEFT JOIN redo r ON r.batch_idx = p.batch_idx""")
+def recover_redo(i: Inputs) -> DataFrame:
+    """Ingest, take back what is stuck, ingest again: only what was taken back is accepted a second time."""
+    sink = scratch_path(i.spark, "sink")
+    placed = i.submissions.groupBy("task_id").agg(F.call_function("div", F.min("seq"), F.lit(6)).alias("batch_idx"))
+    batch = F.col("batch_idx")
+    stories = placed.select("batch_idx").distinct().select(batch, (batch % 3).alias("attempts"), (batch % 5 == 0).alias("passes"))
+    N.absorb_batch(i.submissions, 0, sink, "first", SCHEMA, VERSION, ["seq"])
+    R.recover(N.read_accepted(i.spark, sink), sink, stories, placed)
+    N.absorb_batch(i.submissions, 0, sink, "second", SCHEMA, VERSION, ["seq"])
+    return N.read_accepted(i.spark, sink).join(placed, "task_id").select("task_id", "batch_idx", "qa", "seq", "stream_id")

@@ -22,6 +22,7 @@ VERSION = "v1"
 N_SHARDS = 4
 
 _PLANS: dict[tuple[str, str, str], tuple[DataFrame, ...]] = {}
+_PLACES: dict[tuple[str, str, str], str] = {}
 
 
 def letter(ordinal: Column) -> Column:
@@ -50,6 +51,13 @@ class Inputs:
             _PLANS[key] = build()
         return _PLANS[key]
 
+    def place(self, name: str, build: Callable[[Inputs], str]) -> str:
+        """A folder that is filled once per session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _PLACES:
+            _PLACES[key] = build(self)
+        return _PLACES[key]
+
     def _plan(self) -> tuple[DataFrame, ...]:
         def build():
             tasks = auto_split(batchify(self.task_ids, ["task_id"]), N_SHARDS)
