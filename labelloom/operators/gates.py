@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from labelloom.cluster import as_lookup
 from labelloom.functions.columns import has_fields, in_labels, long_enough, true, with_chars
 from labelloom.model import MAX_ATTEMPTS, PlanError, VerdictSchema
-
-MAX_GATE_CONFIGS = 1_000
+from labelloom.operators.gate_table import run_configs
 
 
 # ---- G1-G6: one pass of measures, one check each -------------------------
@@ -47,19 +46,23 @@ def batch_measures(verdicts: DataFrame, batch_tasks: DataFrame, schema: VerdictS
         F.count_if(long_enough(schema)).alias("_long"),
     )
     joined = batch_tasks.select("batch_idx", "task_id", *within).join(per_label, ["task_id", *within], "left")
+    # Every task once more, to count them without another join.
+    joined = joined.withColumn("_task", F.lit(0)).unionByName(
+        batch_tasks.select("batch_idx", F.lit(1).alias("_task")), allowMissingColumns=True)
 
     def total(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0)).cast("bigint")
 
     return joined.groupBy("batch_idx").agg(
-        F.count_if(F.col("_rows").isNull()).alias("n_missing"),
+        F.count_if(F.col("_rows").isNull() & (F.col("_task") == 0)).alias("n_missing"),
         total("_rows").alias("n_rows"),
         total("_incomplete").alias("n_incomplete"),
         total("_other_version").alias("n_other_version"),
         total("_bad_label").alias("n_bad_label"),
         total("_long").alias("n_long"),
         F.count_distinct("_qa").alias("n_labels"),
-    ).join(batch_tasks.groupBy("batch_idx").agg(F.count(F.lit(1)).alias("n_tasks")), "batch_idx")
+        F.sum("_task").cast("bigint").alias("n_tasks"),
+    )
 
 
 def _count_check(schema: VerdictSchema) -> tuple[Column, Column]:
@@ -108,8 +111,8 @@ MEASURES = ["n_tasks", "n_rows", "n_missing", "n_incomplete", "n_other_version",
 
 
 def judge(measures: DataFrame, schema: VerdictSchema, checks: Sequence[str] = tuple(SCHEMA_CHECKS),
-          gate: str = "jsonl_schema") -> DataFrame:
-    """Apply the named checks to measured batches."""
+          gate: str = "jsonl_schema", keep: Sequence[str] = ()) -> DataFrame:
+    """Apply the named checks to measured batches; the limits of ``schema`` may be columns of them."""
     parts = []
     for name in checks:
         ok, message = SCHEMA_CHECKS[name](schema)
@@ -117,7 +120,7 @@ def judge(measures: DataFrame, schema: VerdictSchema, checks: Sequence[str] = tu
     failures = F.filter(F.array(*parts), lambda x: x.isNotNull())
     diagnostics = F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.col(m).cast("string"))])
     return measures.select("batch_idx", F.lit(gate).alias("gate"), failures.alias("failures"),
-                           diagnostics.alias("diagnostics"), *MEASURES).withColumn(
+                           diagnostics.alias("diagnostics"), *MEASURES, *keep).withColumn(
         "passed", F.size("failures") == 0)
 
 
@@ -307,25 +310,19 @@ def run_gates(stories: DataFrame, verdicts: DataFrame, batch_tasks: DataFrame,
               default: Mapping | None = None) -> DataFrame:
     """Judge each batch by its story's gate; ``stories`` carries ``batch_idx``.
 
-    The distinct configurations, not the stories, come to the driver.
+    Configurations are data (see ``gate_table``): any number of them, nested or not, costs one pass
+    over the verdicts for the schema gates and one for each group of expressions.
     """
     resolved = resolve_gates(stories, default).select("batch_idx", "error", F.to_json("gate").alias("config"))
-    configs = resolved.groupBy("config", "error").count().limit(MAX_GATE_CONFIGS + 1).collect()
-    errors = [r.error for r in configs if r.error]
+    errors = [r.error for r in resolved.where("error IS NOT NULL").select("error").distinct().orderBy("error").limit(20).collect()]
     if errors:
-        raise PlanError("; ".join(sorted(set(errors))))
-    if len(configs) > MAX_GATE_CONFIGS:
-        raise PlanError(f"more than {MAX_GATE_CONFIGS} different gate configurations")
-    if not configs:
+        raise PlanError("; ".join(errors))
+    own = {k: f for k, f in GATE_TYPES.items() if k not in ("jsonl_schema", "expr", "composite")}
+    rules = _nested((default or {}).get("verdict_schema") or {})  # the project's field names
+    found = run_configs(resolved, verdicts, batch_tasks, judge, own, rules)
+    if found is None:
         return build_gate({"type": "jsonl_schema", "schema_version": "v1"}).evaluate(verdicts.limit(0), batch_tasks.limit(0))
-    results = []
-    for row in configs:
-        mine = batch_tasks.join(resolved.where(F.col("config") == row.config).select("batch_idx"), "batch_idx", "left_semi")
-        config = json.loads(row.config)
-        if default and default.get("verdict_schema"):
-            config.setdefault("verdict_schema", default["verdict_schema"])  # the project's field names
-        results.append(build_gate(config).evaluate(verdicts, mine))
-    return reduce(DataFrame.unionByName, results)
+    return found
 
 
 def finalize(stories: DataFrame, gate_results: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:

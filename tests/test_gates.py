@@ -201,3 +201,76 @@ def test_other_field_names_and_absent_columns(make):
     assert G.RowGate(lambda why: why == "abc", ("why",), schema=rules).evaluate(data, batch).collect()[0].passed
     row = G.gate_batches(data.drop("schema_version", "why"), batch, rules, "v1").collect()[0]
     assert [f.split(" ")[0] for f in row.failures] == ["(schema)", "(c)"]
+
+
+# ---- gates as rows ----------------------------------------------------------------
+
+
+def test_one_configuration_per_batch(spark, make):
+    """Each batch has rules of its own; all are judged as by gate objects of their own."""
+    n = 150
+    tasks = make(TASK, *[(b, f"t{b}-{k}") for b in range(n) for k in range(b % 4 + 1)])
+    data = make(ROW, *[(f"t{b}-{k}", "yes" if (b + k) % 3 else "no", "x" * (b + k), "v1" if b % 7 else "v2")
+                       for b in range(n) for k in range(b % 4 + 1) for _ in range(1 + (b % 5 == 0)) if (b + k) % 11])
+
+    def config(b):
+        return {"type": "jsonl_schema", "schema_version": "v1" if b % 2 else "v2", "verdict_schema": json.dumps({
+            "min_reason_chars": b, "valid_qa": ["yes", "no"][:b % 3], "reason_long_ratio_min": b % 4 / 4, "distinct_qa_min_small": b % 3,
+            "required_fields": ["task_id", "qa", "reason", "extra"][:3 + b % 2]})}
+    stories = make(STORIES, *[(b, f"S{b}", config(b)) for b in range(n)])
+    for most in (64, 1_000):  # lengths as they are, and lengths told apart by the thresholds only
+        G.run_configs.__globals__["THRESHOLDS"] = most
+        got = {r.batch_idx: r for r in G.run_gates(stories, data, tasks).collect()}
+        G.run_configs.__globals__["THRESHOLDS"] = 64
+        assert len(got) == n
+        for b in range(0, n, 10):
+            want = G.build_gate(config(b)).evaluate(data, tasks.where(F.col("batch_idx") == b)).collect()[0]
+            assert (got[b].gate, got[b].passed, got[b].failures, got[b].diagnostics) == (want.gate, want.passed, want.failures, want.diagnostics)
+
+
+def test_nested_composites(spark, make):
+    tasks = make(TASK, (1, "t1"), (2, "t2"), (3, "t3"))
+    data = make(ROW, ("t1", "yes", LONG, "v1"), ("t2", "no", "s", "v1"))
+
+    def expr(text, name="expr"):
+        return {"type": "expr", "condition": text, "name": name}
+    schema = {"type": "jsonl_schema", "schema_version": "v1", "verdict_schema": {"valid_qa": ["yes"]}}
+    tree = {"type": "composite", "gates": json.dumps([
+        expr("count(*) = 1", "one"), {"type": "composite", "gates": [schema, {"type": "composite", "gates": [expr("min(qa) = 'yes'"), expr("true")]}]},
+        expr("min(reason_chars) > 5")])}
+    got = {r.batch_idx: r for r in G.run_gates(make(STORIES, *[(b, "S", tree) for b in (1, 2, 3)]), data, tasks).collect()}
+    assert got[1].passed and got[1].failures == [] and got[1].diagnostics == {"n_gates": "3"} and got[1].gate == "composite"
+    assert [f[:f.index(")") + 1] for f in got[2].failures] == [
+        "[composite] [jsonl_schema] (valid_qa)", "[composite] [jsonl_schema] (c)", "[composite] [composite] [expr] (expr)", "[expr] (expr)"]
+    assert got[3].failures[0] == "[expr] (one) count(*) = 1" and not got[3].passed
+    nested = G.build_gate(tree)
+    assert isinstance(nested.gates[1].gates[1], G.CompositeGate)
+    want = {r.batch_idx: r.failures for r in nested.evaluate(data, tasks).collect()}
+    assert {b: r.failures for b, r in got.items()} == want
+
+
+def test_faulty_trees_are_refused(make):
+    data, tasks = make(ROW, ("t1", "yes", LONG, "v1")), make(TASK, (1, "t1"))
+    for gates, message in ([], "without a type"), ([{"type": "zz"}], "unknown gate type zz"), ([{"type": "expr"}], "without a condition"), (
+            [{"type": "jsonl_schema"}], "without a schema version"):
+        stories = make(STORIES, (1, "S", {"type": "composite", "gates": json.dumps(gates)}))
+        with pytest.raises(PlanError, match=message):
+            G.run_gates(stories, data, tasks)
+
+
+def test_registered_types_stay_usable_inside_trees(make):
+    data, tasks = make(ROW, ("t1", "yes", LONG, "v1"), ("t2", "no", LONG, "v1")), make(TASK, (1, "t1"), (2, "t2"))
+    G.register_gate("share", lambda c: G.RowGate(lambda qa: qa == c["label"], ("qa",), 1.0, "share", "share"))
+    try:
+        tree = {"type": "composite", "gates": json.dumps([{"type": "share", "label": "yes"}, {"type": "expr", "condition": "count(*) = 1"}])}
+        got = G.run_gates(make(STORIES, (1, "S1", tree), (2, "S2", {"type": "share", "label": "no"})), data, tasks)
+        assert rows(got, "batch_idx", "gate", "passed") == [(1, "composite", True), (2, "share", True)]
+    finally:
+        del G.GATE_TYPES["share"]
+
+
+def test_many_conditions_take_several_passes(make, monkeypatch):
+    monkeypatch.setitem(G.run_configs.__globals__, "CONDITIONS", 2)
+    tasks, data = make(TASK, *[(b, f"t{b}") for b in range(7)]), make(ROW, *[(f"t{b}", "yes", "x" * b, "v1") for b in range(7)])
+    stories = make(STORIES, *[(b, "S", {"type": "expr", "condition": f"min(reason_chars) = {min(b, 5)}"}) for b in range(7)])
+    assert rows(G.run_gates(stories, data, tasks), "batch_idx", "passed") == [(b, b < 6) for b in range(7)]
