@@ -23,6 +23,7 @@ phrase's bytes. Only the id, the text and the language are read. An empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ SAMPLE_ONE_IN = 16
 BITS_EACH = 32
 LEAST_BITS = 1 << 16
 MOST_BITS = 1 << 28
-HELD = 1 << 24
+HELD = 1 << 23
+# Rows that leave a task at once.
+ROWS_OUT = 50_000
 
 _NEXT = U(0xA0761D6478BD642F)
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -60,14 +63,14 @@ class Words:
     def __init__(self, texts: pa.Array):
         found = runs_of(texts, _INSIDE, small_letters)
         # Words of one piece are of one text and have the same number of separators before them.
-        before = np.cumsum(_SEPARATOR[found.data])[found.begin]
+        before = np.cumsum(_SEPARATOR[found.data], dtype=np.int32)[found.begin]
         self.follows = np.zeros(len(before), dtype=bool)
         self.follows[1:] = before[1:] == before[:-1]
         self.follows[found.first[found.first < len(before)]] = False
         coded = found.values.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.vocabulary = coded.dictionary
-        self.hashes = hash_strings(self.vocabulary)
+        self.hashes = hash_strings(coded.dictionary)
+        self.vocabulary = coded.dictionary.cast(pa.string())
 
     def places(self, length: int) -> np.ndarray:
         """Where phrases of ``length`` words begin."""
@@ -77,26 +80,30 @@ class Words:
         return np.flatnonzero(fits)
 
     def phrase_hashes(self, at: np.ndarray, length: int) -> np.ndarray:
-        own = self.hashes[self.codes]
-        found = own[at]
+        found = self.hashes[self.codes[at]]
         for k in range(1, length):
-            found = mix(found * _NEXT + own[at + k])
+            found = mix(found * _NEXT + self.hashes[self.codes[at + k]])
         return found
 
-    def distinct(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the phrases that begin ``at``: a place of each different one, and its count."""
+    def counts(self, at: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray]:
+        """The different phrases that begin ``at``, and how often each does."""
         size = max(len(self.vocabulary), 1)
-        key = self.codes[at]
+        key, inner = self.codes[at], []
         for k in range(1, length):
-            if k > 1:  # keys are made dense again, so that they stay within 64 bits
-                _, key = np.unique(key, return_inverse=True)
+            if size ** (k + 1) >= 1 << 63:  # keys are made dense again, so that they stay within 64 bits
+                known, key = np.unique(key, return_inverse=True)
+                inner.append((k, known))
             key = key * size + self.codes[at + k]
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
-        return at[first], n
-
-    def text(self, at: np.ndarray, length: int) -> pa.Array:
-        parts = [self.vocabulary.take(pa.array(self.codes[at + k])) for k in range(length)]
-        return pa.compute.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if length > 1 else parts[0]
+        key = np.sort(key)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        n, key = np.diff(np.append(first, len(key))), key[first]
+        parts: list[pa.Array] = []
+        for k in range(length - 1, -1, -1):
+            key, code = (key // size, key % size) if k else (key, key)
+            parts.insert(0, self.vocabulary.take(pa.array(code)))
+            if inner and inner[-1][0] == k:
+                key = inner.pop()[1][key]
+        return pa.compute.binary_join_element_wise(*parts, " ") if length > 1 else parts[0], n
 
 
 def _language(lang: str) -> np.uint64:
@@ -160,25 +167,33 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
         yield lang, batch.column("text").take(pa.array(np.flatnonzero(index == code)))
 
 
+def _admitted(words: Words, lang: str, longest: int, known: Filter) -> Iterator[np.ndarray]:
+    """For 2, 3 ... words: a flag at each place whose phrase has both its parts of one word less in
+    the filter, which also had to be admitted themselves."""
+    own, end = _language(lang), np.zeros(1, dtype=bool)
+    held = known.holds(mix(words.hashes ^ own))[words.codes] if len(words.codes) else np.zeros(0, dtype=bool)
+    for length in range(2, longest + 1):
+        flags = held & np.concatenate([held[1:], end])
+        fits = np.zeros(len(flags), dtype=bool)
+        fits[words.places(length)] = True
+        flags &= fits
+        yield flags
+        at = np.flatnonzero(flags)
+        held = np.zeros(len(flags), dtype=bool)
+        held[at] = known.holds(mix(words.phrase_hashes(at, length) ^ own)) if length < longest else False
+
+
 def _counted(words: Words, lang: str, longest: int, now: Filter | None, before: Filter | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Phrases and their counts that filter ``now`` admits and ``before`` did not; without filters all."""
     if before is None:
-        at, n = words.distinct(words.places(1), 1)
-        yield words.text(at, 1), n
-    own = _language(lang)
-    for length in range(2, longest + 1):
-        at = words.places(length)
-        if now is not None:
-            def admits(known: Filter, at: np.ndarray = at, length: int = length) -> np.ndarray:
-                inner = np.unique(np.concatenate([at, at + 1]))
-                held = known.holds(mix(words.phrase_hashes(inner, length - 1) ^ own))
-                return held[np.searchsorted(inner, at)] & held[np.searchsorted(inner, at + 1)]
-            admitted = admits(now)
-            if before is not None:
-                admitted &= ~admits(before)
-            at = at[admitted]
-        at, n = words.distinct(at, length)
-        yield words.text(at, length), n
+        yield words.counts(words.places(1), 1)
+    if now is None:
+        for length in range(2, longest + 1):
+            yield words.counts(words.places(length), length)
+        return
+    earlier = _admitted(words, lang, longest, before) if before is not None else iter(lambda: None, 0)
+    for length, flags, done in zip(range(2, longest + 1), _admitted(words, lang, longest, now), earlier):
+        yield words.counts(np.flatnonzero(flags if done is None else flags & ~done), length)
 
 
 def _count(docs: DataFrame, longest: int, now: Filter | None, before: Filter | None, least: int) -> DataFrame:
@@ -190,9 +205,10 @@ def _count(docs: DataFrame, longest: int, now: Filter | None, before: Filter | N
             for lang, texts in _by_language(batch):
                 words = Words(texts)
                 total = pa.array([None], pa.string()), np.array([len(words.codes)])
-                for phrases, n in [total, *_counted(words, lang, longest, *shared.value)]:
-                    yield pa.record_batch([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), dtype=np.int64))),
-                                           phrases.cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
+                for phrases, n in chain([total], _counted(words, lang, longest, *shared.value)):
+                    langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), dtype=np.int64)))
+                    rows = pa.record_batch([langs, phrases, pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
+                    yield from (rows.slice(k, ROWS_OUT) for k in range(0, len(rows), ROWS_OUT))
 
     counts = docs.select("lang", "text").mapInArrow(run, PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     out = materialize(counts.where(F.col("phrase").isNull() | (F.col("n") >= least)), "counted")

@@ -127,9 +127,10 @@ def runs_of(texts: pa.Array, member: np.ndarray, value: Callable[[np.ndarray], n
     begin[borders] = inside[borders]
     begin = np.flatnonzero(begin)
     # Without the other bytes the runs stand side by side in one buffer.
-    reach = np.concatenate([[0], np.cumsum(inside)])
+    reach = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
     kept = data[inside] if value is None else value(data)[inside]
-    found = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(reach[begin], reach[-1]).astype(np.int64)), pa.py_buffer(kept))
+    places = np.append(reach[begin].astype(np.int64) - 1, len(kept))
+    found = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(places), pa.py_buffer(kept))
     return Runs(found, begin, np.searchsorted(begin, starts), data)
 
 
