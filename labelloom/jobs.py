@@ -4,6 +4,7 @@
     audit      check the plan, exit 1 on any failed layer
     ingest     take in verdict files
     gate       judge batches and update stories
+    recover    take back the verdicts of batches that were tried in vain, to do them again
     rebalance  move unfinished tasks of stopped shards
     merge      audit all verdicts and publish the ordered set
     dashboard  show progress per shard
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.cluster import drop_scratch
+from labelloom.cluster import drop_scratch, materialize
 from labelloom.functions.columns import batch_label
 from labelloom.model import BATCH_SIZE, AuditError, PlanError, VerdictSchema
 from labelloom.operators import audit, gates, merge, monitor, rebalance
@@ -32,7 +33,11 @@ from labelloom.plans import batches as B
 from labelloom.plans import shards as S
 from labelloom.plans.stories import rebase_stories, refresh_stories
 from labelloom.sources import files, sinks
-from labelloom.streaming import ingest
+from labelloom.streaming import ingest, retract
+
+
+# Rows of a table that a job prints; the tables themselves are whole.
+ROWS_SHOWN = 2_000_000_000
 
 
 class Project:
@@ -49,11 +54,16 @@ class Project:
         return f"{self.root}/state"
 
     @property
-    def accepted(self) -> DataFrame:
+    def arrived(self) -> DataFrame:
+        """Verdicts that count, with the micro-batch that brought them."""
         if sinks.exists(self.spark, ingest.accepted_path(self.sink)):
-            return ingest.read_accepted(self.spark, self.sink).drop("stream_id", "batch_id")
-        empty = T.StructType([T.StructField(n, T.StringType()) for n in ("task_id", "qa", "reason", "schema_version", "shard_id", "line")])
-        return self.spark.createDataFrame([], empty)
+            return ingest.read_accepted(self.spark, self.sink)
+        empty = T.StructType([T.StructField(n, T.StringType()) for n in ("task_id", "qa", "reason", "schema_version", "shard_id", "line", "stream_id")])
+        return self.spark.createDataFrame([], empty.add("batch_id", "long"))
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.arrived.drop("stream_id", "batch_id")
 
     @property
     def members(self) -> DataFrame:
@@ -114,7 +124,7 @@ def run_audit(p: Project, args) -> None:
     batches, baseline = p.plan("batches"), p.plan("assignments").where("generation = 0")
     total = p.plan("header").first().total_tasks
     report = audit.audit_all(p.members, baseline, S.shard_headers(batches), p.plan("stories"), batches, total=total)
-    report.orderBy("layer", "subject").show(1000, truncate=False)
+    report.orderBy("layer", "subject").show(ROWS_SHOWN, truncate=False)
     assert_clean(report)
 
 
@@ -130,16 +140,28 @@ def gate(p: Project, args) -> None:
     own = "acceptanceGate" in stories.columns
     judged = gates.run_gates(stories if own else stories.withColumn("acceptanceGate", F.lit(None).cast("map<string,string>")),
                              p.accepted, p.members, acceptance["default_gate"])
-    # An attempt counts for stories that somebody has worked on and that have not passed yet.
-    started = p.members.join(p.accepted.select("task_id").distinct(), "task_id", "left_semi").select("batch_idx").distinct()
+    # An attempt counts for stories whose batch is fully labelled, has news, and has not passed yet.
+    earlier = None
+    if sinks.exists(p.spark, f"{p.root}/plan/gate_results"):
+        earlier = p.plan("gate_results")
+    due = materialize(gates.due_batches(p.members, p.arrived, earlier), "due")
     waiting = stories.where(~F.coalesce("passes", F.lit(False))).select("shard_id", "story_id")
     results = judged.join(p.plan("batches").select("shard_id", "batch_idx", "story_id"), "batch_idx")
-    results = results.join(started, "batch_idx", "left_semi").join(waiting, ["shard_id", "story_id"], "left_semi")
+    results = results.join(due, "batch_idx").join(waiting, ["shard_id", "story_id"], "left_semi")
     moved = gates.finalize(stories, results, acceptance.get("max_attempts", 3))
     tokens = moved.where("token IS NOT NULL").select("shard_id", "story_id", "token")
-    p.save_plan("refresh", stories=moved.drop("token"), gate_results=results.join(tokens, ["shard_id", "story_id"], "left").select(
-        "shard_id", "story_id", "passed", "failures", "diagnostics", "token"))
-    monitor.progress(p.plan("stories")).orderBy("shard_id").show(truncate=False)
+    rows = results.join(tokens, ["shard_id", "story_id"], "left").select(
+        "shard_id", "story_id", "batch_idx", "mark", "passed", "failures", "diagnostics", "token")
+    if earlier is not None:  # the last judgement of every batch
+        rows = rows.unionByName(earlier.join(due.select("batch_idx"), "batch_idx", "left_anti"))
+    p.save_plan("refresh", stories=moved.drop("token"), gate_results=rows)
+    monitor.progress(p.plan("stories")).orderBy("shard_id").show(ROWS_SHOWN, truncate=False)
+
+
+def run_recover(p: Project, args) -> None:
+    _, schema, _ = load_contract(args.config, p.spark)
+    reset = materialize(retract.recover(p.arrived, p.sink, p.plan("stories"), p.members, schema.id_field), "reset")
+    reset.orderBy("batch_idx").show(ROWS_SHOWN, truncate=False)
 
 
 def run_rebalance(p: Project, args) -> None:
@@ -180,7 +202,7 @@ def dashboard(p: Project, args) -> None:
         seen = ingest.read_accepted(p.spark, p.sink).withColumn("seq", F.struct("batch_id", "src"))
     else:
         seen = p.accepted.withColumn("seq", F.lit(0))
-    monitor.dashboard(p.plan("stories"), logs, seen).orderBy("shard").show(1000, truncate=False)
+    monitor.dashboard(p.plan("stories"), logs, seen).orderBy("shard").show(ROWS_SHOWN, truncate=False)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -206,6 +228,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--follow", action="store_true", help="keep running")
     one.set_defaults(run=run_ingest)
     jobs.add_parser("gate").set_defaults(run=gate)
+    jobs.add_parser("recover").set_defaults(run=run_recover)
     one = jobs.add_parser("rebalance")
     one.add_argument("--from", dest="stopped", required=True)
     one.add_argument("--keep", default="")

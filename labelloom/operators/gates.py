@@ -325,6 +325,21 @@ def run_gates(stories: DataFrame, verdicts: DataFrame, batch_tasks: DataFrame,
     return found
 
 
+def due_batches(batch_tasks: DataFrame, verdicts: DataFrame, judged: DataFrame | None = None,
+                arrival: Sequence[str] = ("stream_id", "batch_id")) -> DataFrame:
+    """Batches that are to be judged now (``batch_idx, mark``): every task has a verdict, and the
+    verdicts are not those of the last judgement.
+
+    ``mark`` stands for the verdicts and their ``arrival``; ``judged`` holds the marks of earlier
+    judgements. So a batch under work gets no attempt, and neither does one that nobody has touched since.
+    """
+    own = F.sum(F.shiftright(F.xxhash64("task_id", *arrival), 32)).alias("_mark")
+    seen = verdicts.groupBy("task_id").agg(own)
+    full = batch_tasks.select("batch_idx", "task_id").join(seen, "task_id", "left").groupBy("batch_idx").agg(
+        F.bool_and(F.col("_mark").isNotNull()).alias("_full"), F.sum("_mark").alias("mark")).where("_full").drop("_full")
+    return full if judged is None else full.join(judged.select("batch_idx", "mark"), ["batch_idx", "mark"], "left_anti")
+
+
 def finalize(stories: DataFrame, gate_results: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """New story state and promise token after the gates ran.
 

@@ -50,14 +50,16 @@ def error_counts(logs: DataFrame, pattern: str = ERROR_PATTERN) -> DataFrame:
 def tail_n(df: DataFrame, group_cols: Sequence[str], order_col: str, n: int = TAIL_LINES) -> DataFrame:
     """Last ``n`` rows per group with their order ``rn`` (1 = oldest kept).
 
-    Each input partition's rows of a group are cut to ``n`` first, so a group
-    gathers ``n`` rows per input partition at most, whatever ``n`` is.
+    A group gathers ``n`` rows per input partition at most, whatever ``n`` is: Spark cuts each
+    partition's rows to ``n`` below the shuffle up to its own threshold, beyond that a rank
+    per partition does.
     """
     newest = Window.partitionBy(*group_cols).orderBy(F.col(order_col).desc())
-    part = Window.partitionBy(*group_cols, "_part").orderBy(F.col(order_col).desc())
-    kept = (df.withColumn("_part", F.spark_partition_id())
-            .withColumn("_back", F.row_number().over(part)).where(F.col("_back") <= n).drop("_part")
-            .withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= n))
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        part = Window.partitionBy(*group_cols, "_part").orderBy(F.col(order_col).desc())
+        df = (df.withColumn("_part", F.spark_partition_id())
+              .withColumn("_back", F.row_number().over(part)).where(F.col("_back") <= n).drop("_part", "_back"))
+    kept = df.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= n)
     oldest = Window.partitionBy(*group_cols).orderBy(F.col("_back").desc())
     return kept.withColumn("rn", F.row_number().over(oldest).cast("bigint")).drop("_back")
 

@@ -73,6 +73,27 @@ def test_tail_limits_rank_before_the_shuffle(spark):
     assert tree.count("WindowGroupLimit") == 2
 
 
+def test_long_tails_limit_rank_below_each_shuffle(spark):
+    """Beyond the threshold Spark plans no limit itself; what a partition sends on is ranked in it."""
+    i = Inputs(spark, SF)
+    wide = D.tail_n(i.logs, ["shard_id", "source"], "seq", 5_000)
+    assert rows(wide.groupBy("shard_id", "source").agg(F.max("rn"))) == rows(
+        i.logs.groupBy("shard_id", "source").agg(F.least(F.count("*"), F.lit(5_000))))
+    assert rows(D.tail_n(i.logs, ["shard_id", "source"], "seq", 1_500), "shard_id", "source", "seq", "rn") == rows(
+        D.tail_n(i.logs.repartition(7), ["shard_id", "source"], "seq", 1_500), "shard_id", "source", "seq", "rn")
+
+
+def test_any_number_of_configurations_scans_the_verdicts_once(spark, no_broadcast):
+    from workload.gate_queries import many_configs
+
+    i = Inputs(spark, SF)
+    tasks = i.table("orders").select(F.col("o_custkey").alias("batch_idx"), F.col("o_orderkey").alias("task_id"))
+    tree = plan_of(G.run_gates(many_configs(i), i.verdicts, tasks)).split("\n\n")[0]
+    scanned = plan_of(i.verdicts).split("\n\n")[0].count("Scan parquet")
+    # The tasks are read twice, to join and to count them, the rules and the prefixes once each.
+    assert tree.count("Scan parquet") <= scanned + 2 + 2
+
+
 def test_drain_pushes_the_shard_filter_to_the_scan(spark):
     from labelloom.operators.rebalance import drain
 

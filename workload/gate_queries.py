@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +158,125 @@ def finalize(i: Inputs) -> DataFrame:
     return G.finalize(i.stories, results).select("shard_id", "story_id", "passes", "attempts", "token")
 
 
+# Orders as tasks of their customer's batch, and as verdicts on themselves; December stays open.
+MANY_SQL = """
+    sheet AS (
+        SELECT o_custkey AS batch_idx, o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'no' ELSE 'maybe' END AS qa,
+               CAST(floor(o_totalprice / 1000) AS BIGINT) AS chars, CASE WHEN o_orderpriority = '1-URGENT' THEN 'v0' ELSE 'v1' END AS version,
+               month(o_orderdate) < 12 AS labelled FROM orders),
+    counted AS (
+        SELECT batch_idx, count(*) AS n_tasks, count(*) FILTER (WHERE labelled) AS n_rows, count(*) FILTER (WHERE NOT labelled) AS n_missing,
+               count(*) FILTER (WHERE labelled AND version <> 'v1') AS n_old, count(DISTINCT qa) FILTER (WHERE labelled) AS n_labels,
+               count(*) FILTER (WHERE labelled AND ((batch_idx % 3 = 0 AND qa = 'maybe') OR (batch_idx % 3 = 2 AND qa <> 'yes'))) AS n_bad,
+               count(*) FILTER (WHERE labelled AND chars >= 100 + batch_idx % 151) AS n_long,
+               count(*) FILTER (WHERE labelled AND chars >= 150) AS n_plain_long,
+               count(*) FILTER (WHERE labelled AND qa = 'maybe') AS n_maybe,
+               count(*) FILTER (WHERE labelled AND qa = 'yes') AS n_yes
+        FROM sheet GROUP BY batch_idx)"""
+
+
+def _sheet(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    status, orders = F.col("o_orderstatus"), i.table("orders")
+    tasks = orders.select(F.col("o_custkey").alias("batch_idx"), F.col("o_orderkey").alias("task_id"))
+    chars = F.floor(F.col("o_totalprice") / 1000).cast("int")
+    rows = orders.where(F.month("o_orderdate") < 12).select(
+        F.col("o_orderkey").alias("task_id"), F.when(status == "F", "yes").when(status == "O", "no").otherwise("maybe").alias("qa"),
+        F.repeat(F.lit("r"), chars).alias("reason"), F.when(F.col("o_orderpriority") == "1-URGENT", "v0").otherwise("v1").alias("schema_version"))
+    return tasks, rows
+
+
+def many_configs(i: Inputs) -> DataFrame:
+    """A gate of its own for every batch."""
+    batch = F.col("batch_idx")
+    labels = F.when(batch % 3 == 0, F.array(F.lit("yes"), F.lit("no"))).when(batch % 3 == 2, F.array(F.lit("yes"))).otherwise(F.array())
+    rules = F.to_json(F.struct(
+        labels.cast("array<string>").alias("valid_qa"), (batch % 151 + 100).alias("min_reason_chars"),
+        (batch % 4 / 4).alias("reason_long_ratio_min"), (batch % 2 + 1).alias("distinct_qa_min_small")))
+    gate = F.create_map(F.lit("type"), F.lit("jsonl_schema"), F.lit("schema_version"), F.lit("v1"), F.lit("verdict_schema"), rules)
+    return _sheet(i)[0].select("batch_idx").distinct().withColumn("acceptanceGate", gate)
+
+
+@query("run_gates_many", f"""
+    WITH {MANY_SQL},
+    said AS (
+        SELECT *, CASE WHEN n_rows <> n_tasks THEN printf('(a) %d rows for %d tasks', n_rows, n_tasks) END AS a,
+               CASE WHEN n_missing > 0 THEN printf('(b) %d ids without a verdict', n_missing) END AS b,
+               CASE WHEN n_old > 0 THEN printf('(schema) %d incomplete, %d of another version', 0, n_old) END AS c,
+               CASE WHEN n_bad > 0 THEN printf('(valid_qa) %d labels not allowed', n_bad) END AS d,
+               CASE WHEN NOT coalesce(n_long / nullif(n_rows, 0) >= batch_idx % 4 / 4, false)
+                    THEN printf('(c) %d of %d reasons long enough', n_long, n_rows) END AS e,
+               CASE WHEN n_labels < CASE WHEN n_tasks <= 33 THEN batch_idx % 2 + 1 ELSE 2 END
+                    THEN printf('(distinct_qa) %d distinct labels, need %d', n_labels, CASE WHEN n_tasks <= 33 THEN batch_idx % 2 + 1 ELSE 2 END) END AS f
+        FROM counted)
+    SELECT batch_idx, coalesce(a, b, c, d, e, f) IS NULL AS passed, concat_ws('; ', a, b, c, d, e, f) AS failures FROM said""")
+def run_gates_many(i: Inputs) -> DataFrame:
+    tasks, rows = _sheet(i)
+    return _shown(G.run_gates(many_configs(i), rows, tasks))
+
+
+NESTED = {"type": "composite", "gates": json.dumps([
+    {"type": "expr", "name": "many", "condition": "count(*) >= 8"},
+    {"type": "composite", "gates": [
+        {"type": "jsonl_schema", "schema_version": "v1", "verdict_schema": {"valid_qa": ["yes", "no"], "reason_long_ratio_min": 0.5}},
+        {"type": "composite", "gates": [{"type": "expr", "name": "yes", "condition": "count_if(qa = 'yes') >= 3"}]}]}])}
+
+
+@query("composite_nested", f"""
+    WITH {MANY_SQL},
+    said AS (
+        SELECT *, CASE WHEN n_rows < 8 THEN '[expr] (many) count(*) >= 8' END AS many,
+               CASE WHEN n_rows <> n_tasks THEN printf('[composite] [jsonl_schema] (a) %d rows for %d tasks', n_rows, n_tasks) END AS a,
+               CASE WHEN n_missing > 0 THEN printf('[composite] [jsonl_schema] (b) %d ids without a verdict', n_missing) END AS b,
+               CASE WHEN n_old > 0 THEN printf('[composite] [jsonl_schema] (schema) %d incomplete, %d of another version', 0, n_old) END AS c,
+               CASE WHEN n_maybe > 0 THEN printf('[composite] [jsonl_schema] (valid_qa) %d labels not allowed', n_maybe) END AS d,
+               CASE WHEN NOT coalesce(n_plain_long / nullif(n_rows, 0) >= 0.5, false)
+                    THEN printf('[composite] [jsonl_schema] (c) %d of %d reasons long enough', n_plain_long, n_rows) END AS e,
+               CASE WHEN n_labels < CASE WHEN n_tasks <= 33 THEN 1 ELSE 2 END THEN printf('[composite] [jsonl_schema] (distinct_qa) %d distinct labels, need %d',
+                    n_labels, CASE WHEN n_tasks <= 33 THEN 1 ELSE 2 END) END AS f,
+               CASE WHEN n_yes < 3 THEN '[composite] [composite] [expr] (yes) count_if(qa = ''yes'') >= 3' END AS g
+        FROM counted)
+    SELECT batch_idx, coalesce(many, a, b, c, d, e, f, g) IS NULL AS passed, concat_ws('; ', many, a, b, c, d, e, f, g) AS failures FROM said""")
+def composite_nested(i: Inputs) -> DataFrame:
+    """Three levels of gates; failures carry the whole path."""
+    tasks, rows = _sheet(i)
+    gate = F.create_map(*[F.lit(x) for kv in NESTED.items() for x in kv])
+    return _shown(G.run_gates(tasks.select("batch_idx").distinct().withColumn("acceptanceGate", gate), rows, tasks))
+
+
+@query("finalize_started", f"""
+    WITH {MANY_SQL},
+    due AS (
+        SELECT batch_idx, n_yes >= 3 AS ok FROM counted
+        WHERE n_missing = 0 AND batch_idx IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) >= 2000)),
+    moved AS (
+        SELECT s.batch_idx % 4 AS shard, s.batch_idx, coalesce(d.ok, false) OR s.batch_idx % 7 = 0 AS passes,
+               s.batch_idx % 5 + CASE WHEN d.ok = false THEN 1 ELSE 0 END AS attempts, d.ok
+        FROM counted s LEFT JOIN due d ON d.batch_idx = s.batch_idx),
+    left_over AS (SELECT shard, count(*) FILTER (WHERE NOT passes) AS n FROM moved GROUP BY shard)
+    SELECT m.batch_idx, m.passes, m.attempts,
+           CASE WHEN m.ok AND l.n = 0 THEN 'COMPLETE' WHEN m.ok THEN 'YIELD' WHEN m.ok = false AND m.attempts >= 3 THEN 'VIOLATION'
+                WHEN m.ok = false THEN 'YIELD' END AS token
+    FROM moved m JOIN left_over l ON l.shard = m.shard""")
+def finalize_started(i: Inputs) -> DataFrame:
+    """Judged twice, before and after the verdicts of the later years: only batches that are whole and
+    have news since the first time are judged the second time."""
+    tasks, _ = _sheet(i)
+    orders, batch = i.table("orders"), F.col("batch_idx")
+    status = F.col("o_orderstatus")
+    late = F.year("o_orderdate") >= 2000
+    rows = orders.where(F.month("o_orderdate") < 12).select(
+        F.col("o_orderkey").alias("task_id"), F.when(status == "F", "yes").when(status == "O", "no").otherwise("maybe").alias("qa"),
+        F.lit("orders").alias("stream_id"), F.when(late, 1).otherwise(0).cast("bigint").alias("batch_id"))
+    judged = materialize(G.due_batches(tasks, rows.where("batch_id = 0")), "judged")
+    due = materialize(G.due_batches(tasks, rows, judged), "due")
+    stories = tasks.select("batch_idx").distinct().select(
+        (batch % 4).cast("string").alias("shard_id"), batch, batch.cast("string").alias("story_id"),
+        (batch % 7 == 0).alias("passes"), (batch % 5).alias("attempts"))
+    results = G.ExprGate("count_if(qa = 'yes') >= 3").evaluate(rows, tasks).join(due, "batch_idx", "left_semi").join(
+        stories.select("batch_idx", "shard_id", "story_id"), "batch_idx")
+    return G.finalize(stories, materialize(results, "results")).select("batch_idx", "passes", "attempts", "token")
+
+
 # ---- Intake ------------------------------------------------------------------
 
 BAD_SQL = """
