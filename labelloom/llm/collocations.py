@@ -44,7 +44,7 @@ SAMPLE_ONE_IN = 16
 BITS_EACH = 32
 LEAST_BITS = 1 << 16
 MOST_BITS = 1 << 28
-HELD = 1 << 23
+HELD = 1 << 22
 # Rows that leave a task at once.
 ROWS_OUT = 50_000
 
@@ -68,7 +68,7 @@ class Words:
         self.follows[1:] = before[1:] == before[:-1]
         self.follows[found.first[found.first < len(before)]] = False
         coded = found.values.dictionary_encode()
-        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.codes = coded.indices.to_numpy(zero_copy_only=False)
         self.hashes = hash_strings(coded.dictionary)
         self.vocabulary = coded.dictionary.cast(pa.string())
 
@@ -88,7 +88,7 @@ class Words:
     def counts(self, at: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray]:
         """The different phrases that begin ``at``, and how often each does."""
         size = max(len(self.vocabulary), 1)
-        key, inner = self.codes[at], []
+        key, inner = self.codes[at].astype(np.int64), []
         for k in range(1, length):
             if size ** (k + 1) >= 1 << 63:  # keys are made dense again, so that they stay within 64 bits
                 known, key = np.unique(key, return_inverse=True)
@@ -209,6 +209,9 @@ def _count(docs: DataFrame, longest: int, now: Filter | None, before: Filter | N
                     langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), dtype=np.int64)))
                     rows = pa.record_batch([langs, phrases, pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
                     yield from (rows.slice(k, ROWS_OUT) for k in range(0, len(rows), ROWS_OUT))
+                    del langs, phrases, rows
+                del words
+            pa.default_memory_pool().release_unused()
 
     counts = docs.select("lang", "text").mapInArrow(run, PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     out = materialize(counts.where(F.col("phrase").isNull() | (F.col("n") >= least)), "counted")
