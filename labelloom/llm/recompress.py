@@ -142,7 +142,7 @@ def window_rows(window: int) -> Kernel:
             texts = Texts.of(batch)
             words = WordTexts.of(texts)
             hashes = PrefixHash(words.hashes)
-            other = PrefixHash(mix(words.hashes ^ _PAIR))
+            other = PrefixHash(WordTexts.of(texts, 1).hashes)
             text = np.repeat(np.arange(len(texts.ids)), np.diff(batch.column("a").offsets.to_numpy()))
             a, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in "ab")
             row = np.repeat(np.arange(len(a)), n)

@@ -33,9 +33,10 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from labelloom.llm.common import materialize
-from labelloom.llm.rolling import PrefixHash, mix
+from labelloom.llm.rolling import LONG, PrefixHash, mix
 from labelloom.llm.texts import pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -101,6 +102,10 @@ class Model:
         return number, pair
 
 
+def _long_hash(chunk: str) -> int:
+    return xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"))
+
+
 @dataclass
 class Chunks:
     """The chunks of some texts: begin and end in the joined text, a hash, and each text's first chunk."""
@@ -131,6 +136,8 @@ class Chunks:
             a, b = begin[k:k + (1 << 17)], end[k:k + (1 << 17)]
             part = PrefixHash(values[a[0]:b[-1]])
             hashes[k:k + (1 << 17)] = mix(part.window(a - a[0], b - a) + (b - a).astype(np.uint64))
+        for k in np.flatnonzero(end - begin >= LONG):
+            hashes[k] = _long_hash(joined[begin[k]:end[k]])
         return cls(joined, begin, end, hashes, np.searchsorted(begin, borders))
 
     def text(self, k: int) -> str:
@@ -319,6 +326,8 @@ class Table:
             points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             own = PrefixHash(mix(points.astype(np.uint64) + np.uint64(1)))
             hashes[k:k + (1 << 16)] = mix(own.window(np.cumsum(lengths) - lengths, lengths) + lengths.astype(np.uint64))
+            for j in np.flatnonzero(lengths >= LONG):
+                hashes[k + j] = _long_hash(part[j])
         order = np.argsort(hashes)
         begin = np.cumsum(sizes) - sizes
         starts = np.concatenate([[0], np.cumsum(sizes[order])])

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from xxhash import xxh64_intdigest
 
-from labelloom.llm.rolling import PrefixHash, mix
+from labelloom.llm.rolling import LONG, PrefixHash, mix
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -72,7 +73,8 @@ class WordTexts:
     hashes: np.ndarray
 
     @classmethod
-    def of(cls, texts: Texts) -> WordTexts:
+    def of(cls, texts: Texts, seed: int = 0) -> WordTexts:
+        """Hashes of two seeds are independent of each other."""
         inside = ~_SPACE[texts.data]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
         begin, end = edge[::2], edge[1::2]
@@ -84,8 +86,10 @@ class WordTexts:
         hashes = np.zeros(len(begin), dtype=np.uint64)
         for k in range(0, len(begin), SEGMENT):
             first, last = begin[k:k + SEGMENT], end[k:k + SEGMENT]
-            part = PrefixHash.of_bytes(texts.data[first[0]:last[-1]])
+            part = PrefixHash.of_bytes(texts.data[first[0]:last[-1]], seed)
             hashes[k:k + SEGMENT] = mix(part.window(first - first[0], last - first) + (last - first).astype(np.uint64))
+        for k in np.flatnonzero(end - begin >= LONG):
+            hashes[k] = xxh64_intdigest(texts.data[begin[k]:end[k]].tobytes(), seed)
         return cls(texts.ids, np.searchsorted(begin, texts.starts), hashes)
 
     def segments(self, overlap: int) -> Iterator[tuple[int, WordTexts]]:
