@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with other columns than the id and the text under names that clash with nothing."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

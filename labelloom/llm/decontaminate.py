@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import BROADCAST_KEYS, materialize, rows_of
+from labelloom.llm.common import BROADCAST_KEYS, materialize, plain_names, rows_of
 from labelloom.llm.repeats import BROADCAST_SPANS
 
 WORDS = re.compile(r"[^\W_]+")
@@ -227,7 +227,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that hold an item."""
-    bad = materialize(leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak")).distinct(), "leaking")
+    """``docs`` without those that hold an item. Other columns pass through whatever their names."""
+    inner = plain_names(docs)
+    bad = materialize(leaks(inner, benchmark, threshold).select(F.col("doc_id").alias("_leak")).distinct(), "leaking")
     few = bad.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(bad) if few else bad, F.col("doc_id") == F.col("_leak"), "left_anti")
+    return inner.join(F.broadcast(bad) if few else bad, F.col("doc_id") == F.col("_leak"), "left_anti").toDF(*docs.columns)

@@ -7,11 +7,7 @@ intervals of the suffix array whose common prefix is at least that long, and the
 when no run is repeated any more. Each round is one aggregate, which combines before its
 shuffle, and equi-joins; a line that a third of all texts share is one row of the aggregate.
 
-A later copy of a run of 1, 2, 4 ... lines with at least ``MIN_CHARS`` characters, line ends
-included, is deleted; what overlaps or touches is merged into maximal runs. This is the rule of
-the SQL twin. It leaves lines of repeated runs in which no such block is long enough.
-
-With ``whole`` every later copy of a maximal repeated run of at least ``MIN_CHARS`` characters is
+Every later copy of a maximal repeated run of at least ``MIN_CHARS`` characters, line ends included, is
 deleted, whatever its number of lines. A line is in such a copy if and only if it is in a later
 copy of a shortest run: one that reaches ``MIN_CHARS`` from its first line on, or from its last
 line back, and not without the line at its other end. A shortest run has ``MIN_CHARS`` lines at
@@ -30,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import BROADCAST_KEYS, materialize
+from labelloom.llm.common import BROADCAST_KEYS, materialize, plain_names
 
 MIN_CHARS = 40
 _PLACE = ("doc", "hash", "at")
@@ -51,14 +47,14 @@ def _repeated(runs: DataFrame) -> DataFrame:
     return runs.join(first, ["a", "b"]).withColumn("late", F.col("first") != F.struct(*_PLACE)).drop("first", "last")
 
 
-def _doubled(now: DataFrame, length: int, min_chars: int) -> DataFrame:
+def _doubled(now: DataFrame, length: int) -> DataFrame:
     """The runs of twice ``length`` lines whose halves are in ``now``."""
     left = now.select(*_PLACE, F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("size").alias("xs"))
     right = now.select("doc", "hash", (F.col("at") - length).alias("at"), F.col("a").alias("ya"), F.col("b").alias("yb"),
                        F.col("size").alias("ys"))
     return left.join(right, list(_PLACE)).select(
         *_PLACE, F.xxhash64("xa", "xb", "ya", "yb").alias("a"), F.xxhash64(F.lit(1), "xa", "xb", "ya", "yb").alias("b"),
-        (F.col("xs") + F.col("ys")).alias("size"), (F.least("xs", "ys") < min_chars).alias("adds"))
+        (F.col("xs") + F.col("ys")).alias("size"))
 
 
 def _shortest(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -89,7 +85,7 @@ def _late_wholes(docs: DataFrame, min_chars: int) -> DataFrame:
     found = now.where(F.col("late") & (F.col("size") >= min_chars)).select(*_PLACE, (F.col("at") + 1).alias("end"))
     length = 1
     while 2 * length <= min_chars and not now.isEmpty():
-        now = materialize(_repeated(materialize(_doubled(now, length, min_chars), "grown")), "runs")
+        now = materialize(_repeated(materialize(_doubled(now, length), "grown")), "runs")
         length *= 2
         found = found.unionByName(_late_windows(windows, now, length))
     return found
@@ -105,23 +101,9 @@ def _late_windows(windows: DataFrame, now: DataFrame, length: int) -> DataFrame:
     return _repeated(materialize(named, "windows")).where("late").select(*_PLACE, (F.col("at") + F.col("n")).alias("end"))
 
 
-def _late_blocks(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, hash, at, end): all later copies of runs of 1, 2, 4 ... lines."""
-    now = materialize(_repeated(materialize(_lines(docs), "lines")), "runs")
-    found = now.where(F.col("late") & (F.col("size") >= min_chars)).select(*_PLACE, (F.col("at") + 1).alias("end"))
-    length = 1
-    while not now.isEmpty():
-        now = materialize(_repeated(materialize(_doubled(now, length, min_chars), "grown")), "runs")
-        length *= 2
-        # If both halves are long enough by themselves, their rounds have found them.
-        more = now.where(F.col("late") & F.col("adds") & (F.col("size") >= min_chars))
-        found = found.unionByName(more.select(*_PLACE, (F.col("at") + length).alias("end")))
-    return found
-
-
-def later_copies(docs: DataFrame, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
+def later_copies(docs: DataFrame, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """(doc, hash, at, end): maximal runs of lines that are copies of earlier ones."""
-    found = _late_wholes(docs, min_chars) if whole else _late_blocks(docs, min_chars)
+    found = _late_wholes(docs, min_chars)
     text = Window.partitionBy("doc", "hash").orderBy("at", "end")
     reached = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
     island = found.distinct().withColumn("new", F.coalesce(F.col("at") > reached, F.lit(True)).cast("int"))
@@ -136,7 +118,7 @@ def _without(lines: Column, runs: Column) -> Column:
     return F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s)))
 
 
-def mark_copies(docs: DataFrame, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
+def mark_copies(docs: DataFrame, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """``docs`` with a column ``_runs``, the later copies in each text (null: none)."""
     runs = later_copies(docs, min_chars, whole).groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("_runs"))
     runs = materialize(runs, "copies")
@@ -151,11 +133,10 @@ def _kept(runs: str = "_runs") -> Column:
     return F.when(F.col(runs).isNull(), F.col("text")).otherwise(cut)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """``docs`` without later copies of line runs; a document of which nothing but blanks is left goes."""
     columns = docs.columns
-    inner = docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(columns)))
-    cut = mark_copies(inner, min_chars, whole)
+    cut = mark_copies(plain_names(docs), min_chars, whole)
     rest = cut.withColumn("text", _kept())
     rest = rest.where(F.col("_runs").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return rest.drop("_runs").toDF(*columns)
@@ -172,17 +153,16 @@ def count_copies(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.sha2(F.coalesce(_kept(), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def oracle(min_chars: int = MIN_CHARS, rounds: int = 10) -> str:
-    """The same as SQL over the blocks of 1, 2, 4 ... lines themselves."""
-    blocks = " UNION ALL ".join(
-        f"SELECT doc_id, s, s + {1 << k} AS e, array_to_string(ls[s + 1:s + {1 << k}], chr(10)) AS block FROM "
-        f"(SELECT doc_id, ls, unnest(range(0, len(ls) - {(1 << k) - 1})) AS s FROM d)" for k in range(rounds))
+def oracle(min_chars: int = MIN_CHARS) -> str:
+    """The same as SQL over all runs of up to ``min_chars`` lines, which cover every longer one."""
     return rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-b AS ({blocks}),
-m AS (SELECT *, min(struct_pack(d := doc_id, s := s)) OVER (PARTITION BY e - s, md5(block)) AS f FROM b),
-g AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS i FROM m
-      WHERE (f.d <> doc_id OR f.s <> s) AND length(block) + 1 >= {min_chars}),
+p AS (SELECT doc_id, ls, unnest(range(0, len(ls))) AS s FROM d),
+c AS (SELECT doc_id, ls, s, unnest(range(s + 1, least(s + {min_chars}, len(ls)) + 1)) AS e FROM p),
+b AS (SELECT doc_id, s, e, array_to_string(ls[s + 1:e], chr(10)) AS block FROM c),
+m AS (SELECT doc_id, s, e, min(struct_pack(d := doc_id, s := s)) OVER (PARTITION BY e - s, md5(block)) AS f
+      FROM b WHERE length(block) + 1 >= {min_chars}),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS i FROM m WHERE f.d <> doc_id OR f.s <> s),
 r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (p IS NULL OR p < i - 1) AS n_runs, list(i) AS gone
       FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g) GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,

@@ -30,7 +30,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import BROADCAST_KEYS, lower_ascii, materialize, rows_of, words
+from labelloom.llm.common import BROADCAST_KEYS, lower_ascii, materialize, plain_names, rows_of, words
 from labelloom.llm.components import components
 
 SIZE = 5
@@ -192,8 +192,13 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """``docs`` with the document of the least id of each group; rows that repeat that id stay together."""
-    drop = near_duplicates(docs, similar).where("NOT kept").select(F.col("doc_id").alias("_later")).distinct()
+    """``docs`` with the document of the least id of each group; rows that repeat that id stay together.
+
+    Other columns pass through whatever their names.
+    """
+    inner = plain_names(docs)
+    drop = near_duplicates(inner, similar).where("NOT kept").select(F.col("doc_id").alias("_later")).distinct()
     drop = materialize(drop, "later-copies")
     few = drop.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col("_later"), "left_anti")
+    kept = inner.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col("_later"), "left_anti")
+    return kept.toDF(*docs.columns)
