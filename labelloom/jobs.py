@@ -8,9 +8,14 @@
     rebalance  move unfinished tasks of stopped shards
     merge      audit all verdicts and publish the ordered set
     dashboard  show progress per shard
-
-Folder layout: ``plan/{assignments,batches,stories,header}`` and
-``state/{accepted,quarantine,checkpoint}``, all Parquet. Verdict lines name their
+    next       show the story that each shard takes up next
+    status     write one status document with all pending stories
+    alerts     show the alert of each shard and of the whole
+    write-audit  check write events, exit 1 on any that is not allowed
+    hand-out   write payloads, manifests, stories and prompts for the workers
+
+Folder layout: ``plan/{assignments,batches,stories,header,gate_results,changes}`` and
+``state/{accepted,quarantine,repeated,retracted,index,checkpoint}``, all Parquet. Verdict lines name their
 ``shard_id``. A later refresh plans anew from the tasks and keeps story state.
 """
 
@@ -27,12 +32,12 @@ from pyspark.sql import types as T
 from labelloom.cluster import drop_scratch, materialize
 from labelloom.functions.columns import batch_label
 from labelloom.model import BATCH_SIZE, AuditError, PlanError, VerdictSchema
-from labelloom.operators import audit, gates, merge, monitor, rebalance
+from labelloom.operators import audit, gates, merge, monitor, policy, rebalance, state
 from labelloom.operators.report import assert_clean
 from labelloom.plans import batches as B
 from labelloom.plans import shards as S
 from labelloom.plans.stories import rebase_stories, refresh_stories
-from labelloom.sources import files, sinks
+from labelloom.sources import documents, files, sinks, store
 from labelloom.streaming import ingest, retract
 
 
@@ -82,6 +87,10 @@ def batches_of(members: DataFrame) -> DataFrame:
     return members.groupBy("shard_id", "batch_idx").agg(F.count(F.lit(1)).alias("n_tasks")).withColumn("story_id", label)
 
 
+def header_of(batches: DataFrame) -> DataFrame:
+    return batches.agg(F.count(F.lit(1)).alias("n_batches"), F.sum("n_tasks").alias("total_tasks"))
+
+
 def load_contract(path: str | None, spark: SparkSession) -> tuple[str, VerdictSchema, dict]:
     """Version, schema and default gate of a configuration document (a story document's form)."""
     acceptance = files.read_acceptance(spark, path) if path else {}
@@ -112,7 +121,7 @@ def plan(p: Project, args) -> None:
         F.array(F.lit(".baseline/state/verdicts.jsonl")).alias("modifies")), batches)
     if args.mode == "refresh":
         stories = refresh_stories(stories, p.plan("stories"))
-    header = batches.agg(F.count(F.lit(1)).alias("n_batches"), F.sum("n_tasks").alias("total_tasks"))
+    header = header_of(batches)
     assert_clean(S.check_plan(header, batches, S.shard_headers(batches)))
     if args.mode == "force":
         sinks.remove(p.spark, p.sink)
@@ -176,11 +185,19 @@ def run_rebalance(p: Project, args) -> None:
     dealt = rebalance.rebatch(rebalance.pool(drained, stopped), targets, args.batch_size)
     moves = rebalance.next_ids(dealt, assignments)
     generation = assignments.agg(F.max("generation")).first()[0] + 1
+    added = rebalance.new_batches(moves)
+    clash = rebalance.collisions(added, assignments)
+    if not clash.isEmpty():
+        raise PlanError(f"batch {clash.first().batch_idx} exists already")
     grown = rebalance.reassign(assignments, drained, moves, generation)
     batches = batches_of(rebalance.active_members(grown))
-    added = rebalance.new_stories(rebalance.new_batches(moves), stories).select(*[c for c in stories.columns])
-    kept = stories.unionByName(added).join(batches.select("shard_id", "story_id"), ["shard_id", "story_id"], "left_semi")
-    p.save_plan("refresh", assignments=grown, batches=batches, stories=kept)
+    rows = rebalance.new_stories(added, stories).select(*[c for c in stories.columns])
+    kept = stories.unionByName(rows).join(batches.select("shard_id", "story_id"), ["shard_id", "story_id"], "left_semi")
+    log = rebalance.append_plan(p.plan("batches"), stories, moves)["log"].withColumns({
+        "generation": F.lit(generation).cast("bigint"), "stopped": F.lit(",".join(stopped))})
+    if sinks.exists(p.spark, f"{p.root}/plan/changes"):
+        log = p.plan("changes").unionByName(log)
+    p.save_plan("refresh", assignments=grown, batches=batches, stories=kept, header=header_of(batches), changes=log)
 
 
 def run_merge(p: Project, args) -> None:
@@ -205,6 +222,52 @@ def dashboard(p: Project, args) -> None:
     monitor.dashboard(p.plan("stories"), logs, seen).orderBy("shard").show(ROWS_SHOWN, truncate=False)
 
 
+def living(p: Project, names: str) -> DataFrame:
+    """(shard_id, alive) of every shard; ``names`` are those whose worker runs."""
+    running = [n for n in names.split(",") if n]
+    return p.plan("batches").select("shard_id").distinct().withColumn("alive", F.col("shard_id").isin(running) if running else F.lit(False))
+
+
+def show_next(p: Project, args) -> None:
+    state.next_story(p.plan("stories")).orderBy("shard_id").show(ROWS_SHOWN, truncate=False)
+
+
+def status(p: Project, args) -> None:
+    stories = p.plan("stories")
+    documents.status_document(monitor.progress(stories), living(p, args.alive), monitor.pending_stories(stories), args.iteration,
+                              F.current_timestamp(), args.out, args.zone)
+
+
+def alerts(p: Project, args) -> None:
+    tails = monitor.tail_n(files.read_logs(p.spark, args.logs), ["shard_id", "source"], "seq")
+    found = monitor.health_alerts(monitor.progress(p.plan("stories")), living(p, args.alive), monitor.classify(tails))
+    found.orderBy(F.col("shard_id").asc_nulls_last(), "alert").show(ROWS_SHOWN, truncate=False)
+
+
+def write_audit(p: Project, args) -> None:
+    judged = policy.write_audit(files.read_write_events(p.spark, args.events), args.repo, normalize=True)
+    denied = materialize(judged.where("NOT allowed"), "denied")
+    denied.groupBy("shard_root", "reason").count().orderBy("shard_root", "reason").show(ROWS_SHOWN, truncate=False)
+    if not denied.isEmpty():
+        raise AuditError([f"{r.reason}: {r['count']}" for r in denied.groupBy("reason").count().orderBy("reason").collect()])  # few reasons
+
+
+def hand_out(p: Project, args) -> None:
+    """Everything a worker needs: payloads by batch, manifest and story documents, and prompts."""
+    _, _, acceptance = load_contract(args.config, p.spark)
+    batches, out = p.plan("batches"), args.out.rstrip("/")
+    schema = p.spark.read.json(args.tasks).schema if args.format == "json" else p.spark.read.format(args.format).load(args.tasks).schema
+    tasks = files.read_tasks(p.spark, args.tasks, schema, args.id_field, args.format)
+    store.write_batches(tasks, p.members, f"{out}/tasks", key=args.id_field)
+    heads, listed = S.shard_manifest(batches)
+    documents.write_manifest(heads, listed, p.members, f"{out}/manifest", args.batch_size)
+    documents.write_stories(p.plan("stories"), f"{out}/stories", F.lit("labelloom"), json.dumps(acceptance))
+    if args.template:
+        template = "\n".join(r.value for r in p.spark.read.text(args.template, wholetext=True).collect())  # one template
+        prompts = B.render_template(heads, template, B.shard_prompt_columns(F.col("shard_root")))
+        prompts.select("shard_id", F.col("prompt").alias("value")).repartition("shard_id").write.partitionBy("shard_id").text(f"{out}/prompts")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="labelloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     top.add_argument("--root", required=True, help="project folder")
@@ -245,6 +308,29 @@ def parser() -> argparse.ArgumentParser:
     one = jobs.add_parser("dashboard")
     one.add_argument("--logs")
     one.set_defaults(run=dashboard)
+    jobs.add_parser("next").set_defaults(run=show_next)
+    one = jobs.add_parser("status")
+    one.add_argument("--out", required=True)
+    one.add_argument("--alive", default="", help="shards whose worker runs")
+    one.add_argument("--iteration", type=int, default=0)
+    one.add_argument("--zone", default="UTC")
+    one.set_defaults(run=status)
+    one = jobs.add_parser("alerts")
+    one.add_argument("--logs", required=True)
+    one.add_argument("--alive", default="")
+    one.set_defaults(run=alerts)
+    one = jobs.add_parser("write-audit")
+    one.add_argument("--events", required=True)
+    one.add_argument("--repo", required=True, help="folder that the paths are in")
+    one.set_defaults(run=write_audit)
+    one = jobs.add_parser("hand-out")
+    one.add_argument("--tasks", required=True)
+    one.add_argument("--format", default="json")
+    one.add_argument("--id-field", default="task_id")
+    one.add_argument("--batch-size", type=int, default=BATCH_SIZE)
+    one.add_argument("--template")
+    one.add_argument("--out", required=True)
+    one.set_defaults(run=hand_out)
     return top
 
 

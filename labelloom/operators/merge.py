@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.cluster import as_lookup
+from labelloom.cluster import as_lookup, materialize
 from labelloom.functions.columns import long_enough, row_errors, with_chars
 from labelloom.model import EXAMPLES, SAMPLE_SEED, SAMPLE_SIZE, PlanError, VerdictSchema
 from labelloom.operators.audit import against_declared, coverage
 from labelloom.operators.report import assert_clean, check_rows, union_reports
-from labelloom.sources.sinks import has_rows, remove, swap_in, write_ordered
+from labelloom.sources.sinks import has_rows, remove, swap_in, write_ordered, write_placed
+from labelloom.sources.versions import Draft, write_version
 
 
 def union_shards(parts: Sequence[DataFrame]) -> DataFrame:
@@ -205,3 +206,39 @@ def merge_publish(verdicts: DataFrame, baseline_order: DataFrame, declared: Data
     for name, folder in staged.items():
         swap_in(spark, folder, places[name])
     return list(places.values())
+
+
+def merge_commit(verdicts: DataFrame, baseline_order: DataFrame, declared: DataFrame, schema: VerdictSchema, version: str,
+                 root: str, total: int | None = None, prefix: DataFrame | None = None, prefix_order: str = "seq",
+                 fmt: str = "json", reason_policy: str = "all", line_field: str | None = None, n: int | None = SAMPLE_SIZE,
+                 n_files: int | None = None) -> int:
+    """Audit and write the merged set, and the combined one, as one version of ``root`` (M7).
+
+    What is audited is what is written: the verdicts are read once, into a table that both the audit and the
+    merge use, so rows that arrive meanwhile take no part. The outputs ``merged`` and ``combined`` change
+    together when the commit is named; a failed layer or a lost writer leaves the version before.
+
+    The baseline's ``pos`` and the prefix's ``prefix_order`` are dense from 1, so files follow from places.
+    Returns the number of the commit.
+    """
+    spark = verdicts.sparkSession
+    fields = [line_field] if line_field else [c for c in verdicts.columns if c not in (schema.chars_field, "task_id", "src")]
+    frozen = materialize(with_chars(verdicts, schema), "merge-input")
+    assert_clean(merge_report(frozen, baseline_order, declared, schema, version, total, n, reason_policy=reason_policy))
+    merged = ordered_merge(frozen.select("task_id", *fields), baseline_order)
+    rows = baseline_order.agg(F.max("pos")).first()[0] or 0
+    kind = "text" if line_field else fmt
+
+    def shaped(df: DataFrame, place: Column) -> DataFrame:
+        placed = df.withColumn("_place", place)
+        return placed.select("_place", F.col(line_field).alias("value")) if line_field else placed.drop("batch_idx", "pos", "src_rank")
+
+    def write(draft: Draft) -> None:
+        write_placed(shaped(merged, F.col("pos")), draft.place("merged"), "_place", rows, kind, n_files, ["_place"])
+        if prefix is not None:
+            first = prefix.agg(F.max(prefix_order)).first()[0] or 0
+            both = combine(prefix, merged, prefix_order)
+            place = F.col("pos") + F.when(F.col("src_rank") == 0, 0).otherwise(first)
+            write_placed(shaped(both, place).drop(prefix_order), draft.place("combined"), "_place", first + rows, kind, n_files, ["_place"])
+
+    return write_version(spark, root, write, "merge")

@@ -67,6 +67,7 @@ def write_audit(events: DataFrame, repo_root: str, deny_prefixes: Sequence[str]
     def under(folder: Column) -> Column:
         return (rel == folder) | F.startswith(rel, F.concat(folder, F.lit("/")))
 
+    # The texts of decisions.
     rules = [
         (F.nullif(F.col("shard_root"), F.lit("")).isNull(), True, "no shard"),
         (~F.coalesce(F.col("tool_name").isin(WRITE_TOOLS), F.lit(False)), True, "not a write tool"),

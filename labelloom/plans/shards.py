@@ -6,12 +6,12 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.columns import batch_label, range_label, shard_name, shard_name_of
 from labelloom.model import PlanError, ShardRange
-from labelloom.operators.index import dense_index, earlier_max
+from labelloom.operators.index import dense_index
 from labelloom.operators.report import check_rows
 
 # Ranges and batches meet by blocks of so many batch numbers.
@@ -99,6 +99,27 @@ def check_assignment(assigned: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.select("shard_id", "expected", actual.alias("actual"), (actual == F.col("expected")).alias("passed"))
 
 
+def _with_cursor(ranges: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """``ranges`` with ``cursor``, the largest end among the ranges before (0 for the first).
+
+    A scan in two levels: rows are scanned inside blocks of ordinals, and blocks by one summary row each.
+    Only the rows' way to their blocks is a shuffle of rows, and no window is longer than a block.
+    """
+    block = F.call_function("div", F.col("ordinal"), F.lit(RANGE_BLOCK))
+    dealt = ranges.withColumn("_block", block)
+    within = Window.partitionBy(*group_cols, "_block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group_cols).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = dealt.groupBy(*group_cols, "_block").agg(F.max("hi").alias("_top"))
+    carried = tops.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group_cols)], F.col("_block").alias("_b"),
+                          F.max("_top").over(before).alias("_carry"))
+    same = F.col("_block") == F.col("_b")
+    for k, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    inside = dealt.withColumn("_inside", F.max("hi").over(within))
+    cursor = F.coalesce(F.greatest("_inside", "_carry"), F.lit(0))
+    return inside.join(carried, same).select(*ranges.columns, cursor.alias("cursor"))
+
+
 def check_ranges(ranges: DataFrame, total: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Problems of split sets, one row each: ``kind, ordinal, lo, hi, missing_lo, missing_hi``.
 
@@ -106,8 +127,7 @@ def check_ranges(ranges: DataFrame, total: str, group_cols: Sequence[str] = ())
     ``overlap`` starts at or before the end of an earlier range, ``gap`` lists
     batch numbers no range holds, in front, between or (ordinal NULL) behind.
     """
-    seen = earlier_max(ranges, "hi", ["ordinal"], group_cols, "cursor").withColumn(
-        "cursor", F.coalesce("cursor", F.lit(0)))
+    seen = _with_cursor(ranges, group_cols)
     lo, hi, cursor = F.col("lo"), F.col("hi"), F.col("cursor")
     gap = F.struct(F.lit("gap").alias("kind"), (cursor + 1).alias("missing_lo"), (lo - 1).alias("missing_hi"))
 

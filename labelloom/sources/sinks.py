@@ -25,6 +25,23 @@ def write_ordered(df: DataFrame, path: str, order_cols: Sequence[str], fmt: str
     ranged.sortWithinPartitions(*order_cols).drop(*drop).write.format(fmt).mode("errorifexists").save(path)
 
 
+# Rows of one file, where nobody asks for a number of files.
+ROWS_PER_FILE = 1_000_000
+
+
+def write_placed(df: DataFrame, path: str, place: str, total: int, fmt: str = "json", n_files: int | None = None,
+                 drop: Sequence[str] = ()) -> None:
+    """Files in row order for rows that know their place, 1 to ``total``.
+
+    The file follows from the place, so the rows are read once and shuffled once, without a look at their
+    distribution; files hold equally many rows. Gaps in the places only make files smaller.
+    """
+    files = n_files or max(1, -(-total // ROWS_PER_FILE))
+    number = F.call_function("div", (F.col(place) - 1) * files, F.lit(max(total, 1)))
+    file = F.greatest(F.least(number, F.lit(files - 1)), F.lit(0)).cast("int")
+    df.repartitionById(files, file).sortWithinPartitions(place).drop(*drop).write.format(fmt).mode("errorifexists").save(path)
+
+
 def save_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "task_id") -> DataFrame:
     """Save as a table bucketed and sorted by ``key``.
 

@@ -87,3 +87,62 @@ def test_splits(spark, project):
     (tmp / "splits.json").write_text('{"splits": [[1, 2],\n [3, 10]]}')
     assert plan("--splits-file", str(tmp / "splits.json")) == 0
     assert rows(spark.read.parquet(str(root / "plan" / "batches")).groupBy("shard_id").count()) == [("a", 2), ("b", 8)]
+
+
+def test_failed_batches_are_recovered_and_done_again(spark, project):
+    tmp, root, run, plan, arrive = project
+    assert plan() == 0
+    first = json.loads((tmp / "config.json").read_text())
+    first["acceptance"]["default_gate"]["verdict_schema"]["min_reason_chars"] = 300
+    (tmp / "strict.json").write_text(json.dumps(first))
+
+    def stories():
+        return rows(spark.read.parquet(str(root / "plan" / "stories")).groupBy("shard_id").agg(F.count_if("passes"), F.max("attempts")))
+
+    assert arrive("one.jsonl", [(t, "a") for t in IDS[:7]]) == 0
+    for _ in range(3):  # without news no batch is judged a second time, and none under work at all
+        assert main(["--root", str(root), "--config", str(tmp / "strict.json"), "gate"], spark) == 0
+        assert stories() == [("a", 0, 1), ("b", 0, 0)]
+    assert run("recover") == 0 and run("recover") == 0
+    accepted = spark.read.parquet(str(root / "state" / "retracted"))
+    assert rows(accepted, "task_id", "batch_idx") == [(t, 1) for t in IDS[:5]]
+    assert arrive("two.jsonl", [(t, "a") for t in IDS[:5]]) == 0
+    assert run("gate") == 0
+    assert stories() == [("a", 1, 1), ("b", 0, 0)]
+
+
+def test_worker_files_and_reports(spark, project):
+    tmp, root, run, plan, arrive = project
+    assert plan() == 0
+    (tmp / "prompt.txt").write_text("Shard {{SHARD_ID}}: {{N_TASKS}} tasks, {{UNKNOWN}}")
+    out = tmp / "out"
+    assert run("hand-out", "--tasks", str(tmp / "tasks.jsonl"), "--batch-size", "5", "--template", str(tmp / "prompt.txt"), "--out", str(out)) == 0
+    assert sorted(p.name for p in out.iterdir()) == ["manifest", "prompts", "stories", "tasks"]
+    assert rows(spark.read.text(str(out / "prompts")), "value") == [(f"Shard {s}: 25 tasks, {{{{UNKNOWN}}}}",) for s in "ab"]
+    assert run("next") == 0
+    assert run("status", "--out", str(tmp / "status"), "--alive", "a", "--iteration", "4") == 0
+    text = "".join(p.read_text() for p in sorted((tmp / "status").glob("part-*")))
+    doc = json.loads(text)["shards"]
+    assert [(s["shard"], s["alive"], len(s["pending"]), s["iteration"]) for s in doc] == [("a", True, 5, 4), ("b", False, 5, 4)]
+    logs = tmp / "logs" / "shard-b"
+    logs.mkdir(parents=True)
+    (logs / "run.log").write_text("all fine\nRate limit reached\n")
+    assert run("alerts", "--logs", str(tmp / "logs"), "--alive", "a") == 0
+    event = {"tool_name": "Write", "shard_root": ".shard-a", "tool_input": {"file_path": ".shard-a/state/x.jsonl"}}
+    (tmp / "events.jsonl").write_text(json.dumps(event) + "\n")
+    assert run("write-audit", "--events", str(tmp / "events.jsonl"), "--repo", "/repo") == 0
+    (tmp / "events.jsonl").write_text(json.dumps({**event, "tool_input": {"file_path": ".shard-b/x"}}) + "\n")
+    assert run("write-audit", "--events", str(tmp / "events.jsonl"), "--repo", "/repo") == 1
+
+
+def test_a_rebalance_is_logged(spark, project):
+    tmp, root, run, plan, arrive = project
+    assert plan() == 0
+    assert arrive("one.jsonl", [(t, "b") for t in IDS[25:37]]) == 0
+    assert run("rebalance", "--from", "b", "--keep", "a", "--batch-size", "5") == 0
+    header = spark.read.parquet(str(root / "plan" / "header"))
+    batches = spark.read.parquet(str(root / "plan" / "batches"))
+    assert rows(header, "n_batches", "total_tasks") == [(batches.count(), 50)]
+    changes = spark.read.parquet(str(root / "plan" / "changes"))
+    assert rows(changes, "shard_id", "first_batch", "last_batch", "added_tasks", "generation", "stopped") == [("a", 11, 13, 13, 1, "b")]
+    assert run("audit") == 0
