@@ -308,6 +308,20 @@ def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
     return short.unionByName(long)
 
 
+def hash_chunks(chunks: pa.Array) -> np.ndarray:
+    """The hash of each chunk, as ``Chunks`` has it."""
+    hashes = np.zeros(len(chunks), dtype=np.uint64)
+    for k in range(0, len(chunks), 1 << 16):
+        part = chunks.slice(k, 1 << 16).to_pylist()
+        lengths = np.array([len(c) for c in part])
+        points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        own = PrefixHash(mix(points.astype(np.uint64) + np.uint64(1)))
+        hashes[k:k + (1 << 16)] = mix(own.window(np.cumsum(lengths) - lengths, lengths) + lengths.astype(np.uint64))
+        for j in np.flatnonzero(lengths >= LONG):
+            hashes[k + j] = _long_hash(part[j])
+    return hashes
+
+
 @dataclass
 class Table:
     """Ids of known chunks: sorted hashes, and where each one's ids begin."""
@@ -319,15 +333,10 @@ class Table:
     @classmethod
     def of(cls, chunks: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> Table:
         """``flat`` has the ids of all ``chunks`` in turn, ``sizes`` how many each has."""
-        hashes = np.zeros(len(chunks), dtype=np.uint64)
-        for k in range(0, len(chunks), 1 << 16):
-            part = chunks.slice(k, 1 << 16).to_pylist()
-            lengths = np.array([len(c) for c in part])
-            points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            own = PrefixHash(mix(points.astype(np.uint64) + np.uint64(1)))
-            hashes[k:k + (1 << 16)] = mix(own.window(np.cumsum(lengths) - lengths, lengths) + lengths.astype(np.uint64))
-            for j in np.flatnonzero(lengths >= LONG):
-                hashes[k + j] = _long_hash(part[j])
+        return cls.sorted(hash_chunks(chunks), flat, sizes)
+
+    @classmethod
+    def sorted(cls, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> Table:
         order = np.argsort(hashes)
         begin = np.cumsum(sizes) - sizes
         starts = np.concatenate([[0], np.cumsum(sizes[order])])
@@ -351,9 +360,21 @@ def hot_table(encoded: DataFrame, most: int) -> tuple[Table, int]:
         if total > most:
             least = b + 1
             break
-    rows = encoded.where(level >= least).select("chunk", "ids").toArrow()
-    chunks, lists = (pa.concat_arrays(rows.column(c).chunks or [pa.array([], rows.schema.field(c).type)]) for c in ("chunk", "ids"))
-    return Table.of(chunks, lists.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)), least
+    # Tasks hash the chunks, so that the driver gets their hashes and ids alone.
+    rows = encoded.where(level >= least).select("chunk", "ids").mapInArrow(_packed, "hashes binary, sizes binary, ids binary").toArrow()
+    hashes, sizes, ids = (np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(x.as_buffer(), dtype=kind) for x in rows.column(c))])
+                          for c, kind in (("hashes", np.uint64), ("sizes", np.int32), ("ids", np.int32)))
+    del rows
+    pa.default_memory_pool().release_unused()
+    return Table.sorted(hashes, ids, sizes.astype(np.int64)), least
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("ids")
+        parts = (hash_chunks(batch.column("chunk")), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32),
+                 lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        yield pa.record_batch([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["hashes", "sizes", "ids"])
 
 
 class Encoder:
