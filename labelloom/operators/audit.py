@@ -16,6 +16,9 @@ from labelloom.functions.columns import fingerprint_aggs, true
 from labelloom.model import EXAMPLES
 from labelloom.operators.report import check_rows, union_reports
 
+# Shard names in one block of a report over all pairs.
+PAIR_BLOCK = 1_024
+
 
 def two_sided(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Which keys occur on which side: ``keys, in_left, in_right`` in one shuffle."""
@@ -109,10 +112,18 @@ def pair_overlaps(sets: DataFrame, listed: DataFrame | None) -> DataFrame:
 
 
 def shard_pairs(shards: DataFrame) -> DataFrame:
-    """Every unordered pair of shard names (the report is quadratic in shards, not in rows)."""
-    later = Window.orderBy("shard_id").rowsBetween(1, Window.unboundedFollowing)
-    return shards.select(F.col("shard_id").alias("shard_a"), F.collect_list("shard_id").over(later).alias("rest")).select(
-        "shard_a", F.explode("rest").alias("shard_b"))
+    """Every unordered pair of shard names (the report is quadratic in shards, not in rows).
+
+    Names are dealt to blocks of about ``PAIR_BLOCK``; a name meets one block at a time by
+    equality, so a task holds the pairs of one block and no more.
+    """
+    names = as_lookup(shards.select("shard_id").distinct())
+    blocks = max(1, -(-names.count() // PAIR_BLOCK))
+    own = F.pmod(F.xxhash64("shard_id"), F.lit(blocks))
+    left = names.select(F.col("shard_id").alias("shard_a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("_b"))
+    right = names.select(F.col("shard_id").alias("shard_b"), own.alias("_b"))
+    before = (F.col("shard_a") < F.col("shard_b")) | (F.col("shard_a").isNull() & F.col("shard_b").isNotNull())
+    return left.join(right, "_b").where(before).select("shard_a", "shard_b")
 
 
 def coverage(left: DataFrame, right: DataFrame, key: str = "task_id") -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelloom.cluster import as_lookup, materialize
 from labelloom.functions.columns import batch_number, strip
 from labelloom.model import MANIFEST_SCHEMA, STORIES_DOC_SCHEMA, VerdictSchema
 from labelloom.operators.index import dense_index
@@ -196,6 +197,78 @@ def read_stories(spark: SparkSession, path: str, multi_line: bool = True,
         "s.priority", "s.passes", "s.attempts", F.col("s.timeoutSeconds").alias("timeout_text"), "s.notes")
 
 
+# ---- one large document, parsed by many tasks --------------------------------------
+
+
+def _level(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``before``, how deep in lists and objects each line begins.
+
+    Valid JSON has no raw line break inside a text, so every line begins outside of one, and what it opens
+    and closes can be counted by itself. The counts are summed up inside a split of the file, and over
+    splits by one summary row each.
+    """
+    bare = F.regexp_replace("line", r'"(?:[^"\\]|\\.)*"', "")
+    opened = F.length(F.regexp_replace(bare, r"[^\[{]+", "")) - F.length(F.regexp_replace(bare, r"[^\]}]+", ""))
+    flat = lines.select(F.col("src.file").alias("file"), F.col("src.block").alias("block"), F.col("src.row").alias("row"),
+                        "line", opened.cast("bigint").alias("opened"))
+    inside = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = flat.groupBy("file", "block").agg(F.sum("opened").alias("_sum")).select(
+        "file", "block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    local = flat.withColumn("_local", F.coalesce(F.sum("opened").over(inside), F.lit(0)))
+    return local.join(sums, ["file", "block"]).select(
+        "file", "block", "row", "line", "opened", (F.col("_offset") + F.col("_local")).alias("before"))
+
+
+def split_entries(spark: SparkSession, path: str, field: str, entry: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The list ``field`` of large documents as rows (file, at, e), and the documents without it (file, text).
+
+    Files are read as splittable text and parsed entry by entry, so a document of any size spreads over
+    many tasks, as long as its list begins and ends at line ends, which holds for indented JSON and for
+    :mod:`labelloom.sources.documents`. A document without such a line stops the job.
+    """
+    lines = materialize(_level(read_lines(spark, path)), "document-lines")
+    place = F.struct("block", "row")
+    opening = F.col("line").rlike(rf'"{field}"\s*:\s*\[\s*$') & (F.col("before") + F.col("opened") == 2)
+    heads = lines.groupBy("file").agg(F.min(F.when(opening, place)).alias("head"))
+    after = lines.join(heads, "file").where((place > F.col("head")) & (F.col("before") + F.col("opened") < 2))
+    ends = after.groupBy("file").agg(F.min(F.struct("block", "row", "before")).alias("end"))
+    found = heads.join(ends, "file", "left")
+    fits = F.col("head").isNotNull() & F.coalesce(F.col("end.before") == 2, F.lit(False))
+    fault = F.raise_error(F.concat(F.lit(f"the list {field} does not begin and end at line ends in "), F.col("file")))
+    spans = as_lookup(found.select("file", F.when(fits, F.col("head")).otherwise(fault.cast("struct<block:bigint,row:bigint>")).alias("head"), "end"))
+    marked = lines.join(spans, "file").withColumn("inner", (place > F.col("head")) & (place < F.struct("end.block", "end.row")))
+    listed = marked.where("inner").select("file", "block", "row", "line", (F.col("before") == 2).cast("int").alias("new"))
+    # An entry begins on a line of the list's own level; entries that share lines stay together.
+    upto = Window.partitionBy("file", "block").orderBy("row")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = listed.groupBy("file", "block").agg(F.sum("new").alias("_n")).select(
+        "file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = listed.withColumn("_k", F.sum("new").over(upto)).join(sums, ["file", "block"]).withColumn("_no", F.col("_offset") + F.col("_k"))
+    groups = numbered.groupBy("file", "_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct("block", "row", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    body = F.regexp_replace("text", r"^[\s,]+|[\s,]+$", "")
+    parsed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), T.ArrayType(entry), {"mode": "FAILFAST"})
+    entries = groups.where(body != "").select("file", F.col("_no").alias("at"), F.posexplode(parsed).alias("k", "e")).select(
+        "file", "at", "k", "e")
+    rest = marked.where(~F.col("inner")).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct("block", "row", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return entries, rest
+
+
+def read_manifest_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`read_manifest` for documents too large for one task (see :func:`split_entries`)."""
+    kind = MANIFEST_SCHEMA["batches"].dataType.elementType
+    entries, rest = split_entries(spark, path, "batches", kind)
+    fields = T.StructType([f for f in MANIFEST_SCHEMA if f.name != "batches"])
+    header = rest.select(F.from_json("text", fields, {"mode": "FAILFAST"}).alias("h"), "file").select("h.*", "file")
+    listed = entries.select("file", F.col("e").alias("b"))
+    batches = listed.select("file", batch_number(F.col("b.story_id")).alias("batch_idx"), "b.story_id", "b.input_file", "b.n_tasks")
+    tasks = listed.select("file", batch_number(F.col("b.story_id")).alias("batch_idx"), F.posexplode("b.task_ids").alias("at", "task_id")).select(
+        "file", "batch_idx", "task_id", (F.col("at") + 1).cast("bigint").alias("pos"))
+    return header, batches, tasks
+
+
 def read_acceptance(spark: SparkSession, path: str) -> dict:
     """Acceptance configuration of one story document: ``max_attempts``, ``default_gate``."""
     row = _documents(spark, path, STORIES_DOC_SCHEMA, True).select("acceptance").first()

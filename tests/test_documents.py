@@ -96,3 +96,34 @@ def test_status_document(spark, make, tmp_path):
     assert [s["pending"] for s in doc["shards"]] == [['S"1', "S2"], [], ["S7"]]
     assert [s["alive"] for s in doc["shards"]] == [True, False, False]
     assert doc["shards"][0]["ts"] == "2026-01-02 12:04:05" and doc["shards"][0]["iteration"] == 7
+
+
+@pytest.mark.parametrize("indent", [1, 2])
+def test_a_large_document_is_parsed_entry_by_entry(spark, tmp_path, indent):
+    batches = [{"story_id": f"BATCH-{k:03d}", "input_file": 'a "[{" \\\\" }]' + str(k), "n_tasks": k % 3, "task_ids": [f"t{k}-{j}]" for j in range(k % 3)]}
+               for k in range(1, 400)]
+    doc = {"source": "x [ {", "batch_size": 5, "notes": ["a", {"b": ["c"]}], "batches": batches, "shard_id": "a", "after": [[1], {"batches": []}]}
+    (tmp_path / "one.json").write_text(json.dumps(doc, indent=indent))
+    (tmp_path / "two.json").write_text(json.dumps({**doc, "batches": batches[:1], "shard_id": "b"}, indent=indent))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits in one document
+    try:
+        split = [df.cache() for df in S.read_manifest_split(spark, str(tmp_path))]
+        assert spark.read.text(str(tmp_path / "one.json")).rdd.getNumPartitions() > 5
+        for mine, plain in zip(split, S.read_manifest(spark, str(tmp_path))):
+            assert rows(mine.drop("file")) == rows(plain.drop("file")) and mine.columns[:-1] == plain.columns[:-1]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_entries_that_share_lines(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"shard_id": "a", "batches": [\n{"story_id": "BATCH-001"}, {"story_id":\n"BATCH-002"}, {"story_id": "BATCH-003"}\n, {"story_id": "BATCH-004"}\n], "n_batches": 4}')
+    header, batches, _ = S.read_manifest_split(spark, str(tmp_path))
+    assert rows(batches, "batch_idx") == [(1,), (2,), (3,), (4,)] and rows(header, "shard_id", "n_batches") == [("a", 4)]
+
+
+@pytest.mark.parametrize("text", ['{"batches": [{"story_id": "BATCH-001"}]}', '{"other": 1}'])
+def test_documents_that_cannot_be_split_stop_the_job(spark, tmp_path, text):
+    (tmp_path / "m.json").write_text(text)
+    with pytest.raises(Exception, match="does not begin and end at line ends"):
+        S.read_manifest_split(spark, str(tmp_path))[1].collect()

@@ -216,6 +216,19 @@ def write_manifest(i: Inputs) -> DataFrame:
     return batches.select(shard, "batch_idx", "n_tasks").join(tasks.drop("file"), "batch_idx").select("shard_id", "batch_idx", "n_tasks", "task_id", "pos")
 
 
+@query("read_manifest_split", """
+    SELECT b.shard_id, b.batch_idx, b.n_tasks, CAST(t.task_id AS VARCHAR) AS task_id, (t.pos - 1) % 50 + 1 AS pos
+    FROM v_batches b JOIN v_batch_tasks t ON t.batch_idx = b.batch_idx""")
+def read_manifest_split(i: Inputs) -> DataFrame:
+    """The same documents, each parsed entry by entry in many tasks."""
+    path = scratch_path(i.spark, "manifests")
+    heads, listed = shard_manifest(i.batches)
+    D.write_manifest(heads, listed, i.members, path, 50, {"source": F.lit("documents")})
+    header, batches, tasks = S.read_manifest_split(i.spark, path)
+    rows = batches.join(header.select("file", "shard_id"), "file").select("shard_id", "batch_idx", "n_tasks")
+    return rows.join(tasks.drop("file"), "batch_idx").select("shard_id", "batch_idx", "n_tasks", "task_id", "pos")
+
+
 @query("write_stories", """
     SELECT shard_id, story_id, row_number() OVER (PARTITION BY shard_id ORDER BY pos) AS pos, priority, passes, attempts, timeout_text FROM v_stories""")
 def write_stories(i: Inputs) -> DataFrame:
