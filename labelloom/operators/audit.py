@@ -120,7 +120,7 @@ def shard_pairs(shards: DataFrame) -> DataFrame:
     names = as_lookup(shards.select("shard_id").distinct())
     blocks = max(1, -(-names.count() // PAIR_BLOCK))
     own = F.pmod(F.xxhash64("shard_id"), F.lit(blocks))
-    left = names.select(F.col("shard_id").alias("shard_a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("_b"))
+    left = names.select(F.col("shard_id").alias("shard_a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_b"))
     right = names.select(F.col("shard_id").alias("shard_b"), own.alias("_b"))
     before = (F.col("shard_a") < F.col("shard_b")) | (F.col("shard_a").isNull() & F.col("shard_b").isNotNull())
     return left.join(right, "_b").where(before).select("shard_a", "shard_b")

@@ -117,3 +117,14 @@ def test_hot_id_counts_once(spark):
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("task_id"), F.lit("a").alias("shard_id"))
     assert rows(A.audit_internal_dups(hot), "n_dups", "examples") == [(999, "0")]
     assert rows(A.coverage(hot, spark.range(3000).select(F.col("id").alias("task_id"))), "n_missing", "n_extra") == [(999, 0)]
+
+
+def test_pairs_of_shards_meet_by_blocks(spark, make, monkeypatch):
+    from labelloom.operators import audit as A
+
+    monkeypatch.setattr(A, "PAIR_BLOCK", 3)
+    names = [f"s{k:02d}" for k in range(11)] + [None]
+    members = make("shard_id string, task_id int", *[(s, k) for k, s in enumerate(names)], ("s03", 7))
+    got = A.audit_disjoint(members, every=True)
+    assert got.count() == 66 and rows(got.where("NOT passed"), "shard_a", "shard_b", "n_shared") == [("s03", "s07", 1)]
+    assert rows(got.where("shard_a IS NULL").select("shard_b")) == [(s,) for s in names[:-1]] and got.where("shard_b IS NULL").isEmpty()
