@@ -14,8 +14,8 @@
     write-audit  check write events, exit 1 on any that is not allowed
     hand-out   write payloads, manifests, stories and prompts for the workers
 
-Folder layout: ``plan/{assignments,batches,stories,header,gate_results,changes}`` and
-``state/{accepted,quarantine,repeated,retracted,index,checkpoint}``, all Parquet. Verdict lines name their
+Folder layout: ``plan`` holds versions of ``assignments, batches, stories, header, gate_results, changes``
+(see :mod:`labelloom.sources.versions`), which change all at once, and ``state`` the tables of the ingest, all Parquet. Verdict lines name their
 ``shard_id``. A later refresh plans anew from the tasks and keeps story state.
 """
 
@@ -37,7 +37,7 @@ from labelloom.operators.report import assert_clean
 from labelloom.plans import batches as B
 from labelloom.plans import shards as S
 from labelloom.plans.stories import rebase_stories, refresh_stories
-from labelloom.sources import documents, files, sinks, store
+from labelloom.sources import documents, files, sinks, store, versions
 from labelloom.streaming import ingest, retract
 
 
@@ -52,7 +52,11 @@ class Project:
         self.spark, self.root = spark, root.rstrip("/")
 
     def plan(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/plan/{name}")
+        return versions.read_table(self.spark, f"{self.root}/plan", name)
+
+    def planned(self, name: str) -> bool:
+        now = versions.current(self.spark, f"{self.root}/plan")
+        return now is not None and name in now["tables"]
 
     @property
     def sink(self) -> str:
@@ -78,8 +82,15 @@ class Project:
     def baseline(self) -> DataFrame:
         return self.plan("assignments").where("generation = 0").select("task_id", "batch_idx", "pos")
 
-    def save_plan(self, mode: str, **tables: DataFrame) -> None:
-        sinks.publish_plan(self.spark, self.root, tables, {}, mode)
+    def save_plan(self, note: str, fresh: bool = False, **tables: DataFrame) -> None:
+        """Change the given tables all at once; the others stay, or go if the plan is a ``fresh`` one."""
+        def write(draft: versions.Draft) -> None:
+            for name, df in tables.items():
+                draft.write(name, df)
+            for name in set(draft.base["tables"] if draft.base and not fresh else ()) - set(tables):
+                draft.keep(name)
+
+        versions.write_version(self.spark, f"{self.root}/plan", write, note)
 
 
 def batches_of(members: DataFrame) -> DataFrame:
@@ -102,7 +113,7 @@ def load_contract(path: str | None, spark: SparkSession) -> tuple[str, VerdictSc
 def plan(p: Project, args) -> None:
     if args.mode == "default" and sinks.has_rows(p.spark, ingest.accepted_path(p.sink)):
         raise PlanError(f"verdicts found in {p.sink}: only --mode force replaces them")
-    if args.mode == "refresh" and not sinks.exists(p.spark, f"{p.root}/plan/stories"):
+    if args.mode == "refresh" and not p.planned("stories"):
         raise PlanError("nothing planned yet, nothing to refresh")
     schema = T.StructType([T.StructField(args.id_field, T.StringType())])
     tasks = files.read_tasks(p.spark, args.tasks, schema, args.id_field, args.format).select(F.col(args.id_field).alias("task_id"))
@@ -125,7 +136,7 @@ def plan(p: Project, args) -> None:
     assert_clean(S.check_plan(header, batches, S.shard_headers(batches)))
     if args.mode == "force":
         sinks.remove(p.spark, p.sink)
-    p.save_plan("force", assignments=rebalance.first_assignments(members), batches=batches, stories=stories, header=header)
+    p.save_plan("plan", args.mode == "force", assignments=rebalance.first_assignments(members), batches=batches, stories=stories, header=header)
     S.shard_headers(p.plan("batches")).orderBy("shard_id").show(truncate=False)
 
 
@@ -150,9 +161,7 @@ def gate(p: Project, args) -> None:
     judged = gates.run_gates(stories if own else stories.withColumn("acceptanceGate", F.lit(None).cast("map<string,string>")),
                              p.accepted, p.members, acceptance["default_gate"])
     # An attempt counts for stories whose batch is fully labelled, has news, and has not passed yet.
-    earlier = None
-    if sinks.exists(p.spark, f"{p.root}/plan/gate_results"):
-        earlier = p.plan("gate_results")
+    earlier = p.plan("gate_results") if p.planned("gate_results") else None
     due = materialize(gates.due_batches(p.members, p.arrived, earlier), "due")
     waiting = stories.where(~F.coalesce("passes", F.lit(False))).select("shard_id", "story_id")
     results = judged.join(p.plan("batches").select("shard_id", "batch_idx", "story_id"), "batch_idx")
@@ -163,7 +172,7 @@ def gate(p: Project, args) -> None:
         "shard_id", "story_id", "batch_idx", "mark", "passed", "failures", "diagnostics", "token")
     if earlier is not None:  # the last judgement of every batch
         rows = rows.unionByName(earlier.join(due.select("batch_idx"), "batch_idx", "left_anti"))
-    p.save_plan("refresh", stories=moved.drop("token"), gate_results=rows)
+    p.save_plan("gate", stories=moved.drop("token"), gate_results=rows)
     monitor.progress(p.plan("stories")).orderBy("shard_id").show(ROWS_SHOWN, truncate=False)
 
 
@@ -195,9 +204,9 @@ def run_rebalance(p: Project, args) -> None:
     kept = stories.unionByName(rows).join(batches.select("shard_id", "story_id"), ["shard_id", "story_id"], "left_semi")
     log = rebalance.append_plan(p.plan("batches"), stories, moves)["log"].withColumns({
         "generation": F.lit(generation).cast("bigint"), "stopped": F.lit(",".join(stopped))})
-    if sinks.exists(p.spark, f"{p.root}/plan/changes"):
+    if p.planned("changes"):
         log = p.plan("changes").unionByName(log)
-    p.save_plan("refresh", assignments=grown, batches=batches, stories=kept, header=header_of(batches), changes=log)
+    p.save_plan("rebalance", assignments=grown, batches=batches, stories=kept, header=header_of(batches), changes=log)
 
 
 def run_merge(p: Project, args) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import rows, verdict
 from labelloom.jobs import main
 from labelloom.sources.files import read_lines
+from labelloom.sources.versions import history, read_table
 
 IDS = [f"t{i:03d}" for i in range(50)]
 CONFIG = {"project": "demo", "userStories": [], "acceptance": {"max_attempts": 2, "default_gate": {
@@ -35,7 +36,7 @@ def project(spark, tmp_path):
 def test_whole_project(spark, project):
     tmp, root, run, plan, arrive = project
     assert plan() == 0
-    batches = spark.read.parquet(str(root / "plan" / "batches"))
+    batches = read_table(spark, str(root / "plan"), "batches")
     assert rows(batches.groupBy("shard_id").agg(F.sum("n_tasks"))) == [("a", 25), ("b", 25)]
     assert run("audit") == 0
     assert run("dashboard") == 0
@@ -44,25 +45,25 @@ def test_whole_project(spark, project):
 
     assert arrive("one.jsonl", [(t, "a") for t in IDS[:25]] + [(t, "b") for t in IDS[25:37]]) == 0
     assert run("gate") == 0
-    stories = spark.read.parquet(str(root / "plan" / "stories"))
+    stories = read_table(spark, str(root / "plan"), "stories")
     assert rows(stories.groupBy("shard_id").agg(F.count_if("passes"))) == [("a", 5), ("b", 2)]
     assert plan() == 1  # verdicts are there
     assert plan("--mode", "refresh") == 0
-    stories = spark.read.parquet(str(root / "plan" / "stories"))
+    stories = read_table(spark, str(root / "plan"), "stories")
     assert rows(stories.groupBy("shard_id").agg(F.count_if("passes"), F.max("attempts"))) == [("a", 5, 0), ("b", 2, 0)]  # a batch under work gets no attempt
 
     assert run("rebalance", "--from", "b", "--keep", "b") == 1
     assert run("rebalance", "--from", "b", "--keep", "a", "--dry-run") == 0
-    assert spark.read.parquet(str(root / "plan" / "assignments")).count() == 50
+    assert read_table(spark, str(root / "plan"), "assignments").count() == 50
     assert run("rebalance", "--from", "b", "--keep", "a", "--batch-size", "5") == 0
-    active = spark.read.parquet(str(root / "plan" / "assignments")).where("active")
+    active = read_table(spark, str(root / "plan"), "assignments").where("active")
     assert rows(active.groupBy("shard_id").count()) == [("a", 38), ("b", 12)]
     assert run("audit") == 0
 
     assert arrive("two.jsonl", [(t, "a") for t in IDS[37:]]) == 0
     assert run("gate") == 0
     assert run("dashboard") == 0
-    stories = spark.read.parquet(str(root / "plan" / "stories"))
+    stories = read_table(spark, str(root / "plan"), "stories")
     assert stories.where("NOT passes").count() == 0
     assert run("merge", "--out", out, "--dry-run") == 0
     assert not (tmp / "out").exists()
@@ -86,7 +87,7 @@ def test_splits(spark, project):
     assert plan("--mode", "refresh") == 1
     (tmp / "splits.json").write_text('{"splits": [[1, 2],\n [3, 10]]}')
     assert plan("--splits-file", str(tmp / "splits.json")) == 0
-    assert rows(spark.read.parquet(str(root / "plan" / "batches")).groupBy("shard_id").count()) == [("a", 2), ("b", 8)]
+    assert rows(read_table(spark, str(root / "plan"), "batches").groupBy("shard_id").count()) == [("a", 2), ("b", 8)]
 
 
 def test_failed_batches_are_recovered_and_done_again(spark, project):
@@ -97,7 +98,7 @@ def test_failed_batches_are_recovered_and_done_again(spark, project):
     (tmp / "strict.json").write_text(json.dumps(first))
 
     def stories():
-        return rows(spark.read.parquet(str(root / "plan" / "stories")).groupBy("shard_id").agg(F.count_if("passes"), F.max("attempts")))
+        return rows(read_table(spark, str(root / "plan"), "stories").groupBy("shard_id").agg(F.count_if("passes"), F.max("attempts")))
 
     assert arrive("one.jsonl", [(t, "a") for t in IDS[:7]]) == 0
     for _ in range(3):  # without news no batch is judged a second time, and none under work at all
@@ -140,9 +141,10 @@ def test_a_rebalance_is_logged(spark, project):
     assert plan() == 0
     assert arrive("one.jsonl", [(t, "b") for t in IDS[25:37]]) == 0
     assert run("rebalance", "--from", "b", "--keep", "a", "--batch-size", "5") == 0
-    header = spark.read.parquet(str(root / "plan" / "header"))
-    batches = spark.read.parquet(str(root / "plan" / "batches"))
+    header = read_table(spark, str(root / "plan"), "header")
+    batches = read_table(spark, str(root / "plan"), "batches")
     assert rows(header, "n_batches", "total_tasks") == [(batches.count(), 50)]
-    changes = spark.read.parquet(str(root / "plan" / "changes"))
+    changes = read_table(spark, str(root / "plan"), "changes")
     assert rows(changes, "shard_id", "first_batch", "last_batch", "added_tasks", "generation", "stopped") == [("a", 11, 13, 13, 1, "b")]
     assert run("audit") == 0
+    assert [c["note"] for c in history(spark, str(root / "plan"))] == ["plan", "rebalance"]
