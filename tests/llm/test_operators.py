@@ -302,6 +302,25 @@ def test_edited_copies_like_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 20
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.2, 0.3, 0.35])
+def test_seeds_lose_few_copies_that_align(share):
+    """Of copies with words changed, left out and put in, nine in ten that align have the seeds for it."""
+    pick = random.Random(int(share * 100))
+    items = decontaminate.Items.of([(k, prose(f"recall{k}", pick.randrange(15, 40))) for k in range(60)])
+    able = found = 0
+    for words in items.words:
+        edited = []
+        for w in words.tolist():
+            u = pick.random()
+            edited += [0] if u < share / 2 else [] if u < share * 3 / 4 else [w, 0] if u < share else [w]
+        text = np.array([0] * 10 + edited + [0] * 10)
+        if decontaminate.align(text, words)[0] >= decontaminate.THRESHOLD * decontaminate.MATCH * len(words):
+            keys, own = decontaminate.text_keys(text, items.base, False)[0], np.unique(decontaminate.gram_keys(words, items.base))
+            able += 1
+            found += len(np.intersect1d(keys, own)) >= min(decontaminate.MIN_SEEDS, len(own))
+    assert able > 20 and found >= 0.9 * able
+
+
 def test_many_benchmark_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     items = spark.createDataFrame([(k, prose(f"i{k}", 20)) for k in range(9)], "item_id long, text string")
