@@ -12,8 +12,8 @@ for that type the fold takes the edge of the highest priority that joins two sym
 none is left. Both folds run over the same edges. A chunk too long for the bits of a long is
 folded by the same rule with a heap.
 
-Chunks are counted over all texts. The frequent ones, up to ``HOT_CHUNKS``, go to the executors
-as one table; texts that hold others get those by a join on the chunk.
+Chunks are counted over all texts. Those counted twice or more, up to the ``HOT_CHUNKS`` most
+frequent, go to the executors as one table; texts that hold others get those by a join on the chunk.
 
 Defined cases: a null or empty text has no ids. Characters that no piece has become bytes if
 the model has byte pieces, else the unknown id. A text that holds the model's own space sign
@@ -350,12 +350,12 @@ class Table:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-def hot_table(encoded: DataFrame, most: int) -> tuple[Table, int]:
-    """The table of chunks counted at least 2**b times, with the least b that keeps it below ``most`` rows."""
+def hot_table(encoded: DataFrame, most: int) -> Table:
+    """The table of chunks counted at least 2**b times, with the least b from 1 on that keeps it below ``most`` rows."""
     level = F.floor(F.log2("n")).cast("int")
     sizes = {r["b"]: r["count"] for r in encoded.groupBy(level.alias("b")).count().collect()}  # at most 63 rows
-    total, least = 0, 0
-    for b in sorted(sizes, reverse=True):
+    total, least = 0, 1
+    for b in sorted((b for b in sizes if b >= least), reverse=True):
         total += sizes[b]
         if total > most:
             least = b + 1
@@ -366,7 +366,7 @@ def hot_table(encoded: DataFrame, most: int) -> tuple[Table, int]:
                           for c, kind in (("hashes", np.uint64), ("sizes", np.int32), ("ids", np.int32)))
     del rows
     pa.default_memory_pool().release_unused()
-    return Table.sorted(hashes, ids, sizes.astype(np.int64)), least
+    return Table.sorted(hashes, ids, sizes.astype(np.int64))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,17 +432,16 @@ def encode(docs: DataFrame, model: Model, hot_chunks: int = HOT_CHUNKS) -> DataF
     # The rows are few and small here and grow a hundredfold in the lattice, so they are dealt out by number.
     counts = counts.repartition(max(1, -(-counts.count() // TASK_CHUNKS)), "chunk")
     encoded = materialize(encode_chunks(counts, model), "chunks")
-    table, least = hot_table(encoded, hot_chunks)
+    table = hot_table(encoded, hot_chunks)
     shared = docs.sparkSession.sparkContext.broadcast((model, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
         for batch in (p for b in batches for p in pieces(b)):
-            texts, own = batch.column("text").to_pylist(), None
-            if "rare" in batch.schema.names:
-                rare = {c: i for cs, ls in zip(batch.column("rare").to_pylist(), batch.column("rare_ids").to_pylist())
-                        for c, i in zip(cs or (), ls or ())}
-                own = Table.of(pa.array(list(rare), pa.string()), np.array([i for x in rare.values() for i in x], dtype=np.int32),
+            texts = batch.column("text").to_pylist()
+            rare = {c: i for cs, ls in zip(batch.column("rare").to_pylist(), batch.column("rare_ids").to_pylist())
+                    for c, i in zip(cs or (), ls or ())}
+            own = Table.of(pa.array(list(rare), pa.string()), np.array([i for x in rare.values() for i in x], dtype=np.int32),
                                np.array([len(x) for x in rare.values()], dtype=np.int64))
             ids, starts = encoder.encode(texts, own)
             same = [a == t.encode("utf-8", "surrogatepass") for a, t in zip(encoder.decode(ids, starts), texts)]
@@ -450,9 +449,7 @@ def encode(docs: DataFrame, model: Model, hot_chunks: int = HOT_CHUNKS) -> DataF
                 batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32))),
                 pa.array(np.diff(starts)), pa.array(same)], names=["doc_id", "ids", "n_tokens", "exact"])
 
-    if least:
-        slim = _with_rare(slim, encoded, shared)
-    return slim.mapInArrow(run, OUT)
+    return _with_rare(slim, encoded, shared).mapInArrow(run, OUT)
 
 
 def _with_rare(slim: DataFrame, encoded: DataFrame, shared) -> DataFrame:
