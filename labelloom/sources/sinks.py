@@ -79,16 +79,26 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def swap_in(spark: SparkSession, staging: str, path: str) -> None:
-    """Put a finished folder in place of ``path``; the staged copy stays if this is cut short."""
+    """Put a finished folder in place of ``path``.
+
+    What was there is moved aside first and deleted last, so a writer that dies loses neither; see
+    ``versions`` for readers that must never find the place empty.
+    """
     fs, source = _fs(spark, staging)
     _, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
+    _, aside = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
     parent = target.getParent()
     if parent is not None and not fs.exists(parent):
         fs.mkdirs(parent)
+    there = fs.exists(target)
+    if there and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
+        if there:
+            fs.rename(aside, target)
         raise OSError(f"could not move {staging} to {path}")
+    if there:
+        fs.delete(aside, True)
 
 
 def publish(spark: SparkSession, path: str, write: Callable[[str], None], mode: str = "default",
