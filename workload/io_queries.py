@@ -240,7 +240,7 @@ def write_stories(i: Inputs) -> DataFrame:
 
 @query("status_document", """
     SELECT shard_id AS shard, count(*) FILTER (WHERE passes) AS done, count(*) AS total, shard_id IN ('a', 'c') AS alive,
-           string_agg(story_id, ',' ORDER BY pos) FILTER (WHERE NOT passes) AS pending
+           coalesce(string_agg(story_id, ',' ORDER BY pos) FILTER (WHERE NOT passes), '') AS pending
     FROM v_stories GROUP BY shard_id""")
 def status_document(i: Inputs) -> DataFrame:
     """One document over all shards with every pending story, read back as one JSON value."""
