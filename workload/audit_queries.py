@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.cluster import scratch_path
-from labelloom.model import VerdictSchema
+from labelloom.model import AuditError, VerdictSchema
 from labelloom.operators import audit as A
 from labelloom.operators import merge as M
 from labelloom.plans.shards import auto_split
 from labelloom.sources import files as S
+from labelloom.sources import versions as W
 from workload.inputs import SCHEMA, VERSION, Inputs
 from workload.registry import query
 
@@ -320,3 +321,24 @@ def merge_publish_lines(i: Inputs) -> DataFrame:
     numbered = S.number_all(S.read_lines(i.spark, path))
     return numbered.select("line_no", F.from_json("line", "task_id string, note string, reason string").alias("r")).select(
         "line_no", "r.task_id", "r.note", F.length("r.reason").cast("bigint").alias("n"))
+
+
+@query("merge_commit", """
+    SELECT row_number() OVER (ORDER BY m.pos) AS line_no, v.task_id, v.qa, length(v.reason) AS n, CAST(1 AS BIGINT) AS version
+    FROM v_members m JOIN v_verdicts_dirty v ON v.task_id = m.task_id WHERE v.schema_version = 'v1'""")
+def merge_commit(i: Inputs) -> DataFrame:
+    """A clean set becomes the first version, one with repeats is refused and changes nothing."""
+    clean, root = i.verdicts_dirty.where("schema_version = 'v1'"), scratch_path(i.spark, "merged")
+    labelled = i.members.join(i.table("labels").select(F.col("doc_id").alias("task_id")), "task_id", "left_semi")
+    declared = labelled.groupBy("shard_id").agg(F.count(F.lit(1)).alias("total_tasks"))
+    rules = VerdictSchema(valid_qa=("yes", "no"), min_reason_chars=1)
+    M.merge_commit(clean, labelled, declared, rules, VERSION, root, n_files=4)
+    try:
+        M.merge_commit(i.verdicts_dirty, labelled, declared, rules, VERSION, root)
+    except AuditError:
+        pass
+    numbered = S.number_all(S.read_lines(i.spark, W.table_path(i.spark, root, "merged")))
+    row = F.from_json("line", "task_id bigint, qa string, reason string")
+    version = F.lit(W.current(i.spark, root)["number"]).cast("bigint")
+    return numbered.select("line_no", row.alias("r")).select(
+        "line_no", "r.task_id", "r.qa", F.length("r.reason").cast("bigint").alias("n"), version.alias("version"))
