@@ -64,6 +64,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, target = _fs(spark, path)
+    return fs.getFileStatus(target).isDirectory()
+
+
 def has_rows(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
     """Whether a table or line file holds at least one row; reads no more than that."""
     if not exists(spark, path):

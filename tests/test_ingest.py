@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from __spark_entry__ import queries
 from pyspark.sql import functions as F
 
 from helpers import LONG, rows, verdict
@@ -279,3 +280,14 @@ def test_a_retraction_is_written_whole_or_not_at_all(spark, make, tmp_path, monk
     with pytest.raises(RuntimeError):
         recover(read_accepted(spark, sink), sink, stories, tasks)
     assert rows(read_accepted(spark, sink), "task_id") == [("a",)]
+
+
+def test_stream_of_a_table_in_many_files(spark, tmp_path):
+    tables = tmp_path / "tables"
+    docs = spark.range(60).select(
+        F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), (F.col("id") % 50).cast("string")), 100).alias("text"),
+        F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    docs.repartition(5).write.parquet(str(tables / "documents.parquet"))
+    spark.range(60).selectExpr("id doc_id", "1 quality", "0 toxic").write.parquet(str(tables / "labels.parquet"))
+    got = queries()["ingest_stream"](spark, str(tables)).select("seq").collect()
+    assert sorted(r.seq for r in got) == list(range(50))

@@ -306,10 +306,8 @@ FIRST_SQL = f"""
 def _ingested(i: Inputs) -> str:
     """Stream the document files through the ingest, twice: the second run must change nothing."""
     sink, checkpoint = scratch_path(i.spark, "sink"), scratch_path(i.spark, "stream")
-    docs = i.table("documents").select("doc_id", "text", "lang", "source")
     for _ in range(2):
-        stream = (i.spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(i.sf_dir))
-        rows = submitted(stream, i.table("labels"))
+        rows = submitted(i.stream("documents").select("doc_id", "text", "lang", "source"), i.table("labels"))
         N.ingest_stream(rows, sink, checkpoint, "documents", SCHEMA, VERSION, ["seq"]).awaitTermination()
     return sink
 

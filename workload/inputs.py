@@ -16,6 +16,7 @@ from labelloom.cluster import materialize
 from labelloom.model import VerdictSchema
 from labelloom.plans.batches import batch_table, batchify
 from labelloom.plans.shards import auto_split
+from labelloom.sources.sinks import is_folder
 
 SCHEMA = VerdictSchema(valid_qa=("yes", "no"))
 VERSION = "v1"
@@ -37,6 +38,13 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files; a table is one file or a folder of them."""
+        reader = self.spark.readStream.schema(self.table(name).schema)
+        path = f"{self.sf_dir}/{name}.parquet"
+        # A stream lists a folder, so a single file is picked from the one around it.
+        return reader.parquet(path) if is_folder(self.spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+
     @property
     def tasks(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id").alias("task_id"), "text", "lang", "source")
