@@ -128,3 +128,19 @@ def test_pairs_of_shards_meet_by_blocks(spark, make, monkeypatch):
     got = A.audit_disjoint(members, every=True)
     assert got.count() == 66 and rows(got.where("NOT passed"), "shard_a", "shard_b", "n_shared") == [("s03", "s07", 1)]
     assert rows(got.where("shard_a IS NULL").select("shard_b")) == [(s,) for s in names[:-1]] and got.where("shard_b IS NULL").isEmpty()
+
+
+@pytest.mark.parametrize("tile", [10, 400])
+def test_pairs_of_many_shards_are_added_up_in_tiles(make, monkeypatch, tile):
+    rng = random.Random(tile)
+    names = [f"s{k:02d}" for k in range(40)] + [None]
+    data = [(rng.choice(names), rng.randrange(60)) for _ in range(400)] + [(n, 60) for n in names]
+    members = make("shard_id string, task_id int", *data)
+    columns = ["shard_a", "shard_b", "n_shared", "example", "passed"]
+    plain = rows(A.audit_disjoint(members), *columns)
+    monkeypatch.setattr(A, "SHUFFLED_PAIRS", 0)
+    monkeypatch.setattr(A, "TILE_PAIRS", tile)
+    got = A.audit_disjoint(members)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(shard_a" not in plan and len(plain) == 41 * 40 // 2
+    assert rows(got, *columns) == plain
