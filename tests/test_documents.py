@@ -38,6 +38,20 @@ def test_one_batch_is_read_by_its_range(spark, project, tmp_path):
         store.read_batch(spark, root, 99, TASKS)
 
 
+def test_files_of_many_bytes_are_split_between_batches(spark, project, tmp_path, monkeypatch):
+    tasks, members = project
+    monkeypatch.setattr(store, "FILE_BYTES", 400)
+    root = str(tmp_path / "store")
+    index = store.write_batches(tasks, members, root, n_files=2)
+    sizes = {p.name: p.stat().st_size for p in (tmp_path / "store" / "payload").glob("part-*")}
+    largest = index.agg(F.max("length")).first()[0]
+    assert len(sizes) > 4 and max(sizes.values()) < 400 + largest
+    assert {r.file: r.n for r in index.groupBy("file").agg(F.sum("length").alias("n")).collect()} == sizes
+    for b in range(1, 13):
+        got = [r.task_id for r in store.read_batch(spark, root, b, TASKS).orderBy("at").collect()]
+        assert got == [r.task_id for r in members.where(F.col("batch_idx") == b).orderBy("pos").collect()]
+
+
 def test_moved_batches_are_stored_like_others(spark, project, tmp_path):
     tasks, members = project
     seen = members.where("batch_idx < 9").select("shard_id", "task_id")
