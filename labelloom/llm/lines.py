@@ -23,6 +23,8 @@ result. Other columns pass through ``dedup_lines`` unchanged whatever their name
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,22 +85,25 @@ def _late_wholes(docs: DataFrame, min_chars: int) -> DataFrame:
     windows = materialize(_shortest(docs, min_chars), "shortest")
     now = materialize(_repeated(materialize(_lines(docs), "lines")), "runs")
     found = now.where(F.col("late") & (F.col("size") >= min_chars)).select(*_PLACE, (F.col("at") + 1).alias("end"))
-    length = 1
+    length, named = 1, []
     while 2 * length <= min_chars and not now.isEmpty():
         now = materialize(_repeated(materialize(_doubled(now, length), "grown")), "runs")
         length *= 2
-        found = found.unionByName(_late_windows(windows, now, length))
-    return found
+        named.append(_named_windows(windows, now, length))
+    if not named:
+        return found
+    # The number of lines is part of a name, so the windows of all rounds are compared at once.
+    late = _repeated(materialize(reduce(DataFrame.unionByName, named), "windows")).where("late")
+    return found.unionByName(late.select(*_PLACE, (F.col("at") + F.col("n")).alias("end")))
 
 
-def _late_windows(windows: DataFrame, now: DataFrame, length: int) -> DataFrame:
-    """Later copies among the windows of ``length`` to ``2 * length - 1`` lines."""
+def _named_windows(windows: DataFrame, now: DataFrame, length: int) -> DataFrame:
+    """The windows of ``length`` to ``2 * length - 1`` lines whose halves are repeated, named by them."""
     some = windows.where(F.col("n").between(length, 2 * length - 1)).withColumn("tail", F.col("at") + F.col("n") - length)
     head = now.select(*_PLACE, F.col("a").alias("xa"), F.col("b").alias("xb"))
     tail = now.select("doc", "hash", F.col("at").alias("tail"), F.col("a").alias("ya"), F.col("b").alias("yb"))
-    named = some.join(head, list(_PLACE)).join(tail, ["doc", "hash", "tail"]).select(
+    return some.join(head, list(_PLACE)).join(tail, ["doc", "hash", "tail"]).select(
         *_PLACE, "n", F.xxhash64("n", "xa", "xb", "ya", "yb").alias("a"), F.xxhash64(F.lit(1), "n", "xa", "xb", "ya", "yb").alias("b"))
-    return _repeated(materialize(named, "windows")).where("late").select(*_PLACE, (F.col("at") + F.col("n")).alias("end"))
 
 
 def later_copies(docs: DataFrame, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
@@ -106,7 +111,7 @@ def later_copies(docs: DataFrame, min_chars: int = MIN_CHARS, whole: bool = True
     found = _late_wholes(docs, min_chars)
     text = Window.partitionBy("doc", "hash").orderBy("at", "end")
     reached = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
-    island = found.distinct().withColumn("new", F.coalesce(F.col("at") > reached, F.lit(True)).cast("int"))
+    island = found.withColumn("new", F.coalesce(F.col("at") > reached, F.lit(True)).cast("int"))
     island = island.withColumn("run", F.sum("new").over(text))
     return island.groupBy("doc", "hash", "run").agg(F.min("at").alias("at"), F.max("end").alias("end")).drop("run")
 
