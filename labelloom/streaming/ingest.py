@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from labelloom.model import PlanError, VerdictSchema
 from labelloom.operators.intake import first_by, mark_errors
-from labelloom.sources.sinks import exists
+from labelloom.sources.sinks import exists, remove
 from labelloom.streaming import ids, retract
 
 _ROW = "_row"
@@ -30,6 +30,11 @@ def repeated_path(sink: str) -> str:
     return f"{sink.rstrip('/')}/repeated"
 
 
+def incoming_path(sink: str) -> str:
+    """Rows of the micro-batch that is being added; a replay overwrites what a writer that died left here."""
+    return f"{sink.rstrip('/')}/incoming"
+
+
 def absorb_batch(batch: DataFrame, batch_id: int, sink: str, stream_id: str, schema: VerdictSchema,
                  version: str, order_cols: Sequence[str] = ()) -> None:
     """Add one micro-batch to the accepted, quarantine and repeated tables; each id is accepted once.
@@ -49,12 +54,16 @@ def absorb_batch(batch: DataFrame, batch_id: int, sink: str, stream_id: str, sch
         place = F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row"))
         batch = batch.withColumn("src", place).drop("_file", "_block")
     order_cols = order_cols or (["src"] if by_line else [])
-    marked = mark_errors(batch, schema, version).withColumn(_ROW, F.monotonically_increasing_id()).persist()
+    # Written once, so that whole rows are neither computed again nor kept in memory, and ids are compared without them.
+    incoming = f"{incoming_path(sink)}/{part}"
+    marked = mark_errors(batch, schema, version).withColumn(_ROW, F.monotonically_increasing_id())
     try:
+        marked.write.mode("overwrite").parquet(incoming)
+        marked = spark.read.schema(marked.schema).parquet(incoming)
         key = schema.id_field
         marked.where(F.size("errors") > 0).drop(_ROW).write.mode("overwrite").parquet(f"{quarantine_path(sink)}/{part}")
         clean = marked.where(F.size("errors") == 0).drop("errors", "malformed")
-        good = first_by(clean, [key], [*order_cols, _ROW]).persist()
+        good = first_by(clean.select(*dict.fromkeys([key, *order_cols, _ROW])), [key], [*order_cols, _ROW]).select(key, _ROW).persist()
         try:
             # Counting fills the cache, whose exact size then decides how the ids are joined.
             good.count()
@@ -67,17 +76,18 @@ def absorb_batch(batch: DataFrame, batch_id: int, sink: str, stream_id: str, sch
                 fresh = good.join(known.select(key), key, "left_anti")
             fresh = fresh.persist()
             try:
-                again = clean.join(fresh.select(_ROW), _ROW, "left_anti").drop(_ROW)
+                taken = fresh.select(_ROW)
+                again = clean.join(taken, _ROW, "left_anti").drop(_ROW)
                 again.withColumn("errors", F.array(F.lit("repeated"))).write.mode("overwrite").parquet(f"{repeated_path(sink)}/{part}")
                 # Ids go first: rows without ids could be accepted twice, ids without rows do not count.
                 ids.add_part(fresh.select(key), sink, stream_id, batch_id, key)
-                fresh.drop(_ROW).write.mode("overwrite").parquet(f"{accepted_path(sink)}/{part}")
+                clean.join(taken, _ROW, "left_semi").drop(_ROW).write.mode("overwrite").parquet(f"{accepted_path(sink)}/{part}")
             finally:
                 fresh.unpersist()
         finally:
             good.unpersist()
     finally:
-        marked.unpersist()
+        remove(spark, incoming)
 
 
 def ingest_stream(stream: DataFrame, sink: str, checkpoint: str, stream_id: str, schema: VerdictSchema,

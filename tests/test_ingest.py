@@ -210,6 +210,20 @@ def test_ids_of_a_run_that_was_cut_short_do_not_count(spark, make, tmp_path, mon
     assert rows(read_accepted(spark, sink), "task_id", "stream_id") == [("a", "s"), ("b", "other"), ("c", "other")]
 
 
+def test_whole_rows_are_written_once_and_never_kept_in_memory(spark, make, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sink, kept, keep = str(tmp_path / "sink"), [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda df, *level: kept.append(df.columns) or keep(df, *level))
+    take(make, sink, 0, "a", "b", "a")
+    take(make, sink, 1, "b", "c")
+    assert kept and not [c for c in kept if "reason" in c]
+    assert rows(read_accepted(spark, sink), "task_id", "batch_id", "reason") == [
+        ("a", 0, "0 " + LONG), ("b", 0, "0 " + LONG), ("c", 1, "1 " + LONG)]
+    assert rows(read_repeated(spark, sink), "task_id", "batch_id") == [("a", 0), ("b", 1)]
+    assert not (tmp_path / "sink" / "incoming" / "stream_id=s" / "batch_id=1").exists()
+
+
 def test_a_sink_without_index_gets_one(spark, make, tmp_path):
     import shutil
 
