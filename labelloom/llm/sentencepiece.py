@@ -13,7 +13,9 @@ none is left. Both folds run over the same edges. A chunk too long for the bits
 folded by the same rule with a heap.
 
 Chunks are counted over all texts. Those counted twice or more, up to the ``HOT_CHUNKS`` most
-frequent, go to the executors as one table; texts that hold others get those by a join on the chunk.
+frequent, go to the executors as one table. A chunk counted once keeps the key of its text from the
+counting on, so its ids reach that text by the key alone; only chunks between the two, if there are
+any, need the texts that hold them looked up and a join on the chunk. Texts are packed while they wait for it.
 
 Defined cases: a null or empty text has no ids. Characters that no piece has become bytes if
 the model has byte pieces, else the unknown id. A text that holds the model's own space sign
@@ -144,33 +146,39 @@ class Chunks:
         return self.joined[self.begin[k]:self.end[k]]
 
 
+def text_key(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with a key of the row. Rows that share one only see each other's chunks."""
+    return docs.withColumn("key", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+
+
 def chunk_counts(docs: DataFrame, model: Model) -> DataFrame:
-    """(chunk, n) over all texts."""
+    """(chunk, n, key) over all texts (doc_id, text); ``key`` is that of the text that holds a chunk counted once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
             chunks = Chunks.of(batch.column("text").to_pylist(), shared.value)
             _, first, n = np.unique(chunks.hashes, return_index=True, return_counts=True)
-            yield pa.record_batch([pa.array([chunks.text(k) for k in first.tolist()], pa.string()), pa.array(n.astype(np.int64))],
-                                  names=["chunk", "n"])
+            keys = batch.column("key").to_numpy()[np.searchsorted(chunks.starts, first, side="right") - 1]
+            yield pa.record_batch([pa.array([chunks.text(k) for k in first.tolist()], pa.string()), pa.array(n.astype(np.int64)),
+                                   pa.array(np.where(n == 1, keys, 0).astype(np.int32))], names=["chunk", "n", "key"])
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "chunk string, n bigint").groupBy("chunk").agg(
-        F.sum("n").alias("n"))
+    slim = text_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("text", "key")
+    return slim.mapInArrow(run, "chunk string, n bigint, key int").groupBy("chunk").agg(F.sum("n").alias("n"), F.max("key").alias("key"))
 
 
 def lattice(chunks: DataFrame, model: Model) -> DataFrame:
-    """(chunk, n, edges): each chunk with the pieces that are substrings of it, and every single character.
+    """(chunk, n, key, edges): each chunk with the pieces that are substrings of it, and every single character.
 
-    ``chunks`` (chunk, n) comes dealt out by chunk, and neither the explosion nor the join
+    ``chunks`` (chunk, n, key) comes dealt out by chunk, and neither the explosion nor the join
     with the piece table, whose size is that of the model, moves a row.
     """
     table = F.broadcast(chunks.sparkSession.createDataFrame(model.pieces or [("", 0, 0.0)], "piece string, id int, score double"))
-    ends = chunks.select("chunk", "n", F.explode(F.sequence(F.lit(0), F.length("chunk") - 1)).alias("at"))
+    ends = chunks.select("chunk", "n", "key", F.explode(F.sequence(F.lit(0), F.length("chunk") - 1)).alias("at"))
     spans = ends.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("chunk") - F.col("at")))).alias("size"))
     parts = spans.select("*", F.substring(F.col("chunk"), F.col("at") + 1, F.col("size")).alias("piece"))
     edges = parts.join(table, "piece", "left").where("id IS NOT NULL OR size = 1")
-    return edges.groupBy("chunk").agg(F.first("n").alias("n"), F.collect_list(F.struct(
+    return edges.groupBy("chunk").agg(F.first("n").alias("n"), F.first("key").alias("key"), F.collect_list(F.struct(
         (-F.col("score")).alias("cost"), "at", "size", "id")).alias("edges"))
 
 
@@ -186,20 +194,23 @@ def _bit(place: Column) -> Column:
 def _merged(chunk: Column, edges: Column) -> Column:
     """Bits of the symbol borders that are left when no edge joins two symbols any more.
 
-    An edge joins two symbols where both its ends are borders and one border is inside.
+    An edge joins two symbols where both its ends are borders and one border is inside. Once none does,
+    the sign bit tells the steps that are left.
     """
     longer = F.filter(edges, lambda e: (e["size"] > 1) & e["id"].isNotNull())
     ranked = F.transform(F.sort_array(longer), lambda e: F.struct(
         _bit(e["at"]).bitwiseOR(_bit(e["at"] + e["size"])).alias("ends"),
         (_bit(e["at"] + e["size"]) - _bit(e["at"] + 1)).alias("inside")))
 
+    over = F.lit(-1 << 63).cast("bigint")
+
     def fold(joins: Column) -> Column:
         def step(borders: Column, _: Column) -> Column:
             fitting = F.filter(joins, lambda e: (borders.bitwiseAND(e["ends"]) == e["ends"]) & (
                 F.bit_count(borders.bitwiseAND(e["inside"])) == 1))
             best = F.get(fitting, F.lit(0))["inside"]
-            return borders - F.coalesce(borders.bitwiseAND(best), F.lit(0).cast("bigint"))
-        return F.aggregate(F.sequence(F.lit(1), F.length(chunk)), _bit(F.length(chunk) + 1) - 1, step)
+            return F.when(borders < 0, borders).otherwise(F.coalesce(borders.bitwiseAND(F.bitwise_not(best)), borders.bitwiseOR(over)))
+        return F.aggregate(F.sequence(F.lit(1), F.length(chunk)), _bit(F.length(chunk) + 1) - 1, step).bitwiseAND(F.bitwise_not(over))
 
     return _bind(ranked, fold)
 
@@ -217,23 +228,24 @@ def _viterbi(chunk: Column, edges: Column, unknown_cost: float) -> Column:
 
 
 def _ids(chunk: Column, edges: Column, borders: Column, model: Model) -> Column:
-    """Piece ids of the symbols between borders."""
-    places = F.filter(F.sequence(F.lit(0), F.length(chunk)), lambda p: borders.bitwiseAND(_bit(p)) != 0)
+    """Piece ids of the symbols between borders: each is the edge that has a border at both ends and none inside."""
+    def between(e: Column) -> Column:
+        ends = _bit(e["at"]).bitwiseOR(_bit(e["at"] + e["size"]))
+        reach = _bit(e["at"] + e["size"] + 1) - _bit(e["at"])
+        return borders.bitwiseAND(reach) == ends
 
-    def symbol(at: Column, end: Column) -> Column:
-        found = F.get(F.filter(edges, lambda e: (e["at"] == at) & (e["size"] == end - at)), F.lit(0))["id"]
+    def symbol(e: Column) -> Column:
         if model.bytes_:
             table = F.array(*(F.lit(i) for i in model.bytes_))
-            digits = F.hex(F.encode(F.substring(chunk, at + 1, end - at), "utf-8"))
+            digits = F.hex(F.encode(F.substring(chunk, e["at"] + 1, e["size"]), "utf-8"))
             other = F.transform(F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")), lambda k: F.get(
                 table, F.conv(F.substring(digits, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
         else:
             other = F.array(F.lit(model.unknown))
-        return _bind(found, lambda mine: F.when(mine.isNotNull(), F.array(mine)).otherwise(other))
+        return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(other)
 
-    def between(cuts: Column) -> Column:
-        return F.flatten(F.transform(F.slice(cuts, 2, F.size(cuts)), lambda end, k: symbol(F.get(cuts, k), end)))
-    return _bind(places, between)
+    mine = F.transform(F.filter(edges, between), lambda e: F.struct(e["at"].alias("at"), e["size"].alias("size"), e["id"].alias("id")))
+    return F.flatten(F.transform(F.sort_array(mine), symbol))
 
 
 def fold_long(chunk: str, edges: list[tuple[float, int, int, int]], model: Model) -> list[int]:
@@ -289,22 +301,24 @@ def unknown_cost(model: Model) -> float:
 
 
 def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
-    """``chunks`` (chunk, n) -> (chunk, n, ids)."""
+    """``chunks`` (chunk, n, key) -> (chunk, n, key, ids)."""
     edges = lattice(chunks.where(F.length("chunk") <= MASK_CHARS), model)
     chunk, e = F.col("chunk"), F.col("edges")
     borders = _merged(chunk, e) if model.kind == BPE else _viterbi(chunk, e, unknown_cost(model))
     # Bound inside the expression: a column of it would be folded anew for every character.
-    short = edges.select("chunk", "n", _bind(borders, lambda b: _ids(chunk, e, b, model)).alias("ids"))
+    short = edges.select("chunk", "n", "key", _bind(borders, lambda b: _ids(chunk, e, b, model)).alias("ids"))
     shared = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fold_long(c, [(x["cost"], x["at"], x["size"], x["id"]) for x in rows], shared.value)
                      for c, rows in zip(batch.column("chunk").to_pylist(), batch.column("edges").to_pylist())]
-            yield pa.record_batch([batch.column("chunk"), batch.column("n"), pa.array(found, pa.list_(pa.int32()))], names=["chunk", "n", "ids"])
+            yield pa.record_batch([batch.column("chunk"), batch.column("n"), batch.column("key"), pa.array(found, pa.list_(pa.int32()))],
+                                  names=["chunk", "n", "key", "ids"])
 
     # The rows of long chunks come from an own, small part of the input, so that the others need no Python.
-    long = lattice(chunks.where(F.length("chunk") > MASK_CHARS), model).mapInArrow(run, "chunk string, n bigint, ids array<int>")
+    long = lattice(chunks.where(F.length("chunk") > MASK_CHARS), model).mapInArrow(
+        run, "chunk string, n bigint, key int, ids array<int>")
     return short.unionByName(long)
 
 
@@ -350,13 +364,16 @@ class Table:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-def hot_table(encoded: DataFrame, most: int) -> Table:
-    """The table of chunks counted at least 2**b times, with the least b from 1 on that keeps it below ``most`` rows."""
+def hot_table(encoded: DataFrame, most: int) -> tuple[Table, DataFrame | None]:
+    """The table of chunks counted at least 2**b times, with the least b from 1 on that keeps it below ``most`` rows.
+
+    Also the chunks counted twice or more that are not in it, if there are any.
+    """
     level = F.floor(F.log2("n")).cast("int")
-    sizes = {r["b"]: r["count"] for r in encoded.groupBy(level.alias("b")).count().collect()}  # at most 63 rows
+    sizes_by_level = {r["b"]: r["count"] for r in encoded.groupBy(level.alias("b")).count().collect()}  # at most 63 rows
     total, least = 0, 1
-    for b in sorted((b for b in sizes if b >= least), reverse=True):
-        total += sizes[b]
+    for b in sorted((b for b in sizes_by_level if b >= least), reverse=True):
+        total += sizes_by_level[b]
         if total > most:
             least = b + 1
             break
@@ -366,7 +383,8 @@ def hot_table(encoded: DataFrame, most: int) -> Table:
                           for c, kind in (("hashes", np.uint64), ("sizes", np.int32), ("ids", np.int32)))
     del rows
     pa.default_memory_pool().release_unused()
-    return Table.sorted(hashes, ids, sizes.astype(np.int64))
+    between = encoded.where((F.col("n") > 1) & (level < least)) if any(0 < b < least for b in sizes_by_level) else None
+    return Table.sorted(hashes, ids, sizes.astype(np.int64)), between
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,12 +450,12 @@ def encode(docs: DataFrame, model: Model, hot_chunks: int = HOT_CHUNKS) -> DataF
     # The rows are few and small here and grow a hundredfold in the lattice, so they are dealt out by number.
     counts = counts.repartition(max(1, -(-counts.count() // TASK_CHUNKS)), "chunk")
     encoded = materialize(encode_chunks(counts, model), "chunks")
-    table = hot_table(encoded, hot_chunks)
+    table, between = hot_table(encoded, hot_chunks)
     shared = docs.sparkSession.sparkContext.broadcast((model, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
-        for batch in (p for b in batches for p in pieces(b)):
+        for batch in (p for b in batches for p in pieces(_unpacked(b))):
             texts = batch.column("text").to_pylist()
             rare = {c: i for cs, ls in zip(batch.column("rare").to_pylist(), batch.column("rare_ids").to_pylist())
                     for c, i in zip(cs or (), ls or ())}
@@ -449,24 +467,40 @@ def encode(docs: DataFrame, model: Model, hot_chunks: int = HOT_CHUNKS) -> DataF
                 batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32))),
                 pa.array(np.diff(starts)), pa.array(same)], names=["doc_id", "ids", "n_tokens", "exact"])
 
-    return _with_rare(slim, encoded, shared).mapInArrow(run, OUT)
+    return _with_rare(slim, encoded, between, shared).mapInArrow(run, OUT)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the shuffle."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        raw = batch.column("text").cast(pa.binary()).to_pylist()
+        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary()),
+                               pa.array([len(t) for t in raw], pa.int32())], names=["doc_id", "key", "packed", "size"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    codec = pa.Codec("zstd")
+    texts = [codec.decompress(p, n, asbytes=True) for p, n in zip(batch.column("packed").to_pylist(), batch.column("size").to_pylist())]
+    return batch.append_column("text", pa.array(texts, pa.binary()).cast(pa.string()))
 
 
-def _with_rare(slim: DataFrame, encoded: DataFrame, shared) -> DataFrame:
-    """``slim`` with the chunks that are not in the shared table, and their ids, by a join on the chunk."""
+def _with_rare(slim: DataFrame, encoded: DataFrame, between: DataFrame | None, shared) -> DataFrame:
+    """``slim``, packed, with the chunks that are not in the shared table, and their ids, by a join on the key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
         for batch in (p for b in batches for p in pieces(b)):
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(
-                encoder.missing(batch.column("text").to_pylist()), pa.list_(pa.string()))], names=["doc_id", "key", "rare"])
-
-    keyed = slim.withColumn("key", F.xxhash64("text"))
-    wanted = keyed.mapInArrow(run, "doc_id bigint, key bigint, rare array<string>").select("doc_id", "key", F.explode("rare").alias("chunk")).distinct()
-    found = wanted.join(encoded.select("chunk", "ids"), "chunk").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(
-        F.collect_list(F.struct("chunk", "ids")).alias("r"))  # at most the chunks of one text
-    found = found.select("d", "k", F.col("r.chunk").alias("rare"), F.col("r.ids").alias("rare_ids"))
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select(
-        "doc_id", "text", "rare", "rare_ids")
+            yield pa.record_batch([batch.column("key"), pa.array(
+                encoder.missing(batch.column("text").to_pylist()), pa.list_(pa.string()))], names=["key", "rare"])
+
+    keyed = text_key(slim)
+    rare = encoded.where("n = 1").select("key", "chunk", "ids")
+    if between is not None:
+        wanted = keyed.select("key", "text").mapInArrow(run, "key int, rare array<string>").select("key", F.explode("rare").alias("chunk")).distinct()
+        rare = rare.unionByName(wanted.join(between.select("chunk", "ids"), "chunk"))
+    found = rare.groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("r"))  # at most the chunks of the texts of a key
+    found = found.select("key", F.col("r.chunk").alias("rare"), F.col("r.ids").alias("rare_ids"))
+    return keyed.mapInArrow(_pack, "doc_id bigint, key int, packed binary, size int").join(found, "key", "left")
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:

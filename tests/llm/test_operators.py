@@ -241,6 +241,25 @@ def test_sentencepiece_bpe_like_the_library(spark, docs):
     assert texts == {(i, (t or "").replace("▁", " ")) for i, t in rows}
 
 
+def test_sentencepiece_chunks_counted_once_reach_their_text_by_its_key(spark):
+    library = pytest.importorskip("sentencepiece")
+    processor = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    rows = [(1, "common word zqxjkv"), (1, "common word wvutqq"), (2, "common vbnmqw word"), (2, "common vbnmqw word"), (None, "qqzzkk"),
+            (None, "common"), (3, "word twiceq"), (4, "twiceq common onlyhereq"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = sentencepiece.Model.load()
+    once = [r for r in sentencepiece.chunk_counts(df, model).collect() if r.n == 1]
+    texts = {r.key: r.text for r in sentencepiece.text_key(df.where("text <> ''")).collect()}
+    assert once and all(r.chunk.replace("▁", " ") in " " + texts[r.key] for r in once)
+    for hot in (1_000_000, 2):
+        out = sentencepiece.encode(df, model, hot)
+        got = sorted((r.doc_id or 0, list(r.ids)) for r in out.collect())
+        assert got == sorted((i or 0, processor.encode(t or "")) for i, t in rows)
+        # Texts are only looked through for chunks that are neither counted once nor in the table.
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Generate" in plan) == (hot == 2)
+
+
 def test_sentencepiece_unigram_is_viterbi(spark):
     pick = random.Random(5)
     scores = {c: -pick.uniform(3, 6) for c in "abc▁"}
