@@ -39,7 +39,7 @@ from xxhash import xxh64_intdigest
 
 from labelloom.llm.common import materialize
 from labelloom.llm.rolling import LONG, PrefixHash, mix
-from labelloom.llm.texts import pieces
+from labelloom.llm.texts import PIECE, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -47,6 +47,8 @@ HOT_CHUNKS = 2_000_000
 MASK_CHARS = 60
 # The lattice of so many chunks is one task.
 TASK_CHUNKS = 20_000
+# Arrays of eight bytes for each character or id are held for so many of them at once: a worker keeps what it once took.
+SEGMENT = 1 << 17
 
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
@@ -108,6 +110,34 @@ def _long_hash(chunk: str) -> int:
     return xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"))
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _hashes(joined: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each of the chunks from ``begin`` to ``end``, which follow each other in ``joined``."""
+    hashes = np.zeros(len(begin), dtype=np.uint64)
+    # The chunks of a segment begin within as many characters, and there are no more of them.
+    firsts = np.searchsorted(begin, np.arange(0, len(joined), SEGMENT)).tolist()
+    for k, until in zip(firsts, [*firsts[1:], len(begin)]):
+        if k < until:
+            first, size = begin[k:until], end[k:until] - begin[k:until]
+            part = PrefixHash(mix(_points(joined[begin[k]:end[until - 1]]).astype(np.uint64) + np.uint64(1)))
+            hashes[k:until] = mix(part.window(first - first[0], size) + size.astype(np.uint64))
+    for k in np.flatnonzero(end - begin >= LONG):
+        hashes[k] = _long_hash(joined[begin[k]:end[k]])
+    return hashes
+
+
+def _gather(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` items of ``source`` from each ``start``, one after the other."""
+    parts = [source[:0]]
+    for k in range(0, len(start), SEGMENT):
+        first, n = start[k:k + SEGMENT], size[k:k + SEGMENT]
+        parts.append(source[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+    return np.concatenate(parts)
+
+
 @dataclass
 class Chunks:
     """The chunks of some texts: begin and end in the joined text, a hash, and each text's first chunk."""
@@ -124,23 +154,16 @@ class Chunks:
         lead = SPACE if model.prefix else ""
         marked = [lead + t.replace(" ", SPACE) if t else "" for t in texts]
         joined = "".join(marked)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         borders = np.concatenate([[0], np.cumsum([len(t) for t in marked])]).astype(np.int64)
-        symbols = number[points]
-        cut = np.ones(len(points) + 1, dtype=bool)
-        cut[1:-1] = ~pair[symbols[:-1], symbols[1:]]
+        del marked
+        cut = np.ones(len(joined) + 1, dtype=bool)
+        for at in range(0, len(joined), SEGMENT):
+            symbols = number[_points(joined[at:at + SEGMENT + 1])]
+            cut[at + 1:at + len(symbols)] = ~pair[symbols[:-1], symbols[1:]]
         cut[borders] = True
-        places = np.flatnonzero(cut) if len(points) else np.zeros(1, dtype=np.int64)
+        places = np.flatnonzero(cut) if joined else np.zeros(1, dtype=np.int64)
         begin, end = places[:-1], places[1:]
-        hashes = np.zeros(len(begin), dtype=np.uint64)
-        values = mix(points.astype(np.uint64) + np.uint64(1))
-        for k in range(0, len(begin), 1 << 17):
-            a, b = begin[k:k + (1 << 17)], end[k:k + (1 << 17)]
-            part = PrefixHash(values[a[0]:b[-1]])
-            hashes[k:k + (1 << 17)] = mix(part.window(a - a[0], b - a) + (b - a).astype(np.uint64))
-        for k in np.flatnonzero(end - begin >= LONG):
-            hashes[k] = _long_hash(joined[begin[k]:end[k]])
-        return cls(joined, begin, end, hashes, np.searchsorted(begin, borders))
+        return cls(joined, begin, end, _hashes(joined, begin, end), np.searchsorted(begin, borders))
 
     def text(self, k: int) -> str:
         return self.joined[self.begin[k]:self.end[k]]
@@ -173,7 +196,10 @@ def lattice(chunks: DataFrame, model: Model) -> DataFrame:
     ``chunks`` (chunk, n, key) comes dealt out by chunk, and neither the explosion nor the join
     with the piece table, whose size is that of the model, moves a row.
     """
-    table = F.broadcast(chunks.sparkSession.createDataFrame(model.pieces or [("", 0, 0.0)], "piece string, id int, score double"))
+    # An Arrow table becomes rows without a Python worker on the executors.
+    piece, number, score = zip(*(model.pieces or [("", 0, 0.0)]))
+    rows = pa.table({"piece": pa.array(piece, pa.string()), "id": pa.array(number, pa.int32()), "score": pa.array(score, pa.float64())})
+    table = F.broadcast(chunks.sparkSession.createDataFrame(rows))
     ends = chunks.select("chunk", "n", "key", F.explode(F.sequence(F.lit(0), F.length("chunk") - 1)).alias("at"))
     spans = ends.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("chunk") - F.col("at")))).alias("size"))
     parts = spans.select("*", F.substring(F.col("chunk"), F.col("at") + 1, F.col("size")).alias("piece"))
@@ -324,16 +350,12 @@ def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
 
 def hash_chunks(chunks: pa.Array) -> np.ndarray:
     """The hash of each chunk, as ``Chunks`` has it."""
-    hashes = np.zeros(len(chunks), dtype=np.uint64)
+    parts = [np.zeros(0, dtype=np.uint64)]
     for k in range(0, len(chunks), 1 << 16):
         part = chunks.slice(k, 1 << 16).to_pylist()
-        lengths = np.array([len(c) for c in part])
-        points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        own = PrefixHash(mix(points.astype(np.uint64) + np.uint64(1)))
-        hashes[k:k + (1 << 16)] = mix(own.window(np.cumsum(lengths) - lengths, lengths) + lengths.astype(np.uint64))
-        for j in np.flatnonzero(lengths >= LONG):
-            hashes[k + j] = _long_hash(part[j])
-    return hashes
+        end = np.cumsum([len(c) for c in part])
+        parts.append(_hashes("".join(part), np.concatenate([[0], end[:-1]]), end))
+    return np.concatenate(parts)
 
 
 @dataclass
@@ -354,7 +376,7 @@ class Table:
         order = np.argsort(hashes)
         begin = np.cumsum(sizes) - sizes
         starts = np.concatenate([[0], np.cumsum(sizes[order])])
-        return cls(hashes[order], starts, flat[np.repeat(begin[order] - starts[:-1], sizes[order]) + np.arange(len(flat))])
+        return cls(hashes[order], starts, _gather(flat, begin[order], sizes[order]))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash, or -1."""
@@ -416,26 +438,25 @@ class Encoder:
         chunks = Chunks.of(texts, self.model)
         distinct, back = np.unique(chunks.hashes, return_inverse=True)
         row = self.table.find(distinct)
-        start, size = self.table.starts[row], self.table.starts[row + 1] - self.table.starts[row]
-        source = self.table.ids
+        known = row >= 0
+        size = np.where(known, self.table.starts[row + 1] - self.table.starts[row], 0)
+        start = np.cumsum(size) - size
+        source = _gather(self.table.ids, self.table.starts[row], size)
         if own is not None and len(own.hashes):
             other = own.find(distinct)
-            from_own = row < 0
-            start = np.where(from_own, own.starts[other] + len(source), start)
-            size = np.where(from_own, own.starts[other + 1] - own.starts[other], size)
+            start = np.where(known, start, own.starts[other] + len(source))
+            size = np.where(known, size, own.starts[other + 1] - own.starts[other])
             source = np.concatenate([source, own.ids])
-        elif (row < 0).any():
+        elif not known.all():
             raise ValueError("a chunk without ids")
-        size, start = size[back], start[back]
-        begin = np.cumsum(size) - size
-        ids = source[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
-        return ids, np.append(begin, len(ids))[chunks.starts]
+        size = size[back]
+        ids = _gather(source, start[back], size)
+        return ids, np.concatenate([[0], np.cumsum(size)])[chunks.starts]
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
         size = (self.piece_start[1:] - self.piece_start[:-1])[ids]
-        begin = np.cumsum(size) - size
-        data = self.piece_bytes[np.repeat(self.piece_start[ids] - begin, size) + np.arange(int(size.sum()))].tobytes()
-        cuts = np.append(begin, len(data))[starts].tolist()
+        data = _gather(self.piece_bytes, self.piece_start[ids], size).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(size)])[starts].tolist()
         skip = 1 if self.model.prefix else 0
         return [data[a + skip if data[a:a + 1] == b" " and skip and a < b else a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
@@ -455,7 +476,7 @@ def encode(docs: DataFrame, model: Model, hot_chunks: int = HOT_CHUNKS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
-        for batch in (p for b in batches for p in pieces(_unpacked(b))):
+        for batch in (p for b in batches for c in pieces(b, PIECE // 4, "packed") for p in pieces(_unpacked(c))):
             texts = batch.column("text").to_pylist()
             rare = {c: i for cs, ls in zip(batch.column("rare").to_pylist(), batch.column("rare_ids").to_pylist())
                     for c, i in zip(cs or (), ls or ())}
@@ -473,7 +494,7 @@ def encode(docs: DataFrame, model: Model, hot_chunks: int = HOT_CHUNKS) -> DataF
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, for the shuffle."""
     codec = pa.Codec("zstd", compression_level=3)
-    for batch in batches:
+    for batch in (p for b in batches for p in pieces(b)):
         raw = batch.column("text").cast(pa.binary()).to_pylist()
         yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary()),
                                pa.array([len(t) for t in raw], pa.int32())], names=["doc_id", "key", "packed", "size"])

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +262,40 @@ def test_sentencepiece_chunks_counted_once_reach_their_text_by_its_key(spark):
         assert ("Generate" in plan) == (hot == 2)
 
 
+def test_sentencepiece_takes_little_memory_for_a_piece_of_texts():
+    model = sentencepiece.Model.load()
+    pick = random.Random(11)
+    known = ["".join(pick.choice("abcdefgh") for _ in range(pick.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(pick.choice(known) for _ in range(1500)) for _ in range(300)]
+    size = sum(map(len, texts))
+    assert model.joins  # kept with the model
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            result = run()
+            return result, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    chunks, most = peak(lambda: sentencepiece.Chunks.of(texts, model))
+    assert most < 18 * size
+    _, first = np.unique(chunks.hashes, return_index=True)
+    names = [chunks.text(k) for k in first.tolist()]
+    table = sentencepiece.Table.of(pa.array(names, pa.string()), np.arange(2 * len(names), dtype=np.int32) % 30_000, np.full(len(names), 2))
+    encoder = sentencepiece.Encoder(model, table)
+    (ids, starts), most = peak(lambda: encoder.encode(texts))
+    assert len(ids) == 2 * len(chunks.hashes) and most < 18 * size
+    plain, most = peak(lambda: encoder.decode(ids, starts))
+    assert len(plain) == len(texts) and most < 15 * size
+
+
+def test_sentencepiece_piece_table_needs_no_python_worker(spark):
+    chunks = spark.createDataFrame([("▁word", 1, 1)], "chunk string, n bigint, key int").coalesce(1)
+    plan = sentencepiece.lattice(chunks, sentencepiece.Model.load())._jdf.queryExecution().optimizedPlan()
+    assert "LocalRelation" in plan.toString()
+
+
 def test_sentencepiece_unigram_is_viterbi(spark):
     pick = random.Random(5)
     scores = {c: -pick.uniform(3, 6) for c in "abc▁"}
