@@ -1,14 +1,19 @@
 """Mutation tests: one injected fault must fail exactly the matching layers."""
 
 import random
-from itertools import combinations
+import re
+from datetime import date, datetime, timedelta
+from decimal import Decimal
+from itertools import combinations, product
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
 from labelloom.model import AuditError
 from labelloom.operators import audit as A
+from labelloom.operators import pair_tiles
 from labelloom.operators.report import assert_clean
 
 MEMBERS = [(s, b, f"task_{b:03d}_{j}") for b in range(1, 5) for s in ["a" if b < 3 else "b"] for j in range(3)]
@@ -144,3 +149,58 @@ def test_pairs_of_many_shards_are_added_up_in_tiles(make, monkeypatch, tile):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(shard_a" not in plan and len(plain) == 41 * 40 // 2
     assert rows(got, *columns) == plain
+
+
+KINDS = {
+    "string": lambda k: f"s{k:02d}", "bigint": lambda k: 10**12 - k, "date": lambda k: date(2020, 1, 1) + timedelta(k), "decimal(20,2)": lambda k: Decimal(k) / 4,
+    "boolean": lambda k: k % 2 == 0, "timestamp": lambda k: datetime(2020, 1, 1, k), "double": lambda k: k / 3, "struct<a:int,b:string>": lambda k: (k % 3, str(k)),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_tiles_find_the_pairs_without_a_hash_table_of_pairs(make, monkeypatch, kind):
+    rng = random.Random(7)
+    names = [*map(KINDS[kind], range(12)), None]
+    # Ids 30 and up come in sets that are the same; a NULL id is an id, but no example beside another one.
+    data = [(rng.choice(names), rng.randrange(30)) for _ in range(90)] + [(n, k) for n in names[:5] for k in range(30, 36)]
+    data += [(n, None) for n in (*names[:3], None, names[7])]
+    members = make(f"shard_id {kind}, task_id int", *data)
+    columns = ["shard_a", "shard_b", "n_shared", "example", "passed"]
+    plain = rows(A.audit_disjoint(members), *columns)
+    monkeypatch.setattr(A, "SHUFFLED_PAIRS", 0)
+    monkeypatch.setattr(A, "TILE_PAIRS", 60)
+    got = A.audit_disjoint(members)
+    assert rows(got, *columns) == plain and plain
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert bool(re.search(r"Aggregate\(keys=\[[^]]*shard_a", plan)) == (kind in ("double", "struct<a:int,b:string>"))
+
+
+def test_blocks_bound_the_pairs_and_the_names_of_a_tile(monkeypatch):
+    assert A._blocks(0, 0) == 1
+    assert A._blocks(17_000_000_000, 9_000_000) == 33
+    # Sets of two: a tile has as many names as pairs, twice.
+    blocks = A._blocks(50_000_000, 100_000_000)
+    assert 4 * 50_000_000 / blocks**2 <= A.TILE_NAMES
+
+
+@pytest.mark.parametrize(("chunk", "cells"), [(131_072, 4_000_000), (1, 4_000_000), (50, 3), (131_072, 3)])
+@pytest.mark.parametrize("weights", [(1,), (1, 2, 5)])
+def test_tiles_in_pieces_of_any_size(monkeypatch, chunk, cells, weights):
+    monkeypatch.setattr(pair_tiles, "CHUNK", chunk)
+    monkeypatch.setattr(pair_tiles, "CELLS", cells)
+    rng = random.Random(chunk)
+    table, want = [], {}
+    for tile in range(3):
+        low, high = [None if (tile, c) == (1, "a") else f"{c}{tile}" for c in "abcdefg"], [f"{c}{tile}" for c in "ABCDEFGHIJK"]
+        for k in range(25):
+            n, example = rng.choice(weights), f"{k:02d}"
+            x, y = rng.sample(low, rng.randint(1, len(low))), rng.sample(high, rng.randint(1, len(high)))
+            parts = [(pair_tiles.BOTH, x)] if tile == 2 else [(pair_tiles.LOW, x), (pair_tiles.HIGH, y)]
+            table += [{"_tile": tile, "_side": side, "_set": k, "n": n, "example": example, "names": names} for side, names in parts]
+            for pair in map(frozenset, combinations(x, 2) if tile == 2 else product(x, y)):
+                before = want.get(pair, (0, example))
+                want[pair] = before[0] + n, before[1]
+    schema = pa.schema({"_tile": pa.int32(), "_side": pa.int32(), "_set": pa.int64(), "n": pa.int64(), "example": pa.string(), "names": pa.list_(pa.string())})
+    found = [(frozenset((row["shard"], other)), (row["n"], row["example"]))
+             for batch in pair_tiles._count(iter(pa.Table.from_pylist(table, schema).to_batches(max_chunksize=7))) for row in batch.to_pylist() for other in row["others"]]
+    assert len(found) == len(want) and dict(found) == want
